@@ -13,8 +13,11 @@ CHANNELS = (
     ("Facebook", r"facebook|fb\."),
     ("Google", "google"),
 )
-# URL schemes whose host is required and not case-sensitive.
-WEB_SCHEMES = ("http", "https", "ftp", "ws", "wss")
+# URLs of schemes that need a host (any letter case), and all other URLs, whose host may be empty.
+# Both leave out user, password and port; neither matches a host with blanks or reserved characters.
+WEB_SCHEME = r"(?i)^(?:https?|ftp|wss?):"
+WEB_URL = WEB_SCHEME + r"[/\\]*(?:[^/\\?#]*@)?(\[[^\]]*\]|[^/\\?#:@\s<>^|%\[\]]+)(?::[0-9]*)?(?:[/\\?#]|$)"
+OTHER_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://(?:[^/?#]*@)?([^/?#:@\s<>^|%\[\]]*)(?::[0-9]*)?(?:[/?#]|$)|(?!//))"
 # Fixed value: hosts of the hosting service count as the shop itself.
 OWN_HOST_SUFFIX = "onrender.com"
 
@@ -37,21 +40,8 @@ def visitor_id(ip: Column, user_agent: Column, day: Column, salt: str) -> Column
 def url_host(url: Column) -> Column:
     """Host name of an absolute URL, NULL where the text is not one."""
     u = trim(text(url))
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    web = scheme.isin(*WEB_SCHEMES)
-    authority = F.when(web, F.regexp_extract(u, r"^[^:]+:[/\\]*([^/\\?#]*)", 1)).otherwise(
-        F.regexp_extract(u, r"^[^:]+://([^/?#]*)", 1)
-    )
-    server = F.regexp_replace(authority, r"^.*@", "")
-    host = F.regexp_extract(server, r"^(\[[^\]]*\]|[^:\[\]]*)(?::[0-9]*)?$", 1)
-    host = F.when(web, F.lower(host)).otherwise(host)
-    valid = (
-        (scheme != "")
-        & server.rlike(r"^(\[[^\]]*\]|[^:\[\]]*)(:[0-9]*)?$")
-        & ~host.rlike(r"[\s<>^|%]")
-        & (~web | (host != ""))
-    )
-    return F.when(valid, host)
+    web = F.nullif(F.lower(F.regexp_extract(u, WEB_URL, 1)), F.lit(""))
+    return F.when(u.rlike(WEB_SCHEME), web).when(u.rlike(OTHER_URL), F.regexp_extract(u, OTHER_URL, 1))
 
 
 def referrer_channel(referer: Column, own_host: Column | str) -> Column:
