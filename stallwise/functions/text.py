@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stallwise.schemas import COLLECTION_LABELS
 
-# Fixed value: the characters a web form's trim treats as white space.
+# The characters a web form's trim treats as white space, as a list and as a regex class.
+SPACES = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 SPACE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
@@ -19,7 +23,7 @@ def text(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Trim every kind of white space; SQL's own trim stops at blanks."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column, limit: int | None = None, upper: bool = False) -> Column:
@@ -35,6 +39,13 @@ def parse_int(c: Column, default: int = 0) -> Column:
     return F.coalesce(F.nullif(digits.try_cast("bigint"), F.lit(0)), F.lit(default).cast("bigint"))
 
 
+def whole_number(df: DataFrame, name: str, default: int = 0) -> Column:
+    """``parse_int`` of a column, without the detour over text where it holds whole numbers already."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.coalesce(F.nullif(F.col(name).cast("bigint"), F.lit(0)), F.lit(default).cast("bigint"))
+    return parse_int(F.col(name), default)
+
+
 def parse_int32(c: Column, default: int = 0) -> Column:
     """As ``parse_int``, for INT columns: what lies beyond their range stops at its end."""
     return clamp(parse_int(c, default), -(2**31), 2**31 - 1).cast("int")

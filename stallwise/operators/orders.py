@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions.pricing import price_of
 from stallwise.functions.text import (
-    clamp, clean_text, encode_component, indian_digits, order_ref, parse_int, text,
+    clamp, clean_text, encode_component, indian_digits, order_ref, text, whole_number,
 )
 from stallwise.schemas import MAX_CART_LINES, MAX_LINE_QTY, ORDER_STATUSES
 
@@ -33,8 +33,8 @@ def price_cart(lines: DataFrame, products: DataFrame, store_percent: Column | in
     Lines of one piece stay separate.
     """
     wanted_lines = lines.filter(F.col("pos") <= MAX_CART_LINES).select(
-        "order_id", "pos", parse_int(F.col("product_id")).alias("product_id"),
-        clamp(parse_int(F.col("qty_raw"), 1), 1, MAX_LINE_QTY).alias("wanted"),
+        "order_id", "pos", whole_number(lines, "product_id").alias("product_id"),
+        clamp(whole_number(lines, "qty_raw", 1), 1, MAX_LINE_QTY).alias("wanted"),
     ).filter(F.col("product_id") != 0)
     live = products.filter("active").select(
         F.col("id").cast("bigint").alias("product_id"), "sku", "title", "price", "stock",
@@ -88,32 +88,40 @@ def nest_orders(priced: DataFrame) -> DataFrame:
     )
 
 
+def clean_requests(requests: DataFrame) -> DataFrame:
+    """Contact fields and note as they are stored."""
+    return requests.withColumns(
+        {
+            "name": clean_text(F.col("name"), 80),
+            "phone": clean_text(F.col("phone"), 20),
+            "note": F.substring(text(F.col("note")), 1, 500),
+        }
+    )
+
+
 def validate_orders(requests: DataFrame, lines: DataFrame, priced: DataFrame) -> DataFrame:
-    """Contact fields as stored, and the reason for refusing an order (NULL if it is accepted)."""
-    sent = lines.groupBy("order_id").agg(F.lit(True).alias("has_lines"))
-    sold = priced.groupBy("order_id").agg(F.lit(True).alias("has_items"))
-    name, phone = clean_text(F.col("name"), 80), clean_text(F.col("phone"), 20)
+    """Cleaned requests with the reason for refusing an order (NULL if it is accepted)."""
+    sent = lines.select("order_id", F.lit(False).alias("_sold"))
+    sold = priced.select("order_id", F.lit(True).alias("_sold"))
+    bags = sent.unionByName(sold).groupBy("order_id").agg(F.bool_or("_sold").alias("_sold"))
     reason = (
         F.when((F.col("name") == "") | (F.col("phone") == ""), NO_CONTACT)
-        .when(F.col("has_lines").isNull(), EMPTY_BAG)
-        .when(F.col("has_items").isNull(), GONE)
-    )
-    return (
-        requests.withColumns({"name": name, "phone": phone, "note": F.substring(text(F.col("note")), 1, 500)})
-        .join(sent, "order_id", "left")
-        .join(sold, "order_id", "left")
-        .withColumn("reason", reason)
-        .drop("has_lines", "has_items")
+        .when(F.col("_sold").isNull(), EMPTY_BAG)
+        .when(~F.col("_sold"), GONE)
     )
+    return clean_requests(requests).join(bags, "order_id", "left").withColumn("reason", reason).drop("_sold")
 
 
 def place_orders(
     requests: DataFrame, lines: DataFrame, products: DataFrame, store_percent: Column | int = 0
 ) -> DataFrame:
-    """Order rows of the accepted requests, status ``new``, with a reference made of ``created_at``."""
-    priced = price_cart(lines, products, store_percent)
-    accepted = validate_orders(requests, lines, priced).filter("reason IS NULL").drop("reason")
-    return accepted.join(nest_orders(priced), "order_id").withColumns(
+    """Order rows of the acceptable requests, status ``new``, with a reference made of ``created_at``.
+
+    A request is acceptable if it names a person and a phone and at least one of its lines is sold.
+    """
+    named = clean_requests(requests).filter((F.col("name") != "") & (F.col("phone") != ""))
+    sold = nest_orders(price_cart(lines, products, store_percent))
+    return named.join(sold, "order_id").withColumns(
         {"ref": order_ref(F.col("created_at")), "status": F.lit("new")}
     )
 
@@ -155,7 +163,7 @@ def recent_orders(orders: DataFrame, n: int = 200) -> DataFrame:
 def set_order_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply (id, status, seq) changes, the last one of an order winning; an unknown status means ``new``."""
     status = F.when(F.col("status").isin(*ORDER_STATUSES), F.col("status")).otherwise("new")
-    last = changes.groupBy(parse_int(F.col("id")).alias("id")).agg(F.max_by(status, "seq").alias("changed"))
+    last = changes.groupBy(whole_number(changes, "id").alias("id")).agg(F.max_by(status, "seq").alias("changed"))
     joined = orders.join(last, "id", "left")
     return joined.withColumn("status", F.coalesce("changed", "status")).drop("changed")
 

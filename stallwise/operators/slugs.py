@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions.text import slugify
 from stallwise.operators.spread import running_count
+from stallwise.session import enable_checkpoints
 
 NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]+)$"
 IN_USE = -1  # earlier than any product
@@ -21,26 +22,30 @@ IN_USE = -1  # earlier than any product
 
 def assign_slugs(new: DataFrame, existing: DataFrame, title: str = "title", order: str = "id") -> DataFrame:
     """``new`` with a ``slug`` column; ``existing`` has the slugs in use, ``order`` is the arrival number."""
-    rows = new.withColumn("_root", slugify(F.col(title)))
-    ranked = running_count(rows, ["_root"], order, out="_rank")
-    roots = rows.groupBy("_root").agg(F.min(order).cast("bigint").alias("_first"))
+    enable_checkpoints(new.sparkSession)
+    # the titles are read once; all further work is on (root, arrival) pairs
+    pairs = new.select(slugify(F.col(title)).alias("_root"), F.col(order).cast("bigint").alias("_at")).checkpoint()
+    low, high, n = pairs.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
+    ranked = running_count(pairs, ["_root"], "_at", out="_rank", bounds=(low, high))
+    roots = pairs.groupBy("_root").agg(F.min("_at").alias("_from"))
     used = existing.select(F.col("slug").alias("_name")).distinct()
 
-    wanted = _wanted_names(roots, used)
+    wanted = _wanted_names(roots, used).checkpoint()
     own_used = roots.join(used, roots["_root"] == used["_name"], "left_semi").select("_root")
     if wanted.isEmpty() and own_used.isEmpty():
-        skipped = ranked.withColumn("_skips", F.lit(0))
+        placed = ranked.withColumn("_skips", F.lit(0))
     else:
-        skipped = _skip_taken(ranked, _taken(rows, order, wanted, own_used), ["_root"])
+        taken = _taken(pairs, wanted, own_used, (min(low, IN_USE), high))
+        placed = _skip_taken(ranked, taken, (1, n + 1))
     place = F.col("_rank") + F.col("_skips")
     slug = F.when(place == 1, F.col("_root")).otherwise(F.concat_ws("-", "_root", place.cast("string")))
-    return skipped.withColumn("slug", slug).drop("_root", "_rank", "_skips")
+    return new.join(placed.select(F.col("_at").alias(order), slug.alias("slug")), order)
 
 
 def _wanted_names(roots: DataFrame, used: DataFrame) -> DataFrame:
     """Numbered names that are in use or are roots themselves, where the root before the number occurs too."""
     names = used.select("_name", F.lit(IN_USE).cast("bigint").alias("_from")).unionByName(
-        roots.select(F.col("_root").alias("_name"), F.col("_first").alias("_from"))
+        roots.select(F.col("_root").alias("_name"), "_from")
     )
     names = names.filter(F.col("_name").rlike(NUMBERED)).groupBy("_name").agg(F.min("_from").alias("_from"))
     split = names.withColumns(
@@ -52,43 +57,39 @@ def _wanted_names(roots: DataFrame, used: DataFrame) -> DataFrame:
     return split.join(roots.select("_root"), "_root", "left_semi")
 
 
-def _taken(rows: DataFrame, order: str, wanted: DataFrame, own_used: DataFrame) -> DataFrame:
+def _taken(pairs: DataFrame, wanted: DataFrame, own_used: DataFrame, bounds: tuple[int, int]) -> DataFrame:
     """Places each root must skip: (_root, _rank), the place expressed as the rank it displaces."""
     # how many products of the root came before the first product of the name
     probes = wanted.select("_root", F.col("_from").alias("_at"), "_name", "_place", F.lit(False).alias("_product"))
-    products = rows.select(
-        "_root", F.col(order).cast("bigint").alias("_at"), F.lit(None).cast("string").alias("_name"),
-        F.lit(None).cast("bigint").alias("_place"), F.lit(True).alias("_product"),
+    products = pairs.join(wanted.select("_root").distinct(), "_root", "left_semi").select(
+        "_root", "_at", F.lit(None).cast("string").alias("_name"), F.lit(None).cast("bigint").alias("_place"),
+        F.lit(True).alias("_product"),
     )
-    with_probes = products.join(wanted.select("_root").distinct(), "_root", "left_semi").unionByName(probes)
-    before = running_count(with_probes, ["_root"], "_at", F.col("_product"), "_before", tie="_product")
+    both = products.unionByName(probes)
+    before = running_count(both, ["_root"], "_at", F.col("_product"), "_before", tie="_product", bounds=bounds)
+    # a root that is itself a numbered name must wait for the decision on it: shortest chains first
+    numbers = F.regexp_extract("_root", "((?:-[0-9]+)*)$", 1)
+    level = F.length(numbers) - F.length(F.replace(numbers, F.lit("-"), F.lit("")))
+    arrived = F.when(F.col("_at") == IN_USE, IN_USE).otherwise(F.col("_before"))
     contests = before.filter("NOT _product").select(
-        "_root", "_name", "_place", F.when(F.col("_at") == IN_USE, IN_USE).otherwise(F.col("_before")).alias("_before")
-    )
+        "_root", "_name", "_place", arrived.alias("_before"), level.alias("_level")
+    ).checkpoint()
 
-    # a root that is itself a numbered name must wait for the decision on it: shortest chains first
-    parts = F.length(F.regexp_extract("_root", r"((?:-[0-9]+)*)$", 1)) - F.length(
-        F.replace(F.regexp_extract("_root", r"((?:-[0-9]+)*)$", 1), F.lit("-"), F.lit(""))
-    )
-    contests = contests.withColumn("_level", parts).checkpoint()
-    levels = contests.agg(F.max("_level")).first()[0]
     lost = own_used  # roots whose plain name is gone
-    skips = [own_used.select("_root", F.lit(1).cast("bigint").alias("_rank"))]
-    for level in range((levels if levels is not None else -1) + 1):
-        at_level = contests.filter(F.col("_level") == level).join(
+    skips = own_used.select("_root", F.lit(1).cast("bigint").alias("_rank"))
+    for row in contests.select("_level").distinct().orderBy("_level").collect():  # a root has few numbers in it
+        at_level = contests.filter(F.col("_level") == row[0]).join(
             lost.distinct().withColumn("_lost", F.lit(True)), "_root", "left"
         )
         decided = at_level.groupBy("_root").applyInPandas(
             _decide, "_root string, _name string, _rank bigint, _skip boolean"
         ).checkpoint()
-        skips.append(decided.filter("_skip").select("_root", "_rank"))
         won = decided.filter("NOT _skip").select(F.col("_name").alias("_root"))
         lost = lost.unionByName(won)
-        skips.append(won.withColumn("_rank", F.lit(1).cast("bigint")))
-    out = skips[0]
-    for more in skips[1:]:
-        out = out.unionByName(more)
-    return out
+        skips = skips.unionByName(decided.filter("_skip").select("_root", "_rank")).unionByName(
+            won.withColumn("_rank", F.lit(1).cast("bigint"))
+        )
+    return skips
 
 
 def _decide(group: pd.DataFrame) -> pd.DataFrame:
@@ -103,14 +104,9 @@ def _decide(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_root": group["_root"], "_name": group["_name"], "_rank": ranks, "_skip": skip})
 
 
-def _skip_taken(ranked: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+def _skip_taken(ranked: DataFrame, taken: DataFrame, bounds: tuple[int, int]) -> DataFrame:
     """Add how many skipped places lie at or before each product's place."""
-    carried = [c for c in ranked.columns if c not in (*keys, "_rank")]
-    marks = taken.select(
-        *keys, "_rank", F.lit(None).cast(ranked.select(F.struct(*carried)).schema[0].dataType).alias("_row"),
-        F.lit(False).alias("_product"),
-    )
-    products = ranked.select(*keys, "_rank", F.struct(*carried).alias("_row"), F.lit(True).alias("_product"))
-    both = products.unionByName(marks).withColumn("_tie", F.col("_product").cast("int"))
-    counted = running_count(both, keys, "_rank", ~F.col("_product"), "_skips", tie="_tie")
-    return counted.filter("_product").select("_row.*", *keys, "_rank", "_skips")
+    marks = taken.filter(F.col("_rank") <= bounds[1]).select("_root", F.lit(None).cast("bigint").alias("_at"), "_rank")
+    both = ranked.unionByName(marks).withColumn("_product", F.col("_at").isNotNull())
+    counted = running_count(both, ["_root"], "_rank", ~F.col("_product"), "_skips", tie="_product", bounds=bounds)
+    return counted.filter("_product")

@@ -14,14 +14,14 @@ RANGES = 4096
 
 def running_count(
     df: DataFrame, keys: list[str], order: str, counted: Column | None = None, out: str = "n",
-    tie: str | None = None, ranges: int = RANGES,
+    tie: str | None = None, bounds: tuple[int, int] | None = None, ranges: int = RANGES,
 ) -> DataFrame:
     """Number of counted rows of the same group up to and including this one, by a whole-number order.
 
     Equal order values are told apart by ``tie``. Without ``counted`` every row counts, which
-    gives the row number.
+    gives the row number. ``bounds`` saves the look for the least and greatest order value.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high = bounds or df.agg(F.min(order), F.max(order)).first()
     if low is None:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     width = max(1, -(-(high - low + 1) // ranges))

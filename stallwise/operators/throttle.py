@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stallwise.session import enable_checkpoints
 
@@ -21,19 +21,29 @@ SLICES = 64  # slices of time per gap
 
 def throttled_views(
     views: DataFrame, keys: tuple[str, ...] = ("ip", "product_id"), ts: str = "ts",
-    gap_minutes: int = 30, fold_rows: int = FOLD_ROWS,
+    gap_minutes: int = 30, last: DataFrame | None = None, fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """The counted views: one row (keys, ts) each."""
+    """The counted views: one row (keys, ts) each.
+
+    ``last`` (keys, ts) has the last counted view of keys seen before; views up to it, and within
+    the gap after it, do not count.
+    """
     gap = gap_minutes * 60_000_000
     at = views.select(*keys, F.unix_micros(F.col(ts)).alias("_at")).filter("_at IS NOT NULL")
+    seed = None if last is None else last.select(*keys, F.unix_micros(F.col(ts)).alias("_seed"))
     busy = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows)
     busy = busy.select(*(F.col(k).alias(f"_busy_{k}") for k in keys))
     if busy.isEmpty():
-        counted = _fold(at, keys, gap)
+        counted = _fold(at, seed, keys, gap)
     else:
         match = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_busy_{k}")) for k in keys))
-        quiet = at.join(busy, match, "left_anti")
-        counted = _fold(quiet, keys, gap).unionByName(_chase(at.join(busy, match, "left_semi"), keys, gap))
+
+        def part(df: DataFrame | None, how: str) -> DataFrame | None:
+            return None if df is None else df.join(busy, match, how)
+
+        counted = _fold(part(at, "left_anti"), part(seed, "left_anti"), keys, gap).unionByName(
+            _chase(part(at, "left_semi"), part(seed, "left_semi"), keys, gap)
+        )
     return counted.select(*keys, F.timestamp_micros("_at").alias(ts))
 
 
@@ -41,26 +51,29 @@ def counted_per_product(counted: DataFrame, product: str = "product_id") -> Data
     return counted.groupBy(product).agg(F.count(F.lit(1)).alias("views"))
 
 
-def _fold(at: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
-    times = F.array_sort(F.collect_set("_at"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("counted"))
+def _fold(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int) -> DataFrame:
+    rows = at.withColumn("_seed", F.lit(None).cast("bigint"))
+    if seed is not None:
+        rows = rows.unionByName(seed.withColumn("_at", F.lit(None).cast("bigint")))
+    start = F.struct(F.col("_last").alias("last"), F.array().cast("array<bigint>").alias("counted"))
 
-    def step(acc, t):
+    def step(acc: Column, t: Column) -> Column:
         counts = acc["last"].isNull() | (t - acc["last"] > gap)
         return F.when(
             counts, F.struct(t.alias("last"), F.array_append(acc["counted"], t).alias("counted"))
         ).otherwise(acc)
 
-    grouped = at.groupBy(*keys).agg(times.alias("_times"))
+    grouped = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("_at")).alias("_times"), F.max("_seed").alias("_last")
+    )
     picked = F.aggregate("_times", start, step, lambda acc: acc["counted"])
     return grouped.select(*keys, F.explode(picked).alias("_at"))
 
 
-def _next_pointers(at: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
-    """For every distinct view the first view more than a gap later: (keys, _at, _next)."""
+def _next_pointers(views: DataFrame, k: list[str], gap: int) -> DataFrame:
+    """For every one of distinct views the first view more than a gap later: (keys, _at, _next)."""
     width = max(1, gap // SLICES)
-    k = list(keys)
-    views = at.distinct().withColumn("_slice", F.floor(F.col("_at") / F.lit(width)))
+    views = views.withColumn("_slice", F.floor(F.col("_at") / F.lit(width)))
     probes = views.select(
         *k, (F.col("_at") + gap).alias("_pos"), F.floor((F.col("_at") + gap) / F.lit(width)).alias("_slice"),
         F.col("_at").alias("_src"), F.lit(None).cast("bigint").alias("_value"), F.lit(1).alias("_kind"),
@@ -96,31 +109,38 @@ def _next_pointers(at: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
     )
 
 
-def _chase(at: DataFrame, keys: tuple[str, ...], gap: int) -> DataFrame:
+def _chase(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int) -> DataFrame:
     """Follow the pointers from each key's first view; reach doubles each round."""
-    k = list(keys)
     enable_checkpoints(at.sparkSession)
-    # NULL keys would not meet in the joins below
-    named = at.withColumns({f"_null_{i}": F.col(c).isNull() for i, c in enumerate(k)})
-    blanks = {c: F.coalesce(F.col(c), F.lit(_blank(named.schema[c].dataType))) for c in k}
-    marked = [f"_null_{i}" for i in range(len(k))]
-    clean = named.withColumns(blanks)
-    all_keys = tuple([*k, *marked])
-    reached = clean.groupBy(*all_keys).agg(F.min("_at").alias("_at"))
-    jump = _next_pointers(clean.select(*all_keys, "_at"), all_keys, gap).checkpoint()
+    k = [f"_key_{i}" for i in range(2 * len(keys))]
+    clean = _without_nulls(at, keys)
+    if seed is not None:
+        # the seed stands first among the key's views, and is taken out of the result
+        seeds = _without_nulls(seed, keys)
+        later = clean.join(seeds, k, "left").filter("_seed IS NULL OR _at > _seed").drop("_seed")
+        clean = later.unionByName(seeds.withColumnRenamed("_seed", "_at"))
+    clean = clean.distinct().checkpoint()
+    reached = clean.groupBy(*k).agg(F.min("_at").alias("_at"))
+    jump = _next_pointers(clean, k, gap).checkpoint()
     low, high = clean.agg(F.min("_at"), F.max("_at")).first()
     reach, longest = 1, (high - low) // gap + 2
     while reach < longest:
-        onward = reached.join(jump, [*all_keys, "_at"]).select(*all_keys, F.col("_next").alias("_at"))
+        onward = reached.join(jump, [*k, "_at"]).select(*k, F.col("_next").alias("_at"))
         reached = reached.unionByName(onward).checkpoint()
-        further = jump.select(*all_keys, F.col("_at").alias("_mid_next"), F.col("_next").alias("_end"))
-        jump = jump.join(
-            further.withColumnRenamed("_mid_next", "_next"), [*all_keys, "_next"]
-        ).select(*all_keys, "_at", F.col("_end").alias("_next")).checkpoint()
+        further = jump.select(*k, F.col("_at").alias("_next"), F.col("_next").alias("_end"))
+        jump = jump.join(further, [*k, "_next"]).select(*k, "_at", F.col("_end").alias("_next")).checkpoint()
         reach *= 2
-    restored = {c: F.when(~F.col(f"_null_{i}"), F.col(c)) for i, c in enumerate(k)}
-    return reached.withColumns(restored).select(*k, "_at")
-
-
-def _blank(data_type):
-    return "" if data_type.typeName() == "string" else 0
+    if seed is not None:
+        reached = reached.join(seeds.withColumnRenamed("_seed", "_at"), [*k, "_at"], "left_anti")
+    names = {
+        name: F.when(~F.col(f"_key_{len(keys) + i}"), F.col(f"_key_{i}")) for i, name in enumerate(keys)
+    }
+    return reached.withColumns(names).select(*keys, "_at")
+
+
+def _without_nulls(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys as columns that meet in joins even where they are NULL: the value, and whether it is missing."""
+    blank = {name: "" if df.schema[name].dataType == T.StringType() else 0 for name in keys}
+    values = [F.coalesce(F.col(name), F.lit(blank[name])).alias(f"_key_{i}") for i, name in enumerate(keys)]
+    missing = [F.col(name).isNull().alias(f"_key_{len(keys) + i}") for i, name in enumerate(keys)]
+    return df.select(*values, *missing, *(c for c in df.columns if c not in keys))

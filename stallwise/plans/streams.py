@@ -52,5 +52,6 @@ def stream_referrers(spark, sf):
 @query("stream_throttled_views", batch.throttle_sql("ip, product_id", 30, "kind = 'product'"), batch.VISITS, recursive=True)
 def stream_throttled_views(spark, sf):
     views = stream_of(spark, sf, "visits").filter("kind = 'product'")
-    counted = run_rows(spark, throttle.stream_throttled_views(views))
-    return counted.select("ip", "product_id", F.unix_micros("ts").alias("t"))
+    out = fresh_dir(spark, "throttle")
+    throttle.start_throttled_views(views, out, f"{out}/checkpoint").awaitTermination()
+    return throttle.counted_views(spark, out).select("ip", "product_id", F.unix_micros("ts").alias("t"))

@@ -1,48 +1,48 @@
-"""The view throttle over a stream: the last counted view of each key is the state."""
+"""The view throttle over a stream: what is carried on is the last counted view of each key.
 
-from __future__ import annotations
+Every micro-batch is worked off by the batch job, which copes with keys of any size, and leaves its
+counted views and the carried views in folders named by its number. A repeated batch starts
+from the same carried views and overwrites its own folders, so each view is counted once.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from stallwise.streaming.counters import LATENESS
+from stallwise.operators.throttle import throttled_views
 
 
-def stream_throttled_views(
-    views: DataFrame, keys: tuple[str, ...] = ("ip", "product_id"), gap_minutes: int = 30, lateness: str = LATENESS
-) -> DataFrame:
-    """Counted views (keys, ts) of a stream whose micro-batches arrive in time order.
+def start_throttled_views(
+    views: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = ("ip", "product_id"),
+    gap_minutes: int = 30, lateness_minutes: int = 24 * 60,
+) -> StreamingQuery:
+    """Write counted views (keys, ts) of a stream whose micro-batches arrive in time order.
 
-    A view older than one counted in an earlier micro-batch is not counted. Bound the micro-batches (files per
-    batch), as the times of one key within a batch are sorted together.
+    A view older than one of its key counted in an earlier micro-batch does not count. Keys are forgotten
+    once the stream is past their last counted view by the gap and the lateness.
     """
-    gap = gap_minutes * 60_000_000
-    at = views.select(*keys, "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", lateness)
-    types = dict(at.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "at bigint"])
-
-    def count(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([chunk["at"].to_numpy() for chunk in chunks]))
-        counted = []
-        i = 0 if last is None else int(np.searchsorted(times, last + gap, side="right"))
-        while i < len(times):
-            last = int(times[i])
-            counted.append(last)
-            i = int(np.searchsorted(times, last + gap, side="right"))
-        state.update((last,))
-        # once the gap has passed, the key counts anew whether it is remembered or not
-        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**dict(zip(keys, key)), "at": pd.Series(counted, dtype="int64")})
-
-    counted = at.groupBy(*keys).applyInPandasWithState(
-        count, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    gap = F.expr(f"INTERVAL {gap_minutes + lateness_minutes} MINUTES")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = batch.select(*keys, "ts").persist()
+        carried = spark.read.schema(at.schema).parquet(f"{out}/carried/{batch_id - 1}") if batch_id else None
+        throttled_views(at, keys, gap_minutes=gap_minutes, last=carried).write.mode("overwrite").parquet(
+            f"{out}/counted/batch={batch_id}"
+        )
+        counted = spark.read.schema(at.schema).parquet(f"{out}/counted/batch={batch_id}")
+        known = counted if carried is None else counted.unionByName(carried)
+        newest = known.select("ts").unionByName(at.select("ts")).agg(F.max("ts")).scalar()
+        last = known.groupBy(*keys).agg(F.max("ts").alias("ts")).filter(F.col("ts") >= newest - gap)
+        last.write.mode("overwrite").parquet(f"{out}/carried/{batch_id}")
+        at.unpersist()
+
+    return (
+        views.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
-    return counted.select(*keys, F.timestamp_micros("at").alias("ts"))
+
+
+def counted_views(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/counted").drop("batch")
