@@ -119,6 +119,11 @@ def store_discount(settings: DataFrame) -> Column:
     return settings.agg(percent.cast("int").alias("percent")).scalar()
 
 
+def with_ids(products: DataFrame, ids: DataFrame) -> DataFrame:
+    """Products whose id occurs in ``ids``, which is reduced to distinct ids before it is sent around."""
+    return products.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def by_slug(products: DataFrame, slug: str, include_inactive: bool = False) -> DataFrame:
     found = products.filter(F.col("slug") == slug)
     return found if include_inactive else found.filter("active")

@@ -134,24 +134,28 @@ def _clamp_discount(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def _check_skus(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """An edit's SKU must not belong to another piece, nor be claimed by an earlier edit of another piece."""
+    """An edit's SKU must not belong to another piece, nor be claimed by an earlier edit of another piece.
+
+    Where a piece has the SKU already, only edits of that piece get as far as claiming it. So one owner
+    and one claimant per SKU are enough, and are looked up in a single join, whose hot keys can be split.
+    """
     asks = F.col("problem").isNull() & F.col(flag("sku"))
+    # edits without a SKU to check meet nothing in the join, and are spread out rather than sent to one task
+    keyed = rows.withColumns(
+        {"_sku": F.when(asks, F.col("sku")), "_apart": F.when(asks, F.lit(0)).otherwise(F.col("seq"))}
+    )
+    claims = keyed.filter("_sku IS NOT NULL").groupBy("_sku").agg(F.min_by("id", "seq").alias("_claimant"))
     owners = products.groupBy(F.upper("sku").alias("_sku")).agg(F.max("id").cast("bigint").alias("_owner"))
-    # edits without a SKU to check meet nothing in the joins, and are spread out rather than sent to one task
-    keys = {"_sku": F.when(asks, F.col("sku")), "_apart": F.when(asks, F.lit(0)).otherwise(F.col("seq"))}
-    owned = rows.withColumns(keys).join(owners.withColumn("_apart", F.lit(0)), ["_sku", "_apart"], "left")
-    taken = F.col("_owner").isNotNull() & (F.col("_owner") != F.col("id"))
-    owned = owned.withColumn("problem", F.when(taken, _message("sku_taken", F.col("sku"))).otherwise(F.col("problem")))
-
-    claims = (
-        owned.filter(F.col("_sku").isNotNull() & F.col("problem").isNull())
-        .groupBy("_sku", "_apart").agg(F.min_by("id", "seq").alias("_holder"))
+    holders = claims.join(owners, "_sku", "left").withColumn("_apart", F.lit(0))
+    other = (
+        F.when(F.col("_owner") != F.col("id"), _message("sku_taken", F.col("sku")))
+        .when(F.col("_owner").isNull() & (F.col("_claimant") != F.col("id")), _message("sku_twice", F.col("sku")))
+    )
+    return (
+        keyed.join(holders, ["_sku", "_apart"], "left")
+        .withColumn("problem", F.coalesce("problem", other))
+        .drop("_sku", "_apart", "_owner", "_claimant")
     )
-    claimed = owned.join(claims, ["_sku", "_apart"], "left")
-    twice = F.col("problem").isNull() & F.col("_holder").isNotNull() & (F.col("_holder") != F.col("id"))
-    return claimed.withColumn(
-        "problem", F.when(twice, _message("sku_twice", F.col("sku"))).otherwise(F.col("problem"))
-    ).drop("_sku", "_apart", "_owner", "_holder")
 
 
 def bulk_apply(products: DataFrame, validated: DataFrame) -> DataFrame:

@@ -57,32 +57,31 @@ def normalise_products(raw: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(new: DataFrame, old: DataFrame, key: str = "sku", order: str = "id") -> DataFrame:
-    """Rows of ``new`` to be appended: those whose key is not in ``old``, the first one of each key."""
-    absent = new.join(old.select(key), key, "left_anti")
-    # the first rows are found by their own order number, so that a much repeated key is not gathered
-    first = absent.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return absent.join(first, order, "left_semi").select(*new.columns)
+    """Rows of ``new`` to be appended: those whose key is not in ``old``, the first one of each key.
+
+    The keys are reduced to one row each before they meet ``old``, and the chosen rows are found again by
+    their order number, so that a much repeated key is never gathered.
+    """
+    first = new.groupBy(key).agg(F.min(order).alias(order))
+    absent = first.join(old.select(key).distinct(), key, "left_anti").select(order)
+    return new.join(absent, order, "left_semi").select(*new.columns)
 
 
 def create_products(raw: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
     """Check new products in order; the rows without ``reason`` are accepted and have their slug."""
-    rows = normalise_products(raw)
-    basic = (
+    rows = normalise_products(raw).withColumn(
+        "reason",
         F.when(F.col("title") == "", NO_TITLE)
         .when(F.col("sku") == "", NO_SKU)
-        .when(F.col("price") <= 0, NO_PRICE)
+        .when(F.col("price") <= 0, NO_PRICE),
     )
-    taken = existing.select("sku").distinct().withColumn("_taken", F.lit(True))
     exists = F.concat(F.lit(SKU_EXISTS[0]), F.col("sku"), F.lit(SKU_EXISTS[1]))
-    checked = rows.withColumn("reason", basic).join(taken, "sku", "left")
-    checked = checked.withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_taken"), exists))
-    ).drop("_taken")
-    first = checked.filter("reason IS NULL").groupBy("sku").agg(F.min(order).alias(order))
-    first = first.select(order).withColumn("_first", F.lit(True))
-    decided = checked.join(first, order, "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_first").isNull(), exists))
-    ).drop("_first")
+    taken = existing.select("sku").distinct().withColumn("_taken", F.lit(True))
+    # per SKU: the first acceptable row, unless the catalogue has the SKU
+    first = rows.filter("reason IS NULL").groupBy("sku").agg(F.min(order).alias("_first"))
+    first = first.join(taken, "sku", "left")
+    late = F.when(F.coalesce("_taken", F.lit(False)) | (F.col("_first") != F.col(order)), exists)
+    decided = rows.join(first, "sku", "left").withColumn("reason", F.coalesce("reason", late)).drop("_first", "_taken")
     accepted = assign_slugs(decided.filter("reason IS NULL"), existing, order=order)
     refused = decided.filter("reason IS NOT NULL").withColumn("slug", F.lit(None).cast("string"))
     return accepted.unionByName(refused)
@@ -103,22 +102,20 @@ def full_update(products: DataFrame, updates: DataFrame, order: str = "seq") ->
     """
     rows = normalise_products(updates).withColumn("id", parse_int(F.col("id")))
     present = products.select(F.col("id").cast("bigint").alias("id")).withColumn("_present", F.lit(True))
-    owners = products.groupBy("sku").agg(
-        F.min("id").cast("bigint").alias("_owner"), F.max("id").cast("bigint").alias("_owner_2")
-    )
-    other = (F.col("_owner") != F.col("id")) | (F.col("_owner_2") != F.col("id"))
-    clash = F.concat(F.lit(SKU_TAKEN[0]), F.col("sku"), F.lit(SKU_TAKEN[1]))
-    reason = (
+    rows = rows.join(present, "id", "left").withColumn(
+        "reason",
         F.when(F.col("_present").isNull(), NOT_FOUND)
         .when(F.col("title") == "", NO_TITLE)
-        .when(F.col("price") <= 0, NO_PRICE)
-        .when(other, clash)
+        .when(F.col("price") <= 0, NO_PRICE),
     )
-    checked = rows.join(present, "id", "left").join(owners, "sku", "left").withColumn("reason", reason)
-    holders = checked.filter("reason IS NULL").groupBy("sku").agg(F.min_by("id", order).alias("_holder"))
-    checked = checked.join(holders, "sku", "left").withColumn(
+    # per SKU: its owner in the catalogue, or else the first update that asks for it
+    owners = products.select("sku", F.col("id").cast("bigint").alias("_owner"))
+    holders = rows.filter("reason IS NULL").groupBy("sku").agg(F.min_by("id", order).alias("_claimant"))
+    holders = holders.join(owners, "sku", "left").select("sku", F.coalesce("_owner", "_claimant").alias("_holder"))
+    clash = F.concat(F.lit(SKU_TAKEN[0]), F.col("sku"), F.lit(SKU_TAKEN[1]))
+    checked = rows.join(holders, "sku", "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_holder") != F.col("id"), clash))
-    ).drop("_present", "_owner", "_owner_2", "_holder")
+    ).drop("_present", "_holder")
     columns = [c for c in REPLACED if c in products.columns]
     last = checked.filter("reason IS NULL").groupBy("id").agg(
         F.max_by(F.struct(*columns), order).alias("_new")
@@ -130,7 +127,7 @@ def full_update(products: DataFrame, updates: DataFrame, order: str = "seq") ->
 
 def delete_products(products: DataFrame, reviews: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove products and, with them, their reviews."""
-    gone = ids.select(F.col("id").alias("_gone"))
+    gone = ids.select(F.col("id").alias("_gone")).distinct()
     return (
         products.join(gone, F.col("id") == F.col("_gone"), "left_anti"),
         reviews.join(gone, F.col("product_id") == F.col("_gone"), "left_anti"),

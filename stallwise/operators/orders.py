@@ -25,6 +25,22 @@ def explode_carts(carts: DataFrame) -> DataFrame:
     )
 
 
+def _wanted(lines: DataFrame) -> DataFrame:
+    """The lines that count, with the quantity asked for held within 1..10."""
+    return lines.filter(F.col("pos") <= MAX_CART_LINES).select(
+        "order_id", "pos", whole_number(lines, "product_id").alias("product_id"),
+        clamp(whole_number(lines, "qty_raw", 1), 1, MAX_LINE_QTY).alias("wanted"),
+    ).filter(F.col("product_id") != 0)
+
+
+def _live(products: DataFrame, *columns: str) -> DataFrame:
+    return products.filter("active").select(F.col("id").cast("bigint").alias("product_id"), "stock", *columns)
+
+
+def _sellable() -> Column:
+    return F.least(F.col("wanted"), F.greatest(F.lit(0), F.col("stock").cast("bigint")))
+
+
 def price_cart(lines: DataFrame, products: DataFrame, store_percent: Column | int = 0) -> DataFrame:
     """Priced lines of all carts: (order_id, pos, product_id, qty_raw) against the live catalogue.
 
@@ -32,19 +48,11 @@ def price_cart(lines: DataFrame, products: DataFrame, store_percent: Column | in
     the quantity is held within 1..10 and the stock, with a note where the stock was short.
     Lines of one piece stay separate.
     """
-    wanted_lines = lines.filter(F.col("pos") <= MAX_CART_LINES).select(
-        "order_id", "pos", whole_number(lines, "product_id").alias("product_id"),
-        clamp(whole_number(lines, "qty_raw", 1), 1, MAX_LINE_QTY).alias("wanted"),
-    ).filter(F.col("product_id") != 0)
-    live = products.filter("active").select(
-        F.col("id").cast("bigint").alias("product_id"), "sku", "title", "price", "stock",
-        "discount_type", "discount_value",
-    )
-    qty = F.least(F.col("wanted"), F.greatest(F.lit(0), F.col("stock").cast("bigint")))
+    live = _live(products, "sku", "title", "price", "discount_type", "discount_value")
     prices = price_of(F.col("price"), F.col("discount_type"), F.col("discount_value"), store_percent)
     return (
-        wanted_lines.join(live, "product_id")
-        .withColumn("qty", qty)
+        _wanted(lines).join(live, "product_id")
+        .withColumn("qty", _sellable())
         .filter(F.col("qty") >= 1)
         .withColumns(prices)
         .select(
@@ -145,13 +153,20 @@ def order_message(orders: DataFrame, shop: str, shop_phone: str) -> DataFrame:
     return orders.withColumn("message", message).withColumn("link", link)
 
 
-def sold_quantities(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("product_id").agg(F.sum("qty").alias("sold"))
+def sold_quantities(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Pieces sold per product over all carts.
+
+    Lines are first counted per product and quantity asked for, which leaves at most ten rows of a
+    product to meet the catalogue, however often it was ordered.
+    """
+    counted = _wanted(lines).groupBy("product_id", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    sold = counted.join(_live(products), "product_id")
+    return sold.groupBy("product_id").agg(F.sum(_sellable() * F.col("n")).alias("sold"))
 
 
-def apply_orders(products: DataFrame, priced: DataFrame) -> DataFrame:
+def apply_orders(products: DataFrame, lines: DataFrame) -> DataFrame:
     """Products with the sold quantities added to their order counters; stock is left alone."""
-    sold = sold_quantities(priced)
+    sold = sold_quantities(lines, products)
     joined = products.join(sold, products["id"] == sold["product_id"], "left").drop("product_id")
     return joined.withColumn("order_count", F.col("order_count") + F.coalesce("sold", F.lit(0))).drop("sold")
 
@@ -168,18 +183,19 @@ def set_order_status(orders: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.coalesce("changed", "status")).drop("changed")
 
 
-def bag_merge(additions: DataFrame, products: DataFrame) -> DataFrame:
+def bag_merge(additions: DataFrame, products: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Repeated additions (bag, product_id, qty) merged per piece, up to the piece's own limit.
 
     Every addition is at least 1, so cutting the sum once equals cutting after each addition.
-    A piece without stock is limited to 10, as one with unknown stock is.
+    A piece without stock is limited to 10, as one with unknown stock is. ``carry`` names columns
+    of the piece that go along.
     """
     stock = F.coalesce(F.nullif(F.col("stock").cast("bigint"), F.lit(0)), F.lit(MAX_LINE_QTY))
     cap = F.least(F.lit(MAX_LINE_QTY), F.greatest(F.lit(1), stock))
     merged = additions.groupBy("bag", "product_id").agg(F.sum("qty").alias("added"))
-    limits = products.select(F.col("id").alias("product_id"), cap.alias("cap"))
-    return merged.join(limits, "product_id").select(
-        "bag", "product_id", F.least("cap", "added").cast("bigint").alias("qty")
+    pieces = products.select(F.col("id").alias("product_id"), cap.alias("cap"), *carry)
+    return merged.join(pieces, "product_id").select(
+        "bag", "product_id", F.least("cap", "added").cast("bigint").alias("qty"), *carry
     )
 
 

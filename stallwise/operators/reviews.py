@@ -67,8 +67,9 @@ def approve_reviews(products: DataFrame, reviews: DataFrame, ids: DataFrame) ->
 
 def delete_reviews(products: DataFrame, reviews: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove the reviews in ``ids``, taking approved ones out of the rating counters."""
-    gone = reviews.join(ids.select("id"), "id", "left_semi")
-    kept = reviews.join(ids.select("id"), "id", "left_anti")
+    wanted = ids.select("id").distinct()
+    gone = reviews.join(wanted, "id", "left_semi")
+    kept = reviews.join(wanted, "id", "left_anti")
     return _shift_ratings(products, gone.filter("approved"), -1), kept
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stallwise.functions import text as tx
 from stallwise.operators import catalog as cat, orders as od
@@ -11,7 +11,6 @@ from stallwise.plans.registry import query, stamp, stamp_sql, with_position
 from stallwise.schemas import ORDER_ITEM
 from stallwise.sources.bindings import bind, settings
 from stallwise.sources.tables import hydrate
-from pyspark.sql import types as T
 
 CART = ("products_base", "cart_lines")
 ORDERS = ("products_base", "cart_lines", "order_requests")
@@ -156,7 +155,7 @@ def order_message(spark, sf):
        FROM products p LEFT JOIN priced x ON x.product_id = p.id GROUP BY p.id, p.order_count""",
        ("products", "products_base", "cart_lines"))
 def order_count_rollup(spark, sf):
-    return od.apply_orders(bind(spark, sf, "products"), priced(spark, sf)).select("id", "order_count")
+    return od.apply_orders(bind(spark, sf, "products"), bind(spark, sf, "cart_lines")).select("id", "order_count")
 
 
 @query("recent_orders", f"""SELECT position, order_id, name, phone, {stamp_sql("created_at")} AS created_at, status
@@ -192,15 +191,14 @@ BAG_SQL = """merged AS (SELECT order_id AS bag, product_id, least(CASE WHEN p.st
              FROM cart_lines c JOIN products_base p ON p.id = c.product_id GROUP BY order_id, product_id, p.stock)"""
 
 
-def _bags(spark: SparkSession, sf: str, products: DataFrame) -> DataFrame:
-    added = bind(spark, sf, "cart_lines").select(F.col("order_id").alias("bag"), "product_id",
-                                                 F.col("qty_raw").alias("qty"))
-    return od.bag_merge(added, products)
+def _additions(spark: SparkSession, sf: str) -> DataFrame:
+    lines = bind(spark, sf, "cart_lines")
+    return lines.select(F.col("order_id").alias("bag"), "product_id", F.col("qty_raw").alias("qty"))
 
 
 @query("bag_merge", f"WITH {BAG_SQL} SELECT bag, product_id, CAST(qty AS BIGINT) AS qty FROM merged", CART)
 def bag_merge(spark, sf):
-    return _bags(spark, sf, bind(spark, sf, "products_base"))
+    return od.bag_merge(_additions(spark, sf), bind(spark, sf, "products_base"))
 
 
 @query("bag_totals", f"""WITH {BAG_SQL}
@@ -208,8 +206,6 @@ def bag_merge(spark, sf):
               CAST(sum(greatest(0, list_price - final_price) * qty) AS BIGINT) AS saved
        FROM merged m JOIN ({price_sql("products_base")}) p ON p.id = m.product_id GROUP BY bag""", CART)
 def bag_totals(spark, sf):
-    products = bind(spark, sf, "products_base")
-    prices = cat.with_pricing(products, cat.store_discount(settings(spark))).select(
-        F.col("id").alias("product_id"), F.col("final_price").alias("price"), "list_price"
-    )
-    return od.bag_totals(_bags(spark, sf, products).join(prices, "product_id"))
+    prices = cat.with_pricing(bind(spark, sf, "products_base"), cat.store_discount(settings(spark)))
+    pieces = prices.withColumn("price", F.col("final_price"))
+    return od.bag_totals(od.bag_merge(_additions(spark, sf), pieces, carry=("price", "list_price")))

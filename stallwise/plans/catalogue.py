@@ -100,7 +100,7 @@ def listing_total(spark, sf):
        WHERE active AND id IN (SELECT product_id FROM cart_lines)""", ("products_base", "cart_lines"))
 def ids_semi(spark, sf):
     wanted = bind(spark, sf, "cart_lines").select(F.col("product_id").alias("id"))
-    return base(spark, sf).filter("active").join(wanted, "id", "left_semi").select("id", "sku", "price", "stock")
+    return cat.with_ids(base(spark, sf).filter("active"), wanted).select("id", "sku", "price", "stock")
 
 
 @query("product_by_slug", f"""SELECT id, slug, title, price, {AVG_SQL} AS avg_rating FROM products
