@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.schemas import MAX_DISCOUNT
+from stallwise.schemas import DISCOUNT_TYPES, MAX_DISCOUNT
 
 DAY_MICROS = 86_400_000_000.0
 
@@ -21,41 +21,50 @@ def less_percent(amount: Column, percent: Column) -> Column:
     return half_up(amount * (F.lit(1.0) - capped / F.lit(100.0)))
 
 
-def price_of(
-    price: Column, discount_type: Column, discount_value: Column, store_percent: Column | int = 0
-) -> dict[str, Column]:
-    """List price, final price, badge percentage and the discount's source.
+def _amount(c: Column) -> Column:
+    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(c.cast("bigint"), F.lit(0)))
 
-    A piece's own discount, if its value is above zero, rules out the store-wide offer.
-    """
-    nothing = F.lit(0).cast("bigint")
-    listed = F.greatest(nothing, F.coalesce(price.cast("bigint"), nothing))
-    value = F.greatest(nothing, F.coalesce(discount_value.cast("bigint"), nothing))
-    store = store_percent if isinstance(store_percent, Column) else F.lit(store_percent)
-    own = value > 0
-    by_percent = own & (discount_type == "percent")
-    by_amount = own & (discount_type == "amount")
-    by_store = F.coalesce(store > 0, F.lit(False))
 
+def final_price(listed: Column, discount_type: Column, value: Column, store: Column) -> Column:
+    """What is left of a list price. A piece's own discount, if above zero, rules out the store's offer."""
     reduced = (
-        F.when(by_percent, less_percent(listed, value))
-        .when(by_amount, F.greatest(less_percent(listed, F.lit(MAX_DISCOUNT)), listed - value))
-        .when(by_store, less_percent(listed, store))
+        F.when((value > 0) & (discount_type == "percent"), less_percent(listed, value))
+        .when(
+            (value > 0) & (discount_type == "amount"),
+            F.greatest(less_percent(listed, F.lit(MAX_DISCOUNT)), listed - value),
+        )
+        .when(store > 0, less_percent(listed, store))
         .otherwise(listed)
     )
-    final = F.greatest(nothing, F.least(listed, reduced))
-    badge = F.when(
-        (listed > 0) & (final < listed), half_up((F.lit(1.0) - final / listed) * F.lit(100.0))
-    ).otherwise(nothing)
-    source = F.when(by_percent | by_amount, "product").when(by_store, "store").otherwise("none")
-    return {"list_price": listed, "final_price": final, "discount_percent": badge, "discount_source": source}
+    return F.greatest(F.lit(0), F.least(listed, reduced))
+
+
+def discount_percent(listed: Column, final: Column) -> Column:
+    """Percentage on the badge, 0 if nothing is taken off."""
+    badge = half_up((F.lit(1.0) - final / listed) * F.lit(100.0))
+    return F.when((listed > 0) & (final < listed), badge).otherwise(F.lit(0).cast("bigint"))
+
+
+def discount_source(discount_type: Column, value: Column, store: Column) -> Column:
+    own = (value > 0) & discount_type.isin(*DISCOUNT_TYPES)
+    return F.when(own, "product").when(store > 0, "store").otherwise("none")
 
 
 def with_pricing(df: DataFrame, store_percent: Column | int = 0) -> DataFrame:
-    """Attach the four price columns to rows with price, discount_type and discount_value."""
-    return df.withColumns(
-        price_of(F.col("price"), F.col("discount_type"), F.col("discount_value"), store_percent)
+    """Attach list price, final price, badge percentage and the discount's source to rows with
+    price, discount_type and discount_value.
+
+    The columns are added in steps, so that each is worked out once per row.
+    """
+    store = store_percent if isinstance(store_percent, Column) else F.lit(store_percent)
+    kind, value, offer = F.col("discount_type"), F.col("_value"), F.col("_store")
+    listed, final = F.col("list_price"), F.col("final_price")
+    steps = df.withColumns(
+        {"list_price": _amount(F.col("price")), "_value": _amount(F.col("discount_value")), "_store": store}
+    ).withColumns(
+        {"final_price": final_price(listed, kind, value, offer), "discount_source": discount_source(kind, value, offer)}
     )
+    return steps.withColumn("discount_percent", discount_percent(listed, final)).drop("_value", "_store")
 
 
 def moment(at: datetime | str | Column) -> Column:

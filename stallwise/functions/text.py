@@ -35,14 +35,19 @@ def clean_text(c: Column, limit: int | None = None, upper: bool = False) -> Colu
 
 def parse_int(c: Column, default: int = 0) -> Column:
     """Leading whole number of a text; anything else, and zero, gives ``default``."""
-    digits = F.regexp_extract(c.cast("string"), f"^[{SPACE}]*([+-]?[0-9]+)", 1)
-    return F.coalesce(F.nullif(digits.try_cast("bigint"), F.lit(0)), F.lit(default).cast("bigint"))
+    number = F.regexp_extract(c.cast("string"), f"^[{SPACE}]*([+-]?[0-9]+)", 1).try_cast("bigint")
+    return _or_default(number, default)
+
+
+def _or_default(number: Column, default: int) -> Column:
+    found = F.when(number != 0, number) if default else number
+    return F.coalesce(found, F.lit(default).cast("bigint"))
 
 
 def whole_number(df: DataFrame, name: str, default: int = 0) -> Column:
     """``parse_int`` of a column, without the detour over text where it holds whole numbers already."""
     if isinstance(df.schema[name].dataType, T.IntegralType):
-        return F.coalesce(F.nullif(F.col(name).cast("bigint"), F.lit(0)), F.lit(default).cast("bigint"))
+        return _or_default(F.col(name).cast("bigint"), default)
     return parse_int(F.col(name), default)
 
 
@@ -73,7 +78,8 @@ def slugify(title: Column) -> Column:
     lowered = trim(F.lower(text(title)))
     plain = F.regexp_replace(lowered, f"[^a-z0-9{SPACE}-]", "")
     dashed = F.regexp_replace(plain, f"[{SPACE}-]+", "-")
-    return F.coalesce(F.nullif(F.substring(dashed, 1, 70), F.lit("")), F.lit("piece"))
+    cut = F.substring(dashed, 1, 70)
+    return F.when(cut == "", "piece").otherwise(cut)
 
 
 def digits_only(c: Column) -> Column:

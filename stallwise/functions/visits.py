@@ -40,8 +40,9 @@ def visitor_id(ip: Column, user_agent: Column, day: Column, salt: str) -> Column
 def url_host(url: Column) -> Column:
     """Host name of an absolute URL, NULL where the text is not one."""
     u = trim(text(url))
-    web = F.nullif(F.lower(F.regexp_extract(u, WEB_URL, 1)), F.lit(""))
-    return F.when(u.rlike(WEB_SCHEME), web).when(u.rlike(OTHER_URL), F.regexp_extract(u, OTHER_URL, 1))
+    web = F.lower(F.regexp_extract(u, WEB_URL, 1))
+    other = F.when(u.rlike(OTHER_URL), F.regexp_extract(u, OTHER_URL, 1))
+    return F.when(u.rlike(WEB_SCHEME), F.when(web != "", web)).otherwise(other)
 
 
 def referrer_channel(referer: Column, own_host: Column | str) -> Column:

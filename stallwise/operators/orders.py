@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.functions.pricing import price_of
+from stallwise.functions.pricing import with_pricing
 from stallwise.functions.text import (
     clamp, clean_text, encode_component, indian_digits, order_ref, text, whole_number,
 )
@@ -49,13 +49,9 @@ def price_cart(lines: DataFrame, products: DataFrame, store_percent: Column | in
     Lines of one piece stay separate.
     """
     live = _live(products, "sku", "title", "price", "discount_type", "discount_value")
-    prices = price_of(F.col("price"), F.col("discount_type"), F.col("discount_value"), store_percent)
+    sold = _wanted(lines).join(live, "product_id").withColumn("qty", _sellable()).filter(F.col("qty") >= 1)
     return (
-        _wanted(lines).join(live, "product_id")
-        .withColumn("qty", _sellable())
-        .filter(F.col("qty") >= 1)
-        .withColumns(prices)
-        .select(
+        with_pricing(sold, store_percent).select(
             "order_id", "pos", "product_id", "sku", "title", F.col("final_price").alias("price"),
             "list_price", "discount_percent", "qty",
             F.when(

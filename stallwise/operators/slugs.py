@@ -1,15 +1,17 @@
 """Unique slugs for a batch of new products, as if they had been added one by one.
 
-Every product takes the first free name of ``root, root-2, root-3, ...``. A name is wanted by at
-most two roots: by the root equal to it, and, when it ends in a number, by the root before the
-number. All other names depend only on how many products of the same root came earlier, so the job is a
-count per root, plus a decision for each name that two roots want (or that is in use already).
-Products themselves are never gathered; only the wanted names of one root are.
+Every product takes the first free name of ``root, root-2, root-3, ...``. So the k-th product of a
+root gets the k-th place that is not taken when its turn comes, and the job is to find the places a root must skip:
+
+* places in use by existing products;
+* places that products of another root took first: a root that ends in a number, such as ``ring-2``, competes
+  with the root before the number for the name they share.
+
+Both are found by counting, with no group of products, places or names ever brought together in a task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stallwise.functions.text import slugify
@@ -17,96 +19,106 @@ from stallwise.operators.spread import running_count
 from stallwise.session import enable_checkpoints
 
 NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]+)$"
-IN_USE = -1  # earlier than any product
 
 
 def assign_slugs(new: DataFrame, existing: DataFrame, title: str = "title", order: str = "id") -> DataFrame:
-    """``new`` with a ``slug`` column; ``existing`` has the slugs in use, ``order`` is the arrival number."""
+    """``new`` with a ``slug`` column; ``existing`` has the slugs in use, ``order`` is the arrival number.
+
+    Arrival numbers are unique whole numbers without wide gaps, as running ids are.
+    """
     enable_checkpoints(new.sparkSession)
     # the titles are read once; all further work is on (root, arrival) pairs
     pairs = new.select(slugify(F.col(title)).alias("_root"), F.col(order).cast("bigint").alias("_at")).checkpoint()
     low, high, n = pairs.agg(F.min("_at"), F.max("_at"), F.count(F.lit(1))).first()
     ranked = running_count(pairs, ["_root"], "_at", out="_rank", bounds=(low, high))
     roots = pairs.groupBy("_root").agg(F.min("_at").alias("_from"))
-    used = existing.select(F.col("slug").alias("_name")).distinct()
 
-    wanted = _wanted_names(roots, used).checkpoint()
-    own_used = roots.join(used, roots["_root"] == used["_name"], "left_semi").select("_root")
-    if wanted.isEmpty() and own_used.isEmpty():
+    used = _used_places(existing, roots).checkpoint()
+    shared = _shared_names(roots, existing).checkpoint()
+    taken = used
+    if not shared.isEmpty():
+        taken = used.unionByName(_lost_places(pairs, shared, used, (low, high)))
+    if taken.isEmpty():
         placed = ranked.withColumn("_skips", F.lit(0))
     else:
-        taken = _taken(pairs, wanted, own_used, (min(low, IN_USE), high))
-        placed = _skip_taken(ranked, taken, (1, n + 1))
+        placed = _skip_taken(ranked, taken, n)
     place = F.col("_rank") + F.col("_skips")
     slug = F.when(place == 1, F.col("_root")).otherwise(F.concat_ws("-", "_root", place.cast("string")))
     return new.join(placed.select(F.col("_at").alias(order), slug.alias("slug")), order)
 
 
-def _wanted_names(roots: DataFrame, used: DataFrame) -> DataFrame:
-    """Numbered names that are in use or are roots themselves, where the root before the number occurs too."""
-    names = used.select("_name", F.lit(IN_USE).cast("bigint").alias("_from")).unionByName(
-        roots.select(F.col("_root").alias("_name"), "_from")
-    )
-    names = names.filter(F.col("_name").rlike(NUMBERED)).groupBy("_name").agg(F.min("_from").alias("_from"))
-    split = names.withColumns(
+def _places(names: DataFrame) -> DataFrame:
+    """Numbered names as places of the root before the number."""
+    return names.withColumns(
         {
             "_root": F.regexp_extract("_name", NUMBERED, 1),
             "_place": F.regexp_extract("_name", NUMBERED, 2).try_cast("bigint"),
         }
     ).filter("_place IS NOT NULL")
-    return split.join(roots.select("_root"), "_root", "left_semi")
 
 
-def _taken(pairs: DataFrame, wanted: DataFrame, own_used: DataFrame, bounds: tuple[int, int]) -> DataFrame:
-    """Places each root must skip: (_root, _rank), the place expressed as the rank it displaces."""
-    # how many products of the root came before the first product of the name
-    probes = wanted.select("_root", F.col("_from").alias("_at"), "_name", "_place", F.lit(False).alias("_product"))
-    products = pairs.join(wanted.select("_root").distinct(), "_root", "left_semi").select(
-        "_root", "_at", F.lit(None).cast("string").alias("_name"), F.lit(None).cast("bigint").alias("_place"),
-        F.lit(True).alias("_product"),
+def _used_places(existing: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_root, _place) in use by existing products, for the roots of the batch."""
+    names = existing.select(F.col("slug").alias("_name")).distinct()
+    plain = names.select(F.col("_name").alias("_root"), F.lit(1).cast("bigint").alias("_place"))
+    places = plain.unionByName(_places(names).select("_root", "_place"))
+    return places.join(roots.select("_root"), "_root", "left_semi")
+
+
+def _shared_names(roots: DataFrame, existing: DataFrame) -> DataFrame:
+    """Roots that are a place of another root of the batch, and free so far: (_root, _place, _name, _from)."""
+    names = _places(roots.select(F.col("_root").alias("_name"), "_from"))
+    free = names.join(existing.select(F.col("slug").alias("_name")).distinct(), "_name", "left_anti")
+    return free.join(roots.select("_root"), "_root", "left_semi")
+
+
+def _lost_places(pairs: DataFrame, shared: DataFrame, used: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """(_root, _place) lost to a root that shares the name.
+
+    The root before the number gets the name if it reaches that place before the other's first product
+    arrives. When it gets there depends on the places it skipped on the way, so the decisions are made for
+    all names at once, on a guess of the skipped places, again and again until nothing changes. Each decision
+    rests on those for smaller places and shorter roots alone: whatever stands still is the right answer.
+    """
+    # products of the root that arrived before the first product of the name
+    marks = shared.select("_root", F.col("_from").alias("_at"), "_name", "_place")
+    products = pairs.join(shared.select("_root").distinct(), "_root", "left_semi").select(
+        "_root", "_at", F.lit(None).cast("string").alias("_name"), F.lit(None).cast("bigint").alias("_place")
+    )
+    arrived = running_count(
+        products.unionByName(marks).withColumn("_product", F.col("_name").isNull()),
+        ["_root"], "_at", F.col("_product"), "_before", bounds=bounds,
+    ).filter("NOT _product")
+    names = arrived.select("_root", "_place", "_name", "_before", F.lit(True).alias("_skip"))
+    fixed = used.join(shared.select("_root").distinct(), "_root", "left_semi").select(
+        "_root", "_place", F.lit(None).cast("string").alias("_name"), F.lit(-1).cast("bigint").alias("_before"),
+        F.lit(True).alias("_skip"),
     )
-    both = products.unionByName(probes)
-    before = running_count(both, ["_root"], "_at", F.col("_product"), "_before", tie="_product", bounds=bounds)
-    # a root that is itself a numbered name must wait for the decision on it: shortest chains first
-    numbers = F.regexp_extract("_root", "((?:-[0-9]+)*)$", 1)
-    level = F.length(numbers) - F.length(F.replace(numbers, F.lit("-"), F.lit("")))
-    arrived = F.when(F.col("_at") == IN_USE, IN_USE).otherwise(F.col("_before"))
-    contests = before.filter("NOT _product").select(
-        "_root", "_name", "_place", arrived.alias("_before"), level.alias("_level")
-    ).checkpoint()
-
-    lost = own_used  # roots whose plain name is gone
-    skips = own_used.select("_root", F.lit(1).cast("bigint").alias("_rank"))
-    for row in contests.select("_level").distinct().orderBy("_level").collect():  # a root has few numbers in it
-        at_level = contests.filter(F.col("_level") == row[0]).join(
-            lost.distinct().withColumn("_lost", F.lit(True)), "_root", "left"
-        )
-        decided = at_level.groupBy("_root").applyInPandas(
-            _decide, "_root string, _name string, _rank bigint, _skip boolean"
+    state = names.unionByName(fixed).checkpoint()
+    reach = (1, state.count() + bounds[1] - bounds[0] + 2)  # no root gets beyond
+    state = state.filter(F.col("_place") <= reach[1])
+    while True:
+        won = state.filter("NOT _skip").select(F.col("_name").alias("_root"), F.lit(1).alias("_plain_gone"))
+        counted = running_count(state, ["_root"], "_place", F.col("_skip"), "_skipped", bounds=reach)
+        gone = F.col("_skipped") - F.col("_skip").cast("int") + F.coalesce("_plain_gone", F.lit(0))
+        decided = counted.join(won, "_root", "left").select(
+            "_root", "_place", "_name", "_before", (F.col("_before") < F.col("_place") - gone).alias("_skip"),
+            F.col("_skip").alias("_guess"),
         ).checkpoint()
-        won = decided.filter("NOT _skip").select(F.col("_name").alias("_root"))
-        lost = lost.unionByName(won)
-        skips = skips.unionByName(decided.filter("_skip").select("_root", "_rank")).unionByName(
-            won.withColumn("_rank", F.lit(1).cast("bigint"))
-        )
-    return skips
-
-
-def _decide(group: pd.DataFrame) -> pd.DataFrame:
-    """Walk the wanted names of one root by number: skipped if gone before the root gets there."""
-    group = group.sort_values("_place")
-    gone = int(group["_lost"].notna().any())
-    ranks, skip = [], []
-    for place, before in zip(group["_place"], group["_before"]):
-        ranks.append(place - gone)
-        skip.append(before < place - gone)
-        gone += skip[-1]
-    return pd.DataFrame({"_root": group["_root"], "_name": group["_name"], "_rank": ranks, "_skip": skip})
-
-
-def _skip_taken(ranked: DataFrame, taken: DataFrame, bounds: tuple[int, int]) -> DataFrame:
-    """Add how many skipped places lie at or before each product's place."""
-    marks = taken.filter(F.col("_rank") <= bounds[1]).select("_root", F.lit(None).cast("bigint").alias("_at"), "_rank")
-    both = ranked.unionByName(marks).withColumn("_product", F.col("_at").isNotNull())
-    counted = running_count(both, ["_root"], "_rank", ~F.col("_product"), "_skips", tie="_product", bounds=bounds)
+        state = decided.drop("_guess")
+        if decided.filter("_skip <> _guess").isEmpty():
+            break
+    lost = state.filter("_skip AND _name IS NOT NULL").select("_root", "_place")
+    plain = state.filter("NOT _skip").select(F.col("_name").alias("_root"), F.lit(1).cast("bigint").alias("_place"))
+    return lost.unionByName(plain)
+
+
+def _skip_taken(ranked: DataFrame, taken: DataFrame, n: int) -> DataFrame:
+    """Add how many taken places lie before each product's own."""
+    reach = taken.count() + n  # no product gets beyond
+    index = running_count(taken.filter(F.col("_place") <= reach), ["_root"], "_place", out="_index", bounds=(1, reach))
+    # the rank whose product would have stood there
+    marks = index.select("_root", F.lit(None).cast("bigint").alias("_at"), (F.col("_place") - F.col("_index") + 1).alias("_rank"))
+    both = ranked.unionByName(marks.filter(F.col("_rank") <= n)).withColumn("_product", F.col("_at").isNotNull())
+    counted = running_count(both, ["_root"], "_rank", ~F.col("_product"), "_skips", tie="_product", bounds=(1, n))
     return counted.filter("_product")

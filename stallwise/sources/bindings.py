@@ -158,11 +158,22 @@ TEXTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "edits_clean": (EDITS_CLEAN.replace("{products}", "{products_base}"), ("products_base",)),
     "edits_dirty": (EDITS_DIRTY.replace("{edits}", "{edits_clean}"), ("products_base", "edits_clean")),
 }
-SAMPLE_TABLES = ("part", "lineitem", "orders", "events", "pages")
+# Column types of the sample tables, so that reading starts without looking into files.
+SAMPLE_TABLES = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
 def sample(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SAMPLE_TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,7 +198,7 @@ def with_ctes(sql: str, *names: str, recursive: bool = False) -> str:
 
 def settings(spark: SparkSession) -> DataFrame:
     """The settings table: one store-wide discount."""
-    return spark.createDataFrame([("store_discount", str(STORE_DISCOUNT))], "key string, value string")
+    return spark.sql(f"SELECT 'store_discount' AS key, '{STORE_DISCOUNT}' AS value")
 
 
 def product_images(products: DataFrame) -> DataFrame:

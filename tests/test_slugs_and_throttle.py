@@ -94,3 +94,15 @@ def test_throttle_at_random(spark, fold_rows):
     for ip in ("hot", "sparse", "burst", "once"):
         times = [int(round(s * 1e6)) for i, _, s in rows if i == ip]
         assert counted_seconds(got, ip) == [t / 1e6 for t in greedy(times, 1_800_000_000)]
+
+
+def test_slugs_in_long_chains(spark):
+    """Names shared by many roots at once, decided in both ways."""
+    rnd = random.Random(11)
+    titles = [f"a {n}" for n in range(2, 40)] + [f"a 2 {n}" for n in range(2, 9)] + ["a"] * 40 + ["a 2"] * 12
+    rnd.shuffle(titles)
+    titles = list(enumerate(titles + ["a 999999999999999999", "b"]))
+    taken = {f"a-{n}" for n in range(5, 60, 5)} | {"a-2-4", "a-7000000000", "b", "b-2", "b-4"}
+    got = assign_slugs(spark.createDataFrame(titles, "id bigint, title string"),
+                       spark.createDataFrame([(s,) for s in taken], "slug string"))
+    assert {r.id: r.slug for r in got.collect()} == one_by_one(titles, taken)

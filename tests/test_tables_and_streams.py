@@ -12,9 +12,12 @@ from stallwise.operators import throttle as th, traffic as tr
 from stallwise.schemas import ORDER_ITEM
 from stallwise.session import fresh_dir
 from stallwise.sources import tables
+from stallwise.sources.bindings import SAMPLE_TABLES, sample
 from stallwise.streaming import counters, sinks, throttle
 from test_operators import products, rows
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv", "orc"])
 def test_tables(spark, tmp_path, fmt):
@@ -25,6 +28,13 @@ def test_tables(spark, tmp_path, fmt):
         p, "id", "title", "images", "price", "active", "created_at")
 
 
+@pytest.mark.parametrize("name", list(SAMPLE_TABLES))
+def test_sample_schemas(spark, name):
+    declared = {f.name: f.dataType for f in sample(spark, SF_DIR, name).schema}
+    found = {f.name: f.dataType for f in spark.read.parquet(f"{SF_DIR}/{name}.parquet").schema}
+    assert declared == found
+
+
 def test_hydrate(spark):
     texts = spark.createDataFrame([('[{"id":1,"qty":2}]',), ("[{",), (None,), ("[]",)], "v string")
     parsed = texts.select(tables.hydrate(F.col("v"), T.ArrayType(ORDER_ITEM)).alias("items"))
