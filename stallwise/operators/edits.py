@@ -140,21 +140,21 @@ def _check_skus(rows: DataFrame, products: DataFrame) -> DataFrame:
     and one claimant per SKU are enough, and are looked up in a single join, whose hot keys can be split.
     """
     asks = F.col("problem").isNull() & F.col(flag("sku"))
-    # edits without a SKU to check meet nothing in the join, and are spread out rather than sent to one task
-    keyed = rows.withColumns(
-        {"_sku": F.when(asks, F.col("sku")), "_apart": F.when(asks, F.lit(0)).otherwise(F.col("seq"))}
-    )
-    claims = keyed.filter("_sku IS NOT NULL").groupBy("_sku").agg(F.min_by("id", "seq").alias("_claimant"))
+    # edits without a SKU to check get a key of their own: they meet nothing in the join, in many tasks
+    key = F.when(asks, F.concat(F.lit("sku "), "sku")).otherwise(F.concat(F.lit("edit "), F.col("seq").cast("string")))
+    claims = rows.filter(asks).groupBy(F.col("sku").alias("_sku")).agg(F.min_by("id", "seq").alias("_claimant"))
     owners = products.groupBy(F.upper("sku").alias("_sku")).agg(F.max("id").cast("bigint").alias("_owner"))
-    holders = claims.join(owners, "_sku", "left").withColumn("_apart", F.lit(0))
+    holders = claims.join(owners, "_sku", "left").select(
+        F.concat(F.lit("sku "), "_sku").alias("_key"), "_claimant", "_owner"
+    )
     other = (
         F.when(F.col("_owner") != F.col("id"), _message("sku_taken", F.col("sku")))
         .when(F.col("_owner").isNull() & (F.col("_claimant") != F.col("id")), _message("sku_twice", F.col("sku")))
     )
     return (
-        keyed.join(holders, ["_sku", "_apart"], "left")
+        rows.withColumn("_key", key).join(holders, "_key", "left")
         .withColumn("problem", F.coalesce("problem", other))
-        .drop("_sku", "_apart", "_owner", "_claimant")
+        .drop("_key", "_owner", "_claimant")
     )
 
 

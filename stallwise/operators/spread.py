@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES = 4096
 
 
+def slot(c: Column, width: int) -> Column:
+    """Number of the stretch of ``width`` whole numbers that a value lies in; worked out without rounding."""
+    size = F.lit(width).cast("bigint")
+    return ((c - F.pmod(c, size)) / size).cast("bigint")
+
+
 def running_count(
     df: DataFrame, keys: list[str], order: str, counted: Column | None = None, out: str = "n",
     tie: str | None = None, bounds: tuple[int, int] | None = None, ranges: int = RANGES,
@@ -25,7 +31,7 @@ def running_count(
     if low is None:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     width = max(1, -(-(high - low + 1) // ranges))
-    marked = df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int")).withColumn(
+    marked = df.withColumn("_range", slot(F.col(order) - F.lit(low), width)).withColumn(
         "_one", (counted if counted is not None else F.lit(True)).cast("bigint")
     )
     by_order = [F.col(order), *([F.col(tie)] if tie else [])]

@@ -4,7 +4,7 @@ This is not a session window: a steady drip of views, each within the gap of the
 counts again and again. Keys with few views are folded in time order inside one row. Keys with very
 many (a crawler, a shared address) never come together in a task: every view gets a pointer to the
 view that would count next after it, found within short slices of time, and the counted views are
-those reached from the first one, in rounds that double the distance covered.
+those reached from the first one, block of time by block of time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from stallwise.operators.spread import slot
 from stallwise.session import enable_checkpoints
 
 FOLD_ROWS = 20_000
@@ -71,11 +72,11 @@ def _fold(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int
 
 
 def _next_pointers(views: DataFrame, k: list[str], gap: int) -> DataFrame:
-    """For every one of distinct views the first view more than a gap later: (keys, _at, _next)."""
+    """For every one of distinct views the first view more than a gap later, if any: (keys, _at, _next)."""
     width = max(1, gap // SLICES)
-    views = views.withColumn("_slice", F.floor(F.col("_at") / F.lit(width)))
+    views = views.withColumn("_slice", slot(F.col("_at"), width))
     probes = views.select(
-        *k, (F.col("_at") + gap).alias("_pos"), F.floor((F.col("_at") + gap) / F.lit(width)).alias("_slice"),
+        *k, (F.col("_at") + gap).alias("_pos"), slot(F.col("_at") + gap, width).alias("_slice"),
         F.col("_at").alias("_src"), F.lit(None).cast("bigint").alias("_value"), F.lit(1).alias("_kind"),
     )
     marks = views.select(
@@ -105,12 +106,11 @@ def _next_pointers(views: DataFrame, k: list[str], gap: int) -> DataFrame:
         .withColumn("_next", F.last("_value", ignorenulls=True).over(backwards))
         .filter("_kind = 1")
         .select(*k, F.col("_src").alias("_at"), "_next")
-        .filter("_next IS NOT NULL")
     )
 
 
 def _chase(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int) -> DataFrame:
-    """Follow the pointers from each key's first view; reach doubles each round."""
+    """Counted views of busy keys, by pointers from view to view."""
     enable_checkpoints(at.sparkSession)
     k = [f"_key_{i}" for i in range(2 * len(keys))]
     clean = _without_nulls(at, keys)
@@ -120,16 +120,7 @@ def _chase(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: in
         later = clean.join(seeds, k, "left").filter("_seed IS NULL OR _at > _seed").drop("_seed")
         clean = later.unionByName(seeds.withColumnRenamed("_seed", "_at"))
     clean = clean.distinct().checkpoint()
-    reached = clean.groupBy(*k).agg(F.min("_at").alias("_at"))
-    jump = _next_pointers(clean, k, gap).checkpoint()
-    low, high = clean.agg(F.min("_at"), F.max("_at")).first()
-    reach, longest = 1, (high - low) // gap + 2
-    while reach < longest:
-        onward = reached.join(jump, [*k, "_at"]).select(*k, F.col("_next").alias("_at"))
-        reached = reached.unionByName(onward).checkpoint()
-        further = jump.select(*k, F.col("_at").alias("_next"), F.col("_next").alias("_end"))
-        jump = jump.join(further, [*k, "_next"]).select(*k, "_at", F.col("_end").alias("_next")).checkpoint()
-        reach *= 2
+    reached = _walk(clean, k, gap)
     if seed is not None:
         reached = reached.join(seeds.withColumnRenamed("_seed", "_at"), [*k, "_at"], "left_anti")
     names = {
@@ -138,6 +129,42 @@ def _chase(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: in
     return reached.withColumns(names).select(*keys, "_at")
 
 
+def _walk(views: DataFrame, k: list[str], gap: int) -> DataFrame:
+    """The counted views among distinct ones, by blocks of time that double in length.
+
+    A stretch of one gap holds one counted view at most. Of a longer block only the views that can be
+    the first counted one in it matter: those in its first gap, and the first one after that. For
+    these the first counted view beyond the block follows from two steps over its halves. So
+    each level has half the views of the one below, and all levels together about twice the views. Going
+    down again from the key's first view, each level adds the first counted views of the second halves.
+    """
+    low, high = views.agg(F.min("_at"), F.max("_at")).first()
+
+    def block(c: str, level: int) -> Column:
+        return slot(F.col(c), gap * 2**level)
+
+    steps = [_next_pointers(views, k, gap).checkpoint()]
+    while low // (gap * 2 ** (len(steps) - 1)) != high // (gap * 2 ** (len(steps) - 1)):
+        level, below = len(steps), steps[-1]
+        leading = F.pmod(block("_at", 0), F.lit(2**level)) == 0
+        firsts = below.filter(~leading).groupBy(*k, block("_at", level).alias("_block")).agg(
+            F.min_by("_next", "_at").alias("_next"), F.min("_at").alias("_at")
+        )
+        entries = below.filter(leading).unionByName(firsts.select(*below.columns))
+        second = below.select(*k, F.col("_at").alias("_next"), F.col("_next").alias("_beyond"))
+        inside = block("_next", level) == block("_at", level)
+        onward = F.when(inside, F.col("_beyond")).otherwise(F.col("_next"))
+        steps.append(
+            entries.join(second, [*k, "_next"], "left").select(*k, "_at", onward.alias("_next")).checkpoint()
+        )
+    reached = views.groupBy(*k).agg(F.min("_at").alias("_at"))
+    for level in range(len(steps) - 2, -1, -1):
+        inside = block("_next", level + 1) == block("_at", level + 1)
+        halves = reached.join(steps[level], [*k, "_at"]).filter(inside).select(*k, F.col("_next").alias("_at"))
+        reached = reached.unionByName(halves).checkpoint()
+    return reached
+
+
 def _without_nulls(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Keys as columns that meet in joins even where they are NULL: the value, and whether it is missing."""
     blank = {name: "" if df.schema[name].dataType == T.StringType() else 0 for name in keys}

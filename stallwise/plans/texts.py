@@ -28,21 +28,19 @@ def clean_text(spark, sf):
     return sample(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text"), 40, upper=True).alias("head"))
 
 
-@query("parse_int", r"""SELECT order_id, pos, coalesce(TRY_CAST(regexp_extract(raw, '^\s*([+-]?[0-9]+)', 1) AS BIGINT), 0) AS value,
-              coalesce(nullif(TRY_CAST(regexp_extract(raw, '^\s*([+-]?[0-9]+)', 1) AS BIGINT), 0), 1) AS value_or_1
-       FROM (SELECT order_id, pos, CASE pos % 6 WHEN 0 THEN CAST(qty_raw AS VARCHAR) || 'abc' WHEN 1 THEN '  ' || CAST(qty_raw AS VARCHAR)
-                 WHEN 2 THEN CAST(qty_raw AS VARCHAR) || '.9' WHEN 3 THEN 'x' || CAST(qty_raw AS VARCHAR)
-                 WHEN 4 THEN '-' || CAST(qty_raw % 3 AS VARCHAR) ELSE '' END AS raw FROM cart_lines) c""", ("cart_lines",))
+INT_SQL = r"TRY_CAST(regexp_extract(raw, '^\s*([+-]?[0-9]+)', 1) AS BIGINT)"
+RAW = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey AS STRING) || 'abc'
+    WHEN 1 THEN '  ' || CAST(o_custkey AS STRING) WHEN 2 THEN CAST(o_custkey AS STRING) || '.9'
+    WHEN 3 THEN 'x' || CAST(o_custkey AS STRING) WHEN 4 THEN '-' || CAST(o_custkey % 3 AS STRING) ELSE '' END AS raw
+    FROM {orders}"""
+
+
+@query("parse_int", f"""SELECT o_orderkey, coalesce({INT_SQL}, 0) AS value, coalesce(nullif({INT_SQL}, 0), 1) AS value_or_1
+       FROM ({RAW.format(orders="orders")}) o""")
 def parse_int(spark, sf):
-    qty, turn = F.col("qty_raw").cast("string"), F.col("pos") % 6
-    raw = (
-        F.when(turn == 0, F.concat(qty, F.lit("abc"))).when(turn == 1, F.concat(F.lit("  "), qty))
-        .when(turn == 2, F.concat(qty, F.lit(".9"))).when(turn == 3, F.concat(F.lit("x"), qty))
-        .when(turn == 4, F.concat(F.lit("-"), (F.col("qty_raw") % 3).cast("string"))).otherwise("")
-    )
-    return bind(spark, sf, "cart_lines").select(
-        "order_id", F.col("pos").cast("bigint").alias("pos"), tx.parse_int(raw).alias("value"),
-        tx.parse_int(raw, 1).alias("value_or_1"),
+    raw = F.col("raw")
+    return spark.sql(RAW, orders=sample(spark, sf, "orders")).select(
+        "o_orderkey", tx.parse_int(raw).alias("value"), tx.parse_int(raw, 1).alias("value_or_1")
     )
 
 
