@@ -35,19 +35,16 @@ def clean_text(c: Column, limit: int | None = None, upper: bool = False) -> Colu
 
 def parse_int(c: Column, default: int = 0) -> Column:
     """Leading whole number of a text; anything else, and zero, gives ``default``."""
-    number = F.regexp_extract(c.cast("string"), f"^[{SPACE}]*([+-]?[0-9]+)", 1).try_cast("bigint")
-    return _or_default(number, default)
-
-
-def _or_default(number: Column, default: int) -> Column:
-    found = F.when(number != 0, number) if default else number
-    return F.coalesce(found, F.lit(default).cast("bigint"))
+    digits = "0*[1-9][0-9]*" if default else "[0-9]+"
+    number = F.regexp_extract(c.cast("string"), f"^[{SPACE}]*([+-]?{digits})", 1)
+    return F.coalesce(number.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def whole_number(df: DataFrame, name: str, default: int = 0) -> Column:
     """``parse_int`` of a column, without the detour over text where it holds whole numbers already."""
     if isinstance(df.schema[name].dataType, T.IntegralType):
-        return _or_default(F.col(name).cast("bigint"), default)
+        number = F.col(name).cast("bigint")
+        return F.coalesce(F.when(number != 0, number), F.lit(default).cast("bigint"))
     return parse_int(F.col(name), default)
 
 
@@ -78,8 +75,7 @@ def slugify(title: Column) -> Column:
     lowered = trim(F.lower(text(title)))
     plain = F.regexp_replace(lowered, f"[^a-z0-9{SPACE}-]", "")
     dashed = F.regexp_replace(plain, f"[{SPACE}-]+", "-")
-    cut = F.substring(dashed, 1, 70)
-    return F.when(cut == "", "piece").otherwise(cut)
+    return F.regexp_replace(F.substring(dashed, 1, 70), "^$", "piece")
 
 
 def digits_only(c: Column) -> Column:

@@ -168,19 +168,19 @@ def recent_orders(spark, sf):
                       stamp("created_at").alias("created_at"), "status")
 
 
-@query("order_status", """SELECT order_id, CASE WHEN order_id % 4 = 0 THEN 'new'
-       WHEN order_id % 4 = 1 THEN 'shipped' WHEN order_id % 4 = 2 THEN 'confirmed' ELSE status END AS status
-       FROM order_requests""", ("order_requests",))
+@query("order_status", """SELECT order_id, CASE note WHEN '1-URGENT' THEN 'shipped' WHEN '2-HIGH' THEN 'confirmed'
+       WHEN '3-MEDIUM' THEN 'closed' ELSE 'new' END AS status FROM order_requests""", ("order_requests",))
 def order_status(spark, sf):
-    """Three quarters of all orders change; those with two changes keep the later one."""
-    orders = bind(spark, sf, "order_requests").withColumnRenamed("order_id", "id").select("id", "status")
-    turn = F.col("id") % 4
-    change = F.when(turn == 0, "lost").when(turn == 1, "shipped").when(turn == 2, "closed")
-    once = orders.filter(turn != 3).select(F.col("id").cast("string").alias("id"), change.alias("status"),
-                                           F.lit(1).alias("seq"))
-    twice = orders.filter(turn == 2).select(F.col("id").cast("string").alias("id"), F.lit("confirmed").alias("status"),
-                                            F.lit(2).alias("seq"))
-    done = od.set_order_status(orders, once.unionByName(twice))
+    """Every order is changed twice; the later change stands, whatever it says."""
+    orders = bind(spark, sf, "order_requests").withColumnRenamed("order_id", "id")
+    change = (
+        F.when(F.col("note") == "1-URGENT", "shipped").when(F.col("note") == "2-HIGH", "confirmed")
+        .when(F.col("note") == "3-MEDIUM", "closed").otherwise(F.col("note"))
+    )
+    number = F.col("id").cast("string").alias("id")
+    first = orders.select(number, F.lit("shipped").alias("status"), F.lit(1).alias("seq"))
+    second = orders.select(number, change.alias("status"), F.lit(2).alias("seq"))
+    done = od.set_order_status(orders.select("id", "status"), first.unionByName(second))
     return done.select(F.col("id").alias("order_id"), "status")
 
 
