@@ -13,8 +13,8 @@ from stallwise.schemas import ORDER_ITEM
 from stallwise.session import fresh_dir
 from stallwise.sources import tables
 from stallwise.sources.bindings import SAMPLE_TABLES, sample
-from stallwise.streaming import counters, sinks, throttle
-from test_operators import products, rows
+from stallwise.streaming import carts, counters, sinks, throttle
+from test_operators import products, rows, settings
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -115,3 +115,19 @@ def test_throttle_goes_on(spark, fold_rows):
     views = spark.createDataFrame(at(50, 99, 100, 130, 131, 150, 170) + [("b", 1, START)], schema)
     got = th.throttled_views(views, last=carried, fold_rows=fold_rows)
     assert rows(got, "ip", "ts") == [("a", START + timedelta(minutes=131)), ("a", START + timedelta(minutes=170)), ("b", START)]
+
+
+def test_stream_carts(spark, tmp_path):
+    """The store discount is looked up afresh for every micro-batch."""
+    schema = "order_id bigint, pos int, product_id int, qty_raw int"
+    for order in (1, 2):
+        spark.createDataFrame([(order, 1, 1, 2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    offers = iter(["25", "50"])
+    lines = sinks.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    out = fresh_dir(spark, "carts")
+    carts.start_priced_carts(
+        lines, lambda: products(spark, dict(id=1)), lambda: settings(spark, next(offers)),
+        f"{out}/rows", f"{out}/check",
+    ).awaitTermination()
+    got = spark.read.parquet(f"{out}/rows")
+    assert sorted(r.price for r in got.collect()) == [500, 750] and got.select("order_id").distinct().count() == 2
