@@ -6,8 +6,6 @@ their checks start from the same rows. ``{name}`` stands for an input table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-01-31 00:00:00"
@@ -212,7 +210,3 @@ def product_images(products: DataFrame) -> DataFrame:
 def presence_flags(edits: DataFrame) -> DataFrame:
     """Bound edits mark an absent field by NULL; real ones carry the flags themselves."""
     return edits.withColumns({f"has_{c}": F.col(c).isNotNull() for c in EDIT_FIELDS})
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
