@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, toxicity
+from stallwise.llm import common, decontamination, neardup, pii, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model).select(*out, "score", "predicted")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, common.table(spark, sf_dir, "documents"), width=2)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
