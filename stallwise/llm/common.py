@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,23 @@ from stallwise.session import fresh_dir
 CACHE_ENTRIES = 300_000
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped[sc.applicationId] = folder = tempfile.TemporaryDirectory(prefix="stallwise-")
+    package = Path(__file__).resolve().parents[1]
+    for source in package.rglob("*.py"):
+        target = Path(folder.name, "src", package.name, source.relative_to(package))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(source, target)
+    sc.addPyFile(shutil.make_archive(f"{folder.name}/stallwise", "zip", f"{folder.name}/src"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +86,11 @@ def appended(
             out = pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
             yield out if keep is None else out.filter(pa.array(keep, type=pa.bool_()))
 
+    return arrow_mapped(df, run, schema)
+
+
+def arrow_mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, decontamination, neardup, pii, toxicity
+from stallwise.llm import common, decontamination, mixing, neardup, pii, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(spark, common.table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -33,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_decontamination": op7_decontamination,
+    "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
 
