@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, decontamination, mixing, neardup, pii, toxicity
+from stallwise.llm import common, decontamination, mixing, neardup, pii, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model).select(*out, "score", "predicted")
 
 
+#: The rules of the query, longest wins.
+URL_RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document whose number ends its path; it is bad if that is of low quality or toxic."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$", 1)
+    pages = pages.withColumn("document", F.when(number != "", number.cast("long")))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", bad.cast("int").alias("bad"))
+    judged = urls.judge(spark, pages, labels, URL_RULES, page_key="document")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, common.table(spark, sf_dir, "documents"), width=2)
 
@@ -36,6 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_url_filters": op3_url_filters,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_decontamination": op7_decontamination,
     "op9_mixing": op9_mixing,
