@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, decontamination, mixing, neardup, pii, toxicity, urls
+from stallwise.llm import common, decontamination, mixing, neardup, pii, rules, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return rules.judged(spark, docs).drop("lang")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mixed(spark, common.table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
