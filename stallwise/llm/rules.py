@@ -24,10 +24,10 @@ from stallwise.llm import common, vocabularies
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, GRAM = 50, 50, 3
-REACH, LEAST = 8.0, 50
+REACH, LEAST = 6.0, 50
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
 #: A band is at least this wide to either side, so that equal texts do not reject their neighbours.
-FLOOR = {"chars_per_piece": 0.75, "chars_per_byte_token": 0.75, "fallback_share": 0.15, "entropy": 2.5}
+FLOOR = {"chars_per_piece": 0.2, "chars_per_byte_token": 0.2, "fallback_share": 0.05, "entropy": 2.0}
 LETTER = re.compile(r"[^\W\d_]")
 # First code points of scripts.
 SCRIPTS = (
