@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, decontamination, mixing, neardup, pii, rules, toxicity, urls
+from stallwise.llm import common, decontamination, language, mixing, neardup, pii, rules, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, common.table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = common.held_out(F.col("doc_id"), 3)
+    model = language.fit(spark, docs.where(~out))
+    found = language.identify(spark, docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).drop("text")
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_url_filters": op3_url_filters,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
