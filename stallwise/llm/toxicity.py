@@ -172,7 +172,7 @@ def char_model(docs: DataFrame, text: str = "text") -> CharModel:
         )
 
     counts = common.summed_counts(
-        docs.select(text).mapInArrow(count, common.schema("kind int, bucket int, n bigint")), ["kind", "bucket"]
+        common.arrow_mapped(docs.select(text), count, common.schema("kind int, bucket int, n bigint")), ["kind", "bucket"]
     ).toPandas()
     grams = np.zeros((2, CHAR_BUCKETS))
     grams[counts["kind"], counts["bucket"]] = counts["n"]
@@ -199,11 +199,22 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.coefficients[0] + sums @ self.coefficients[1:], -30, 30)))
 
 
-def evidence(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> Evidence:
-    """Lower confidence bound of the log odds of each bucket, from document counts."""
-    odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((other + 0.5) / (n_other + 1.0))
-    spread = np.sqrt(1.0 / (toxic + 0.5) + 1.0 / (other + 0.5))
-    return Evidence(np.where(toxic > 0, np.maximum(0.0, odds - CAUTION * spread), 0.0).astype(np.float32))
+def nothing() -> Evidence:
+    return Evidence(np.zeros(FEATURE_BUCKETS, dtype=np.float32))
+
+
+def evidence(counted: DataFrame, size: np.ndarray, halves: tuple[int, ...]) -> Evidence:
+    """Lower confidence bound of the log odds of each bucket, from document counts by half and label."""
+    n_other, n_toxic = size[list(halves)].sum(axis=0).tolist()
+    seen = counted.where((F.col("bucket") >= 0) & F.col("half").isin(*halves))
+    toxic, other = (F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)) + 0.5 for y in (1, 0))
+    odds = F.log(F.col("t") / F.lit(n_toxic + 1.0)) - F.log(F.col("o") / F.lit(n_other + 1.0))
+    spread = F.sqrt(1 / F.col("t") + 1 / F.col("o"))
+    weights = seen.groupBy("bucket").agg(toxic.alias("t"), other.alias("o")).select(
+        "bucket", (odds - CAUTION * spread).alias("weight")
+    )
+    # one row for each bucket at most
+    return Evidence(common.to_dense(weights.where("weight > 0"), "bucket", "weight", FEATURE_BUCKETS).astype(np.float32))
 
 
 class Scorer:
@@ -297,24 +308,21 @@ def fit(
             names=["half", "label", "bucket", "n"],
         )
 
-    rows = common.summed_counts(
-        sample.mapInArrow(count, common.schema("half int, label int, bucket int, n bigint")), ["half", "label", "bucket"]
-    ).toPandas()
-    seen = np.zeros((2, 2, FEATURE_BUCKETS), dtype=np.float32)
+    counted = common.summed_counts(
+        common.arrow_mapped(sample, count, common.schema("half int, label int, bucket int, n bigint")), ["half", "label", "bucket"]
+    )
+    counted = common.written(spark, counted, "toxicity-counts")
     size = np.zeros((2, 2))
-    is_total = rows["bucket"].to_numpy() < 0
-    docs_in = rows[is_total]
-    size[docs_in["half"], docs_in["label"]] = docs_in["n"]
-    rows = rows[~is_total]
-    seen[rows["half"], rows["label"], rows["bucket"]] = rows["n"]
-    everything = evidence(seen[:, 1].sum(0), seen[:, 0].sum(0), size[:, 1].sum(), size[:, 0].sum())
+    for r in counted.where("bucket < 0").collect():  # one row for each half and label
+        size[r["half"], r["label"]] = r["n"]
     n_toxic, n_all = size[:, 1].sum(), size.sum()
     if not n_toxic or n_toxic == n_all:
         p = min(max(n_toxic / n_all, 1e-9), 1 - 1e-9) if n_all else 1e-9
-        return ToxicityModel(chars, everything, np.array([math.log(p / (1 - p)), 0, 0, 0, 0]))
+        return ToxicityModel(chars, nothing(), np.array([math.log(p / (1 - p)), 0, 0, 0, 0]))
+    everything = evidence(counted, size, (0, 1))
     # evidence for one half of the sample comes from the other, as it will for new documents
     other_half = spark.sparkContext.broadcast(
-        [evidence(seen[1 - h, 1], seen[1 - h, 0], size[1 - h, 1], size[1 - h, 0]) for h in (0, 1)]
+        [evidence(counted, size, (1 - half,)) for half in (0, 1)]
     )
 
     def work():
