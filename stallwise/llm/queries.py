@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import common, decontamination, language, mixing, neardup, pii, rules, toxicity, urls
+from stallwise.llm import brown, common, decontamination, language, mixing, neardup, pii, rules, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = common.held_out(F.col("doc_id"), 5)
+    model, counts = brown.fit(spark, docs.where(~out))
+    return brown.score(spark, docs.withColumn("held_out", out), model, counts)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, common.table(spark, sf_dir, "documents"), width=2)
 
@@ -70,6 +77,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_url_filters": op3_url_filters,
+    "op4_brown": op4_brown,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language": op6_language,
     "op7_decontamination": op7_decontamination,
