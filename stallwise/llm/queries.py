@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import brown, common, decontamination, language, mixing, neardup, pii, rules, toxicity, urls
+from stallwise.llm import brown, common, decontamination, language, mixing, neardup, pii, quality, rules, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model).select(*out, "score", "predicted")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = common.held_out(F.col("doc_id"), 3)
+    model = quality.fit(spark, docs.where(~out), common.table(spark, sf_dir, "labels"))
+    graded = quality.grade(spark, docs, model)
+    return graded.select("doc_id", out.alias("held_out"), "expected_grade", "tail_probability", "kept")
+
+
 #: The rules of the query, longest wins.
 URL_RULES = [
     urls.Rule("block", "net", "/"),
@@ -76,6 +84,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_url_filters": op3_url_filters,
     "op4_brown": op4_brown,
     "op5_minhash_dedup": op5_minhash_dedup,
