@@ -1,173 +1,167 @@
 """Views that count: the first of a key, then each one more than a gap after the last *counted* one.
 
 This is not a session window: a steady drip of views, each within the gap of the one before,
-counts again and again. Keys with few views are folded in time order inside one row. Keys with very
-many (a crawler, a shared address) never come together in a task: every view gets a pointer to the
-view that would count next after it, found within short slices of time, and the counted views are
-those reached from the first one, block of time by block of time.
+counts again and again. Views are dealt out by ranges of (key, time), so that a busy key (a crawler, a shared
+address) is cut in time and no task holds more than its share. Each task goes through its range in
+order; where a key's views go on from an earlier range, what must be known is the last view that counted there.
+
+So the work is done in two steps over the same ranges. The first one reports, for the keys at the edges of a range,
+which view counts last in it, for each moment from which views may count: a step function, which has few steps, since runs of counted
+views soon meet. These reports, at most two per range, are followed from range to range. The second step counts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-from stallwise.operators.spread import slot
-from stallwise.session import enable_checkpoints
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-FOLD_ROWS = 20_000
-SLICES = 64  # slices of time per gap
+from stallwise.session import enable_checkpoints, ship_package
 
 
 def throttled_views(
     views: DataFrame, keys: tuple[str, ...] = ("ip", "product_id"), ts: str = "ts",
-    gap_minutes: int = 30, last: DataFrame | None = None, fold_rows: int = FOLD_ROWS,
+    gap_minutes: int = 30, last: DataFrame | None = None,
 ) -> DataFrame:
     """The counted views: one row (keys, ts) each.
 
     ``last`` (keys, ts) has the last counted view of keys seen before; views up to it, and within
-    the gap after it, do not count.
+    the gap after it, do not count. Missing key values are a value of their own; views without a time do not count.
     """
+    spark = views.sparkSession
+    enable_checkpoints(spark)
+    ship_package(spark)
     gap = gap_minutes * 60_000_000
-    at = views.select(*keys, F.unix_micros(F.col(ts)).alias("_at")).filter("_at IS NOT NULL")
-    seed = None if last is None else last.select(*keys, F.unix_micros(F.col(ts)).alias("_seed"))
-    busy = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows)
-    busy = busy.select(*(F.col(k).alias(f"_busy_{k}") for k in keys))
-    if busy.isEmpty():
-        counted = _fold(at, seed, keys, gap)
+    at = views.select(*keys, F.unix_micros(F.col(ts)).alias("_at")).filter("_at IS NOT NULL").distinct()
+    if last is None:
+        at = at.withColumn("_seed", F.lit(None).cast("bigint"))
     else:
-        match = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_busy_{k}")) for k in keys))
-
-        def part(df: DataFrame | None, how: str) -> DataFrame | None:
-            return None if df is None else df.join(busy, match, how)
-
-        counted = _fold(part(at, "left_anti"), part(seed, "left_anti"), keys, gap).unionByName(
-            _chase(part(at, "left_semi"), part(seed, "left_semi"), keys, gap)
-        )
-    return counted.select(*keys, F.timestamp_micros("_at").alias(ts))
+        names = {k: f"_last_{i}" for i, k in enumerate(keys)}
+        seeds = last.groupBy(*keys).agg(F.max(F.unix_micros(F.col(ts))).alias("_seed")).withColumnsRenamed(names)
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(names[k])) for k in keys))
+        at = at.join(seeds, same, "left").drop(*names.values()).filter("_seed IS NULL OR _at > _seed")
+    ranges = at.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at").checkpoint()
+    entries = _entries(ranges, keys, gap)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = entries.get(TaskContext.get().partitionId())
+        run, state = -1, None
+        for batch, starts, fresh in _runs(batches, keys):
+            times, seeds = batch.column("_at").to_pylist(), batch.column("_seed").to_pylist()
+            picked = []
+            for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(times)])):
+                if i or fresh:
+                    run += 1
+                    state = entry if run == 0 and entry is not None else seeds[a]
+                while a < b:
+                    if state is not None:
+                        a = bisect_right(times, state + gap, a, b)
+                    if a < b:
+                        state = times[a]
+                        picked.append(a)
+                        a += 1
+            yield batch.take(pa.array(picked, pa.int64())).drop_columns(["_seed"])
+
+    schema = T.StructType([f for f in ranges.schema.fields if f.name != "_seed"])
+    return ranges.mapInArrow(count, schema).select(*keys, F.timestamp_micros("_at").alias(ts))
 
 
 def counted_per_product(counted: DataFrame, product: str = "product_id") -> DataFrame:
     return counted.groupBy(product).agg(F.count(F.lit(1)).alias("views"))
 
 
-def _fold(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int) -> DataFrame:
-    rows = at.withColumn("_seed", F.lit(None).cast("bigint"))
-    if seed is not None:
-        rows = rows.unionByName(seed.withColumn("_at", F.lit(None).cast("bigint")))
-    start = F.struct(F.col("_last").alias("last"), F.array().cast("array<bigint>").alias("counted"))
-
-    def step(acc: Column, t: Column) -> Column:
-        counts = acc["last"].isNull() | (t - acc["last"] > gap)
-        return F.when(
-            counts, F.struct(t.alias("last"), F.array_append(acc["counted"], t).alias("counted"))
-        ).otherwise(acc)
-
-    grouped = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("_at")).alias("_times"), F.max("_seed").alias("_last")
-    )
-    picked = F.aggregate("_times", start, step, lambda acc: acc["counted"])
-    return grouped.select(*keys, F.explode(picked).alias("_at"))
-
-
-def _next_pointers(views: DataFrame, k: list[str], gap: int) -> DataFrame:
-    """For every one of distinct views the first view more than a gap later, if any: (keys, _at, _next)."""
-    width = max(1, gap // SLICES)
-    views = views.withColumn("_slice", slot(F.col("_at"), width))
-    probes = views.select(
-        *k, (F.col("_at") + gap).alias("_pos"), slot(F.col("_at") + gap, width).alias("_slice"),
-        F.col("_at").alias("_src"), F.lit(None).cast("bigint").alias("_value"), F.lit(1).alias("_kind"),
-    )
-    marks = views.select(
-        *k, F.col("_at").alias("_pos"), "_slice", F.lit(None).cast("bigint").alias("_src"),
-        F.col("_at").alias("_value"), F.lit(2).alias("_kind"),
-    )
-    # first view after each probed slice: one row per slice, as many as fit the time span
-    heads = views.groupBy(*k, "_slice").agg(F.min("_at").alias("_head"))
-    asked = probes.select(*k, "_slice").distinct().withColumn("_head", F.lit(None).cast("bigint"))
-    later = Window.partitionBy(*k).orderBy(F.col("_slice").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    ends = (
-        heads.unionByName(asked)
-        .groupBy(*k, "_slice").agg(F.max("_head").alias("_head"), F.count_if(F.col("_head").isNull()).alias("_asked"))
-        .withColumn("_value", F.min("_head").over(later))
-        .filter("_asked > 0")
-        .select(
-            *k, F.lit(2**63 - 1).cast("bigint").alias("_pos"), "_slice",
-            F.lit(None).cast("bigint").alias("_src"), "_value", F.lit(0).alias("_kind"),
-        )
-    )
-    # backwards in time, the last value seen before a probe is the nearest one after it
-    backwards = Window.partitionBy(*k, "_slice").orderBy(F.col("_pos").desc(), "_kind").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    return (
-        probes.unionByName(marks).unionByName(ends)
-        .withColumn("_next", F.last("_value", ignorenulls=True).over(backwards))
-        .filter("_kind = 1")
-        .select(*k, F.col("_src").alias("_at"), "_next")
-    )
-
-
-def _chase(at: DataFrame, seed: DataFrame | None, keys: tuple[str, ...], gap: int) -> DataFrame:
-    """Counted views of busy keys, by pointers from view to view."""
-    enable_checkpoints(at.sparkSession)
-    k = [f"_key_{i}" for i in range(2 * len(keys))]
-    clean = _without_nulls(at, keys)
-    if seed is not None:
-        # the seed stands first among the key's views, and is taken out of the result
-        seeds = _without_nulls(seed, keys)
-        later = clean.join(seeds, k, "left").filter("_seed IS NULL OR _at > _seed").drop("_seed")
-        clean = later.unionByName(seeds.withColumnRenamed("_seed", "_at"))
-    clean = clean.distinct().checkpoint()
-    reached = _walk(clean, k, gap)
-    if seed is not None:
-        reached = reached.join(seeds.withColumnRenamed("_seed", "_at"), [*k, "_at"], "left_anti")
-    names = {
-        name: F.when(~F.col(f"_key_{len(keys) + i}"), F.col(f"_key_{i}")) for i, name in enumerate(keys)
-    }
-    return reached.withColumns(names).select(*keys, "_at")
-
-
-def _walk(views: DataFrame, k: list[str], gap: int) -> DataFrame:
-    """The counted views among distinct ones, by blocks of time that double in length.
-
-    A stretch of one gap holds one counted view at most. Of a longer block only the views that can be
-    the first counted one in it matter: those in its first gap, and the first one after that. For
-    these the first counted view beyond the block follows from two steps over its halves. So
-    each level has half the views of the one below, and all levels together about twice the views. Going
-    down again from the key's first view, each level adds the first counted views of the second halves.
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int], bool]]:
+    """(batch, first row of each key's run, whether the batch begins with a new key) of sorted batches."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            c = batch.column(k)
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            same = pc.fill_null(pc.equal(a, b), False)
+            same = pc.or_(same, pc.and_(pc.is_null(a), pc.is_null(b)))
+            change |= ~same.to_numpy(zero_copy_only=False)
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        yield batch, [0, *(np.flatnonzero(change) + 1).tolist()], first != before
+        before = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+
+
+def _steps(times: np.ndarray, gap: int) -> tuple[list[int], list[int]]:
+    """Of a run of views: the last counted one, by the moment after which views may count.
+
+    (limits, exits): where that moment is before ``limits[i]`` (and not before the limit ahead of it) the last
+    counted view is ``exits[i]``; from the last limit on, none counts.
     """
-    low, high = views.agg(F.min("_at"), F.max("_at")).first()
-
-    def block(c: str, level: int) -> Column:
-        return slot(F.col(c), gap * 2**level)
-
-    steps = [_next_pointers(views, k, gap).checkpoint()]
-    while low // (gap * 2 ** (len(steps) - 1)) != high // (gap * 2 ** (len(steps) - 1)):
-        level, below = len(steps), steps[-1]
-        leading = F.pmod(block("_at", 0), F.lit(2**level)) == 0
-        firsts = below.filter(~leading).groupBy(*k, block("_at", level).alias("_block")).agg(
-            F.min_by("_next", "_at").alias("_next"), F.min("_at").alias("_at")
-        )
-        entries = below.filter(leading).unionByName(firsts.select(*below.columns))
-        second = below.select(*k, F.col("_at").alias("_next"), F.col("_next").alias("_beyond"))
-        inside = block("_next", level) == block("_at", level)
-        onward = F.when(inside, F.col("_beyond")).otherwise(F.col("_next"))
-        steps.append(
-            entries.join(second, [*k, "_next"], "left").select(*k, "_at", onward.alias("_next")).checkpoint()
-        )
-    reached = views.groupBy(*k).agg(F.min("_at").alias("_at"))
-    for level in range(len(steps) - 2, -1, -1):
-        inside = block("_next", level + 1) == block("_at", level + 1)
-        halves = reached.join(steps[level], [*k, "_at"]).filter(inside).select(*k, F.col("_next").alias("_at"))
-        reached = reached.unionByName(halves).checkpoint()
-    return reached
-
-
-def _without_nulls(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Keys as columns that meet in joins even where they are NULL: the value, and whether it is missing."""
-    blank = {name: "" if df.schema[name].dataType == T.StringType() else 0 for name in keys}
-    values = [F.coalesce(F.col(name), F.lit(blank[name])).alias(f"_key_{i}") for i, name in enumerate(keys)]
-    missing = [F.col(name).isNull().alias(f"_key_{len(keys) + i}") for i, name in enumerate(keys)]
-    return df.select(*values, *missing, *(c for c in df.columns if c not in keys))
+    after = np.searchsorted(times, times + gap, side="right")
+    end = np.where(after < len(times), after, np.arange(len(times)))
+    while True:
+        further = end[end]
+        if (further == end).all():
+            break
+        end = further
+    # an earlier range's counted view lies before this run, so views may count from its first gap on
+    n = min(len(times), int(np.searchsorted(times, times[0] + gap, side="right")) + 1)
+    exits = times[end[:n]]
+    kept = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+    return times[kept].tolist(), exits[kept].tolist()
+
+
+def _entries(ranges: DataFrame, keys: tuple[str, ...], gap: int) -> dict[int, int]:
+    """The last counted view before each range that goes on with a key, by number of the range."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[pa.RecordBatch, int | None, np.ndarray]] = []
+        parts: list[np.ndarray] = []
+        head = None
+
+        def close() -> None:
+            nonlocal parts
+            if head is not None:
+                del found[1:]  # only the first and the last run matter
+                found.append((head, head.column("_seed")[0].as_py(), np.concatenate(parts)))
+            parts = []
+
+        for batch, starts, fresh in _runs(batches, keys):
+            times = batch.column("_at").to_numpy()
+            for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(times)])):
+                if i or fresh:
+                    close()
+                    head = batch.slice(a, 1)
+                parts.append(times[a:b])
+        close()
+        for row, seed, times in found:
+            limits, exits = _steps(times, gap)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [*(row.column(k) for k in keys), pa.array([part], pa.int32()), pa.array([seed], pa.int64()),
+                 pa.array([limits], pa.list_(pa.int64())), pa.array([exits], pa.list_(pa.int64()))],
+                names=[*keys, "_part", "_seed", "_limits", "_exits"],
+            )
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = None, []
+        for i, r in enumerate(rows.sort_values("_part").itertuples(index=False)):
+            part, seed, limits, exits = r[-4:]
+            if i == 0:
+                state = None if pd.isna(seed) else int(seed)
+            elif state is not None:
+                out.append((part, state))
+            at = 0 if state is None else bisect_right(limits, state + gap)
+            state = int(exits[at]) if at < len(limits) else state
+        return pd.DataFrame(out, columns=["part", "entry"])
+
+    schema = T.StructType(
+        [*(f for f in ranges.schema.fields if f.name in keys), *T.StructType.fromDDL(
+            "_part int, _seed bigint, _limits array<bigint>, _exits array<bigint>").fields]
+    )
+    followed = ranges.mapInArrow(edges, schema).groupBy(*keys).applyInPandas(follow, "part int, entry bigint")
+    return {r["part"]: r["entry"] for r in followed.collect()}  # one row per range at most

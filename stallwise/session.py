@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str | None = None, app: str = "stallwise", **conf: str) -> SparkSession:
@@ -61,3 +64,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def enable_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable."""
     shared_dir(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped[sc.applicationId] = folder = tempfile.TemporaryDirectory(prefix="stallwise-")
+    package = Path(__file__).resolve().parent
+    for source in package.rglob("*.py"):
+        target = Path(folder.name, "src", package.name, source.relative_to(package))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(source, target)
+    sc.addPyFile(shutil.make_archive(f"{folder.name}/stallwise", "zip", f"{folder.name}/src"))

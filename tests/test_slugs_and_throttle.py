@@ -73,29 +73,53 @@ def counted_seconds(df, ip="a", product=1):
     return sorted((r[0] - base * 1_000_000) / 1e6 for r in rows)
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 0])
-def test_throttle_by_hand(spark, fold_rows):
+def test_throttle_by_hand(spark):
     drip = views(spark, [("a", 1, m * 60) for m in (0, 20, 40, 60, 61)])
-    assert counted_seconds(throttled_views(drip, fold_rows=fold_rows)) == [0, 2400]
+    assert counted_seconds(throttled_views(drip)) == [0, 2400]
     exact = views(spark, [("a", 1, m * 60) for m in (0, 30)])
-    assert counted_seconds(throttled_views(exact, fold_rows=fold_rows)) == [0]
+    assert counted_seconds(throttled_views(exact)) == [0]
     twice = views(spark, [("a", 1, 5), ("a", 1, 5), (None, 1, 5), (None, 1, 4000), ("", 1, 7)])
-    got = throttled_views(twice, fold_rows=fold_rows)
+    got = throttled_views(twice)
     assert (counted_seconds(got), counted_seconds(got, None), counted_seconds(got, "")) == ([5], [5, 4000], [7])
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 40, 0])
-def test_throttle_at_random(spark, fold_rows):
+def test_throttle_at_random(spark):
     rnd = random.Random(7)
     rows = []
     for ip, n, span in (("hot", 600, 40_000), ("sparse", 30, 400_000), ("burst", 80, 4000), ("once", 1, 10)):
         rows += [(ip, 1, rnd.randrange(span * 1000) / 1000) for _ in range(n)]
-    got = throttled_views(views(spark, rows), fold_rows=fold_rows)
+    got = throttled_views(views(spark, rows))
     for ip in ("hot", "sparse", "burst", "once"):
         times = [int(round(s * 1e6)) for i, _, s in rows if i == ip]
         assert counted_seconds(got, ip) == [t / 1e6 for t in greedy(times, 1_800_000_000)]
 
 
+@pytest.mark.parametrize("gap_minutes", [0, 1, 30, 600])
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_throttle_of_a_key_cut_in_time(spark, gap_minutes, partitions):
+    """One key in many ranges, on both sides of 1970, with and without a view counted before."""
+    rnd = random.Random(gap_minutes * 100 + partitions)
+    start = datetime(1969, 12, 31, 12, tzinfo=timezone.utc)
+    times = [rnd.randrange(90_000) for _ in range(700)] + [rnd.randrange(30_000, 31_000) for _ in range(300)]
+    rows = [("hot", start + timedelta(seconds=t)) for t in times] + [(None, start + timedelta(seconds=t)) for t in times[:50]]
+    df = spark.createDataFrame(rows, "k string, ts timestamp")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = throttled_views(df, ("k",), gap_minutes=gap_minutes).select("k", F.unix_seconds("ts").alias("t")).collect()
+        carried = spark.createDataFrame([("hot", start + timedelta(seconds=20_000))], "k string, ts timestamp")
+        later = throttled_views(df, ("k",), gap_minutes=gap_minutes, last=carried).select("k", F.unix_seconds("ts").alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    zero, gap = int(start.timestamp()), gap_minutes * 60
+    want = greedy(times, gap)
+    assert sorted(r["t"] - zero for r in got if r["k"] == "hot") == want
+    assert sorted(r["t"] - zero for r in got if r["k"] is None) == greedy(times[:50], gap)
+    after = greedy([t for t in times if t > 20_000 + gap], gap)
+    assert sorted(r["t"] - zero for r in later if r["k"] == "hot") == after
+
+
 def test_slugs_in_long_chains(spark):
     """Names shared by many roots at once, decided in both ways."""
     rnd = random.Random(11)

@@ -106,14 +106,13 @@ def test_stream_throttle(spark, view_files):
     assert rows(throttle.counted_views(spark, out), "ip", "product_id", "ts") == rows(batch, "ip", "product_id", "ts")
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 0])
-def test_throttle_goes_on(spark, fold_rows):
+def test_throttle_goes_on(spark):
     """Views after the carried one: neither older ones nor those within the gap count."""
     at = lambda *minutes: [("a", 1, START + timedelta(minutes=m)) for m in minutes]
     schema = "ip string, product_id int, ts timestamp"
     carried = spark.createDataFrame(at(100) + [("c", 1, START)], schema)
     views = spark.createDataFrame(at(50, 99, 100, 130, 131, 150, 170) + [("b", 1, START)], schema)
-    got = th.throttled_views(views, last=carried, fold_rows=fold_rows)
+    got = th.throttled_views(views, last=carried)
     assert rows(got, "ip", "ts") == [("a", START + timedelta(minutes=131)), ("a", START + timedelta(minutes=170)), ("b", START)]
 
 
