@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 MAX_PHOTOS = 8
+# Endings of photo names, and where the stored id stands in an upload URL.
+PHOTO, THUMBNAIL = ".webp", "-thumb.webp"
+UPLOAD_ID = r"(?i)/upload/(?:v\d+/)?(.+)\.[a-z0-9]+$"
+EXTENSION = r"(?i)\.[a-z0-9]+$"
 
 
 def thumb_url(src: Column) -> Column:
-    return F.regexp_replace(src, r"\.webp$", "-thumb.webp")
+    return F.regexp_replace(src, PHOTO.replace(".", r"\.") + "$", THUMBNAIL)
 
 
 def first_photos(images: Column) -> Column:
@@ -26,7 +30,7 @@ def image_fields(images: Column) -> dict[str, Column]:
 
 def public_id(url: Column) -> Column:
     """Stored id inside an upload URL (version and extension left out), NULL if there is none."""
-    return F.nullif(F.regexp_extract(url, r"(?i)/upload/(?:v\d+/)?(.+)\.[a-z0-9]+$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, UPLOAD_ID, 1), F.lit(""))
 
 
 def object_key(url: Column) -> Column:
@@ -34,4 +38,4 @@ def object_key(url: Column) -> Column:
 
 
 def key_public_id(key: Column, folder: str) -> Column:
-    return F.concat(F.lit(f"{folder}/"), F.regexp_replace(key, r"(?i)\.[a-z0-9]+$", ""))
+    return F.concat(F.lit(f"{folder}/"), F.regexp_replace(key, EXTENSION, ""))

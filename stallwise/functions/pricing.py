@@ -88,6 +88,7 @@ def freshness(created_at: Column, as_of: datetime | str | Column) -> Column:
 
 def rank_score(as_of: datetime | str | Column) -> Column:
     """Score of the recommended order, from a product row's counters; rounded so that ties are ties."""
+    # The weights of the score.
     score = (
         F.col("boost") * F.lit(100.0)
         + F.lit(15.0) * log_damped(F.col("order_count"))
@@ -109,6 +110,7 @@ def avg_rating(total: Column, votes: Column) -> Column:
 
 def tile_flag(stock: Column, discount_percent: Column, boost: Column) -> Column:
     """The one badge of a catalogue tile; empty when there is none."""
+    # The texts of the badges.
     return (
         F.when(stock <= 0, F.lit("Sold — ask us"))
         .when(discount_percent > 0, F.concat(discount_percent.cast("string"), F.lit("% off")))

@@ -33,6 +33,11 @@ def clean_text(c: Column, limit: int | None = None, upper: bool = False) -> Colu
     return F.substring(out, 1, limit) if limit else out
 
 
+def leading_int(c: Column) -> Column:
+    """Leading whole number of a text, NULL where there is none."""
+    return F.regexp_extract(c.cast("string"), f"^[{SPACE}]*([+-]?[0-9]+)", 1).try_cast("bigint")
+
+
 def parse_int(c: Column, default: int = 0) -> Column:
     """Leading whole number of a text; anything else, and zero, gives ``default``."""
     digits = "0*[1-9][0-9]*" if default else "[0-9]+"
@@ -73,15 +78,22 @@ def truthy(c: Column, data_type: str = "string") -> Column:
 def slugify(title: Column) -> Column:
     """URL form of a title: ASCII letters, digits and single hyphens, at most 70 long."""
     lowered = trim(F.lower(text(title)))
-    plain = F.regexp_replace(lowered, f"[^a-z0-9{SPACE}-]", "")
+    plain = F.regexp_replace(lowered, f"[^a-z0-9{SPACE}-]+", "")
     dashed = F.regexp_replace(plain, f"[{SPACE}-]+", "-")
-    return F.regexp_replace(F.substring(dashed, 1, 70), "^$", "piece")
+    slug = F.substring(dashed, 1, 70)
+    return F.when(slug == "", "piece").otherwise(slug)
 
 
 def digits_only(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def filled(message: str, value: Column) -> Column:
+    """A message with a value in place of its braces; a missing value reads ``null``."""
+    before, after = message.split("{}")
+    return F.concat(F.lit(before), F.coalesce(value.cast("string"), F.lit("null")), F.lit(after))
+
+
 def phone_display(c: Column) -> Column:
     """Indian mobile numbers as ``+91 xxxxx xxxxx``, others as plus and digits."""
     digits = digits_only(c)
@@ -112,7 +124,7 @@ def encode_component(c: Column) -> Column:
     return out
 
 
-def order_ref(at: Column, prefix: str = "SW") -> Column:
+def order_ref(at: Column, prefix: str) -> Column:
     """Reference from the order's time: the last six base-36 digits of its milliseconds."""
     return F.concat(F.lit(prefix), F.right(F.conv(F.unix_millis(at), 10, 36), F.lit(6)))
 

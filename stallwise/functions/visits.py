@@ -23,7 +23,10 @@ OWN_HOST_SUFFIX = "onrender.com"
 
 
 def utc_day(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    """Date of an instant in UTC, whatever the session's time zone."""
+    micros = F.unix_micros(ts)
+    day = F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int")).cast("string")
 
 
 def page_kind(path: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.functions.text import clamp, clean_text, one_of, parse_int, parse_int32, trim, truthy
+from stallwise.functions.text import clamp, clean_text, filled, leading_int, one_of, parse_int, parse_int32, trim, truthy
 from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT
+from stallwise.session import enable_checkpoints
 
 # Editable columns with the length at which their text is cut (None: not text).
 EDITABLE: dict[str, int | None] = {
@@ -26,8 +27,7 @@ PROBLEMS = {
 
 
 def _message(problem: str, value: Column) -> Column:
-    before, after = PROBLEMS[problem].split("{}")
-    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+    return filled(PROBLEMS[problem], value)
 
 
 def flag(field: str) -> str:
@@ -53,7 +53,8 @@ def _typed(c: Column) -> Column:
 def bulk_validate(edits: DataFrame, products: DataFrame, max_edits: int | None = None) -> DataFrame:
     """Check edits (seq, id, columns, ``has_`` flags) against the catalogue and each other.
 
-    Every edit comes back with cleaned values and its first ``problem``, NULL if there is none. ``seq``
+    Every edit comes back with cleaned values and its first ``problem``, NULL if there is none. An edit whose id
+    is missing or not a number names no piece, and that is its problem. ``seq``
     is the order of the edits and is unique. ``max_edits`` keeps the first so many, as a request limit does.
     """
     if max_edits is not None:
@@ -63,8 +64,9 @@ def bulk_validate(edits: DataFrame, products: DataFrame, max_edits: int | None =
         "seq", F.col("id").cast("string").alias("raw_id"), parse_int(F.col("id")).alias("id"),
         *fields, *(flag(c) for c in fields),
     )
-    known = products.select(F.col("id").cast("bigint").alias("id"), F.col("price").alias("_old_price"))
-    rows = rows.join(known, "id", "left")
+    known = products.select(F.col("id").cast("bigint").alias("_piece"), F.col("price").alias("_old_price"))
+    # an id that cannot be read is no number at all, not piece 0
+    rows = rows.join(known, leading_int(F.col("raw_id")) == F.col("_piece"), "left")
 
     types = dict(edits.dtypes)
     has = {c: F.col(flag(c)) for c in fields}
@@ -76,7 +78,7 @@ def bulk_validate(edits: DataFrame, products: DataFrame, max_edits: int | None =
     any_field = F.lit(False)
     for c in fields:
         any_field = any_field | has[c]
-    unknown = F.col("_old_price").isNull()
+    unknown = F.col("_piece").isNull()
     early = F.when(unknown, _message("unknown", F.col("raw_id")))
     if "title" in fields:
         early = early.when(has["title"] & (F.col("title") == ""), _message("title", F.col("id")))
@@ -91,7 +93,7 @@ def bulk_validate(edits: DataFrame, products: DataFrame, max_edits: int | None =
         late = late.when(has["collection"] & ~known_code, _message("collection", F.col("id")))
     if "price" in fields:
         late = late.when(has["price"] & (F.col("price") <= 0), _message("price", F.col("id")))
-    return rows.withColumn("problem", late).withColumn("has_any", any_field).drop("_old_price")
+    return rows.withColumn("problem", late).withColumn("has_any", any_field).drop("_old_price", "_piece")
 
 
 def _clean(field: str, data_type: str) -> Column:
@@ -143,7 +145,8 @@ def _check_skus(rows: DataFrame, products: DataFrame) -> DataFrame:
     # edits without a SKU to check get a key of their own: they meet nothing in the join, in many tasks
     key = F.when(asks, F.concat(F.lit("sku "), "sku")).otherwise(F.concat(F.lit("edit "), F.col("seq").cast("string")))
     claims = rows.filter(asks).groupBy(F.col("sku").alias("_sku")).agg(F.min_by("id", "seq").alias("_claimant"))
-    owners = products.groupBy(F.upper("sku").alias("_sku")).agg(F.max("id").cast("bigint").alias("_owner"))
+    asked = products.select(F.upper("sku").alias("_sku"), "id").join(claims.select("_sku"), "_sku", "left_semi")
+    owners = asked.groupBy("_sku").agg(F.max("id").cast("bigint").alias("_owner"))
     holders = claims.join(owners, "_sku", "left").select(
         F.concat(F.lit("sku "), "_sku").alias("_key"), "_claimant", "_owner"
     )
@@ -161,8 +164,11 @@ def _check_skus(rows: DataFrame, products: DataFrame) -> DataFrame:
 def bulk_apply(products: DataFrame, validated: DataFrame) -> DataFrame:
     """Products after a checked batch. One problem anywhere leaves every product as it was.
 
-    Where several edits touch the same column of a piece, the last one wins.
+    Where several edits touch the same column of a piece, the last one wins. The checked batch is written
+    once, since it is read for its problems and for its values.
     """
+    enable_checkpoints(products.sparkSession)
+    validated = validated.checkpoint()
     fields = edited_fields(validated)
     clean = validated.filter("problem IS NOT NULL").agg((F.count(F.lit(1)) == 0).alias("ok")).scalar()
     last = validated.filter("has_any").groupBy("id").agg(

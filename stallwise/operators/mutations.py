@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallwise.functions.images import first_photos, thumb_url
-from stallwise.functions.text import clamp, clean_text, one_of, parse_int, parse_int32, truthy
+from stallwise.functions.text import clamp, clean_text, filled, one_of, parse_int, parse_int32, truthy
 from stallwise.operators.slugs import assign_slugs
 from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT, STORE_DISCOUNT_KEY
 
@@ -13,8 +13,8 @@ from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT, STORE_D
 NO_TITLE = "Give the piece a title."
 NO_SKU = "Give the piece an SKU."
 NO_PRICE = "Set a price above zero."
-SKU_EXISTS = ("SKU ", " is already in the catalogue.")
-SKU_TAKEN = ("SKU ", " belongs to another piece.")
+SKU_EXISTS = "SKU {} is already in the catalogue."
+SKU_TAKEN = "SKU {} belongs to another piece."
 NOT_FOUND = "No such piece."
 
 WHOLE_NUMBERS = ("price", "mrp", "stock", "boost")
@@ -75,7 +75,7 @@ def create_products(raw: DataFrame, existing: DataFrame, order: str = "seq") ->
         .when(F.col("sku") == "", NO_SKU)
         .when(F.col("price") <= 0, NO_PRICE),
     )
-    exists = F.concat(F.lit(SKU_EXISTS[0]), F.col("sku"), F.lit(SKU_EXISTS[1]))
+    exists = filled(SKU_EXISTS, F.col("sku"))
     taken = existing.select("sku").distinct().withColumn("_taken", F.lit(True))
     # per SKU: the first acceptable row, unless the catalogue has the SKU
     first = rows.filter("reason IS NULL").groupBy("sku").agg(F.min(order).alias("_first"))
@@ -112,7 +112,7 @@ def full_update(products: DataFrame, updates: DataFrame, order: str = "seq") ->
     owners = products.select("sku", F.col("id").cast("bigint").alias("_owner"))
     holders = rows.filter("reason IS NULL").groupBy("sku").agg(F.min_by("id", order).alias("_claimant"))
     holders = holders.join(owners, "sku", "left").select("sku", F.coalesce("_owner", "_claimant").alias("_holder"))
-    clash = F.concat(F.lit(SKU_TAKEN[0]), F.col("sku"), F.lit(SKU_TAKEN[1]))
+    clash = filled(SKU_TAKEN, F.col("sku"))
     checked = rows.join(holders, "sku", "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_holder") != F.col("id"), clash))
     ).drop("_present", "_holder")

@@ -73,15 +73,11 @@ def delete_reviews(products: DataFrame, reviews: DataFrame, ids: DataFrame) -> t
     return _shift_ratings(products, gone.filter("approved"), -1), kept
 
 
-def review_queue(reviews: DataFrame, products: DataFrame, n: int = 200, enforced_keys: bool = True) -> DataFrame:
+def review_queue(reviews: DataFrame, products: DataFrame, n: int = 200) -> DataFrame:
     """Moderation list: held reviews first, newest first, with the product's title and slug.
 
-    With ``enforced_keys`` every review's product exists, as the table's foreign key demands, so the
-    n rows are picked before the join and only they are sent around. Without it the join comes first.
+    Reviews whose product is gone are not shown and take up no place. The n rows are a top-k of the join.
     """
     order = [F.col("approved").asc(), F.col("created_at").desc(), F.col("id").desc()]
     titles = products.select(F.col("id").alias("product_id"), "title", "slug")
-    if enforced_keys:
-        first = reviews.orderBy(*order).limit(n)  # at most n rows: a proven bound for broadcasting
-        return titles.join(F.broadcast(first), "product_id").orderBy(*order)
     return reviews.join(titles, "product_id").orderBy(*order).limit(n)

@@ -65,12 +65,11 @@ def traffic_series(hits: DataFrame, visitors: DataFrame, days: int | None = 30)
 
 def traffic_summary(series: DataFrame, as_of: str) -> DataFrame:
     """Today, trailing sums and total of a series. Both ends of a trailing range count: since 7 days
-    ago means 8 dates."""
-    at = F.lit(as_of).cast("timestamp")
-    today = utc_day(at)
+    ago means 8 dates. ``as_of`` is a time in UTC, as text; only its date matters."""
+    today = F.lit(as_of[:10])
 
     def since(n: int) -> Column:
-        first = F.date_format(F.date_sub(at.cast("date"), n), "yyyy-MM-dd")
+        first = F.date_sub(F.to_date(today), n).cast("string")
         return F.coalesce(F.sum(F.when(F.col("day") >= first, F.col("hits"))), F.lit(0))
 
     is_today = F.col("day") == today

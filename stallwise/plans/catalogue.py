@@ -18,21 +18,22 @@ def price_sql(src: str, store: int = STORE_DISCOUNT) -> str:
     """Check of the price rules over a table with price, discount_type, discount_value."""
     return f"""
     SELECT *, CASE WHEN list_price > 0 AND final_price < list_price
-                   THEN CAST(floor((1 - CAST(final_price AS DOUBLE) / list_price) * 100e0 + 5e-1) AS BIGINT)
+                   THEN CAST(floor((1 - CAST(final_price AS DOUBLE) / list_price) * 100e0 + 0.5e0) AS BIGINT)
                    ELSE 0 END AS discount_percent,
            CASE WHEN discount_value > 0 AND discount_type IN ('percent', 'amount') THEN 'product'
                 WHEN {store} > 0 THEN 'store' ELSE 'none' END AS discount_source
     FROM (SELECT *, CAST(least(list_price, greatest(0, CASE
               WHEN discount_type = 'percent' AND discount_value > 0
-              THEN floor(list_price * (1 - least(90, discount_value) / 100e0) + 5e-1)
+              THEN floor(list_price * (1 - least(90, discount_value) / 100e0) + 0.5e0)
               WHEN discount_type = 'amount' AND discount_value > 0
-              THEN greatest(floor(list_price * (1 - 90 / 100e0) + 5e-1), list_price - discount_value)
-              WHEN {store} > 0 THEN floor(list_price * (1 - least(90, {store}) / 100e0) + 5e-1)
+              THEN greatest(floor(list_price * (1 - 90 / 100e0) + 0.5e0), list_price - discount_value)
+              WHEN {store} > 0 THEN floor(list_price * (1 - least(90, {store}) / 100e0) + 0.5e0)
               ELSE list_price END)) AS BIGINT) AS final_price
           FROM (SELECT *, CAST(greatest(0, price) AS BIGINT) AS list_price FROM {src}) listed) reduced"""
 
 
-RANK_SQL = f"""round(boost * 100e0 + 15e0 * ln(1 + order_count) + 15e-1 * ln(1 + views)
+# Weights of the recommended order.
+RANK_SQL = f"""round(boost * 100e0 + 15e0 * ln(1 + order_count) + 1.5e0 * ln(1 + views)
     + 8e0 * ((rating_sum + 20e0) / (rating_count + 5e0))
     + 30e0 * greatest(0e0, 1e0 - (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 864e8 / 45e0)
     - CASE WHEN stock <= 0 THEN 250e0 ELSE 0e0 END, 6)"""

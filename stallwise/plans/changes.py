@@ -221,7 +221,7 @@ def edit_sql(edits: str) -> str:
                             WHEN discount_type = 'amount' AND given >= coalesce(price, old_price)
                             THEN greatest(0, coalesce(price, old_price) - 1)
                             ELSE given END AS discount_value FROM typed),
-    early AS (SELECT h.*, CASE WHEN old_price IS NULL THEN 'Piece ' || raw_id || ' no longer exists.'
+    early AS (SELECT h.*, CASE WHEN old_price IS NULL THEN 'Piece ' || coalesce(raw_id, 'null') || ' no longer exists.'
                                WHEN h.title = '' THEN 'Piece ' || CAST(h.id AS VARCHAR) || ': title cannot be empty.'
                                WHEN h.sku = '' THEN 'Piece ' || CAST(h.id AS VARCHAR) || ': SKU cannot be empty.'
                                WHEN o.id IS NOT NULL AND o.id <> h.id

@@ -24,10 +24,11 @@ def rating_rollup(spark, sf):
 
 @query("review_queue", f"""SELECT position, id, product_id, name, rating, approved, {stamp_sql("created_at")} AS created_at, title, slug
        FROM (SELECT r.*, p.title, p.slug, row_number() OVER (ORDER BY approved, r.created_at DESC, r.id DESC) AS position
-             FROM reviews r JOIN products_base p ON p.id = r.product_id) q WHERE position <= 200""",
+             FROM reviews r JOIN products_base p ON p.id = r.product_id WHERE p.stock > 0) q WHERE position <= 200""",
        ("products_base", "reviews"))
 def review_queue(spark, sf):
-    top = rv.review_queue(reviews(spark, sf), bind(spark, sf, "products_base"))
+    """Sold-out pieces have been deleted; reviews of theirs that were left behind do not show."""
+    top = rv.review_queue(reviews(spark, sf), bind(spark, sf, "products_base").filter("stock > 0"))
     order = [F.col("approved").asc(), F.col("created_at").desc(), F.col("id").desc()]
     return with_position(top, order).select("position", "id", "product_id", "name", "rating", "approved",
                                             stamp("created_at").alias("created_at"), "title", "slug")

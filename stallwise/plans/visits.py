@@ -122,9 +122,9 @@ def traffic_summary(spark, sf):
 
 
 @query("traffic_bars", f"""
-       SELECT *, CAST(CASE WHEN hits = 0 THEN 0 ELSE floor(visitors * 1e0 / hits * height + 5e-1) END AS BIGINT) AS visitor_height,
+       SELECT *, CAST(CASE WHEN hits = 0 THEN 0 ELSE floor(visitors * 1e0 / hits * height + 0.5e0) END AS BIGINT) AS visitor_height,
               strftime(CAST(day AS DATE), '%-d %b') AS label
-       FROM (SELECT *, CAST(greatest(2, floor(hits * 1e0 / greatest(max(hits) OVER (), 1) * 100 + 5e-1)) AS BIGINT) AS height
+       FROM (SELECT *, CAST(greatest(2, floor(hits * 1e0 / greatest(max(hits) OVER (), 1) * 100 + 0.5e0)) AS BIGINT) AS height
              FROM ({SERIES_SQL}) s) h""", VISITS)
 def traffic_bars(spark, sf):
     return tr.traffic_bars(series(spark, sf))

@@ -44,9 +44,9 @@ SELECT base.*, coalesce(oc, 0) AS order_count, coalesce(vc, 0) AS views,
        coalesce(rs, 0) AS rating_sum, coalesce(rc, 0) AS rating_count
 FROM ({PRODUCTS_BASE}) base
 LEFT JOIN (SELECT l_partkey + 1 AS k1, CAST(sum(l_quantity) AS BIGINT) AS oc,
-                  CAST(sum(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F'
+                  CAST(sum(CASE WHEN l_linestatus = 'F'
                                 THEN 1 + (l_orderkey + l_linenumber) % 5 END) AS BIGINT) AS rs,
-                  count(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 END) AS rc
+                  count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS rc
            FROM {{lineitem}} GROUP BY l_partkey + 1) sold ON k1 = id
 LEFT JOIN (SELECT CAST(regexp_extract(props, '[0-9]+', 0) AS INT) + 1 AS k2, count(*) AS vc
            FROM {{events}} WHERE event_type IN ('view', 'purchase')
@@ -61,7 +61,7 @@ SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRIN
        l_partkey + 1 AS product_id, 'Customer ' || CAST(o_custkey AS STRING) AS name,
        CAST(1 + (l_orderkey + l_linenumber) % 5 AS INT) AS rating, l_returnflag AS body,
        l_linestatus = 'F' AS approved, CAST(l_shipdate AS TIMESTAMP) AS created_at
-FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
 """
 
 PAGE_VIEWS = """
@@ -130,7 +130,7 @@ FROM {products}
 """
 
 EDITS_DIRTY = """
-SELECT seq, CASE WHEN seq % 33 = 0 THEN 'x' || id ELSE id END AS id,
+SELECT seq, CASE WHEN seq % 33 = 0 THEN 'x' || id WHEN seq % 71 <> 5 THEN id END AS id,
        CASE WHEN seq % 20 = 8 THEN '   ' ELSE title END AS title,
        CASE WHEN seq % 26 = 3 THEN 'twice-' || CAST(CAST(floor(seq / 104e0) AS BIGINT) AS STRING)
             WHEN seq % 30 = 7 THEN 'SW-EC-' || lpad(CAST(seq * 3 % 1500 AS STRING), 6, '0')

@@ -204,8 +204,10 @@ def test_review_queue(spark):
     p = products(spark, dict(id=1), dict(id=2))
     r = reviews(spark, dict(id=1, product_id=1), dict(id=2, product_id=2, approved=False),
                 dict(id=3, product_id=1, approved=False, created_at=DAY0 - timedelta(days=1)), dict(id=4, product_id=7))
-    assert [x.id for x in rv.review_queue(r, p, enforced_keys=False).collect()] == [2, 3, 1]
+    assert [x.id for x in rv.review_queue(r, p).collect()] == [2, 3, 1]
     assert [x.id for x in rv.review_queue(r, p, n=2).collect()] == [2, 3]
+    orphans = reviews(spark, *(dict(id=100 + i, product_id=9, approved=False) for i in range(5)))
+    assert [x.id for x in rv.review_queue(r.unionByName(orphans), p, n=3).collect()] == [2, 3, 1]
 
 
 def edits(spark, *given):
