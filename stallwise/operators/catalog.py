@@ -85,6 +85,25 @@ def page(
     return rows.orderBy(*keys).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], last: dict[str, object], limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The page that follows the row ``last``, for an order of (column, descending): deep pages cost what the first one does.
+
+    ``last`` holds that row's values of the order's columns, which are not NULL and end with a unique one.
+    """
+    after, same = F.lit(False), F.lit(True)
+    for name, descending in order:
+        value = F.lit(last[name])
+        after = after | (same & (F.col(name) < value if descending else F.col(name) > value))
+        same = same & (F.col(name) == value)
+    keys = [F.col(name).desc() if descending else F.col(name).asc() for name, descending in order]
+    return rows.filter(after).orderBy(*keys).limit(limit)
+
+
+def append_page(shown: DataFrame, following: DataFrame, key: str = "id") -> DataFrame:
+    """What is shown once the next page is appended; a row that moved to the next page meanwhile is shown once."""
+    return shown.unionByName(following.join(shown.select(key), key, "left_anti").select(*shown.columns))
+
+
 def list_products(
     products: DataFrame,
     as_of: datetime | str | Column,

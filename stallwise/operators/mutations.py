@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stallwise.functions.images import first_photos, thumb_url
+from stallwise.functions.images import first_photos, key_public_id, object_key, public_id, thumb_url
 from stallwise.functions.text import clamp, clean_text, filled, one_of, parse_int, parse_int32, truthy
 from stallwise.operators.slugs import assign_slugs
 from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT, STORE_DISCOUNT_KEY
@@ -144,6 +144,12 @@ def settings_upsert(settings: DataFrame, changes: DataFrame, order: str = "seq")
     return old.unionByName(new).groupBy("key").agg(F.max_by("value", rank).alias("value"))
 
 
+def orphan_objects(orphans: DataFrame, folder: str, url: str = "url") -> DataFrame:
+    """Orphan photos as what a store deletes by: the upload's own id, or else folder and object key."""
+    stored = F.coalesce(public_id(F.col(url)), key_public_id(object_key(F.col(url)), folder))
+    return orphans.withColumn("stored", stored)
+
+
 def orphan_images(before: DataFrame, after: DataFrame) -> DataFrame:
     """Photos no longer used once ``after`` replaces ``before`` (removed products included), each with its thumbnail."""
     new = after.select("id", F.col("images").alias("_kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.functions.pricing import with_pricing
 from stallwise.functions.text import (
@@ -14,6 +14,7 @@ from stallwise.schemas import MAX_CART_LINES, MAX_LINE_QTY, ORDER_STATUSES
 NO_CONTACT = "Add a name and a phone number."
 EMPTY_BAG = "Your bag is empty."
 GONE = "Those pieces are no longer available."
+REF_TAKEN = "That reference is in use, send the order again."
 
 
 def explode_carts(carts: DataFrame) -> DataFrame:
@@ -117,17 +118,45 @@ def validate_orders(requests: DataFrame, lines: DataFrame, priced: DataFrame) ->
 
 
 def place_orders(
-    requests: DataFrame, lines: DataFrame, products: DataFrame, store_percent: Column | int = 0
+    requests: DataFrame, lines: DataFrame, products: DataFrame, store_percent: Column | int = 0, *, prefix: str,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
     """Order rows of the acceptable requests, status ``new``, with a reference made of ``created_at``.
 
-    A request is acceptable if it names a person and a phone and at least one of its lines is sold.
+    A request is acceptable if it names a person and a phone, at least one of its lines is sold, and its reference is free: not in
+    ``existing`` (ref), and of acceptable requests with one reference the first by ``order_id``.
     """
     named = clean_requests(requests).filter((F.col("name") != "") & (F.col("phone") != ""))
     sold = nest_orders(price_cart(lines, products, store_percent))
-    return named.join(sold, "order_id").withColumns(
-        {"ref": order_ref(F.col("created_at")), "status": F.lit("new")}
+    orders = named.join(sold, "order_id").withColumns(
+        {"ref": order_ref(F.col("created_at"), prefix), "status": F.lit("new")}
     )
+    if existing is not None:
+        orders = orders.join(existing.select("ref").distinct(), "ref", "left_anti")
+    # the rank filter is applied before the shuffle as well: each task sends one order of a reference
+    turn = F.row_number().over(Window.partitionBy("ref").orderBy("order_id"))
+    return orders.withColumn("_turn", turn).filter("_turn = 1").drop("_turn")
+
+
+def refused_refs(requests: DataFrame, priced: DataFrame, *, prefix: str, existing: DataFrame | None = None) -> DataFrame:
+    """(order_id, ref, reason) of the requests that are refused for their reference alone."""
+    named = clean_requests(requests).filter((F.col("name") != "") & (F.col("phone") != ""))
+    asked = named.join(priced.select("order_id").distinct(), "order_id", "left_semi").select(
+        "order_id", order_ref(F.col("created_at"), prefix).alias("ref")
+    )
+    first = asked.groupBy("ref").agg(F.min("order_id").alias("order_id"))
+    if existing is not None:
+        first = first.join(existing.select("ref").distinct(), "ref", "left_anti")
+    return asked.join(first.select("order_id"), "order_id", "left_anti").withColumn("reason", F.lit(REF_TAKEN))
+
+
+def place_and_count(
+    requests: DataFrame, lines: DataFrame, products: DataFrame, store_percent: Column | int = 0, *, prefix: str,
+    existing: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The new orders, and the products with the pieces of these orders added to their counters."""
+    orders = place_orders(requests, lines, products, store_percent, prefix=prefix, existing=existing)
+    return orders, apply_orders(products, lines.join(orders.select("order_id"), "order_id", "left_semi"))
 
 
 def order_message(orders: DataFrame, shop: str, shop_phone: str) -> DataFrame:

@@ -14,7 +14,7 @@ from stallwise.sources.tables import hydrate
 
 CART = ("products_base", "cart_lines")
 ORDERS = ("products_base", "cart_lines", "order_requests")
-SHOP, SHOP_PHONE = "Example Shop", "910000000000"
+SHOP, SHOP_PHONE, PREFIX = "Example Shop", "910000000000", "SW"
 
 PRICED_SQL = f"""priced AS (
     SELECT order_id, pos, product_id, sku, title, final_price AS price, list_price, discount_percent, qty,
@@ -107,28 +107,52 @@ def validate_orders(spark, sf):
     return checked.select("order_id", "name", "phone", "note", "reason")
 
 
-REF_SQL = "'SW' || right(to_base(epoch_ms(created_at), 36), 6)"
+REF_SQL = f"'{PREFIX}' || right(to_base(epoch_ms(created_at), 36), 6)"
 
 
 def placed(spark: SparkSession, sf: str) -> DataFrame:
     return od.place_orders(
         bind(spark, sf, "order_requests").drop("status"), bind(spark, sf, "cart_lines"),
-        bind(spark, sf, "products_base"), cat.store_discount(settings(spark)),
+        bind(spark, sf, "products_base"), cat.store_discount(settings(spark)), prefix=PREFIX,
     )
 
 
-@query("place_orders", f"""WITH {PRICED_SQL}, {TOTALS_SQL}, {VALID_SQL}
-       SELECT c.order_id, {REF_SQL} AS ref, name, phone, note, n_items, total, 'new' AS status
-       FROM checked c JOIN totals t ON t.order_id = c.order_id WHERE reason IS NULL""", ORDERS)
+# of acceptable requests with one reference the first is placed
+PLACED_SQL = f"""{PRICED_SQL}, {TOTALS_SQL}, {VALID_SQL},
+    turns AS (SELECT *, {REF_SQL} AS ref, row_number() OVER (PARTITION BY {REF_SQL} ORDER BY order_id) AS turn
+              FROM checked WHERE reason IS NULL)"""
+
+
+@query("place_orders", f"""WITH {PLACED_SQL}
+       SELECT c.order_id, ref, name, phone, note, n_items, total, 'new' AS status
+       FROM turns c JOIN totals t ON t.order_id = c.order_id WHERE turn = 1""", ORDERS)
 def place_orders(spark, sf):
     return placed(spark, sf).select(
         "order_id", "ref", "name", "phone", "note", F.size("items").cast("bigint").alias("n_items"), "total", "status"
     )
 
 
+@query("refused_refs", f"""WITH {PLACED_SQL} SELECT order_id, ref, 'That reference is in use, send the order again.' AS reason
+       FROM turns WHERE turn > 1""", ORDERS)
+def refused_refs(spark, sf):
+    return od.refused_refs(bind(spark, sf, "order_requests"), priced(spark, sf), prefix=PREFIX)
+
+
+@query("place_and_count", f"""WITH {PLACED_SQL}
+       SELECT p.id, CAST(p.order_count + coalesce(sum(x.qty), 0) AS BIGINT) AS order_count
+       FROM products p LEFT JOIN (SELECT * FROM priced WHERE order_id IN (SELECT order_id FROM turns WHERE turn = 1)) x
+            ON x.product_id = p.id GROUP BY p.id, p.order_count""", ("products", "products_base", "cart_lines", "order_requests"))
+def place_and_count(spark, sf):
+    """Orders are placed and the counters of their pieces go up, in one step."""
+    _, counted = od.place_and_count(
+        bind(spark, sf, "order_requests").drop("status"), bind(spark, sf, "cart_lines"), bind(spark, sf, "products"), prefix=PREFIX
+    )
+    return counted.select("id", "order_count")
+
+
 @query("order_ref", f"SELECT order_id, {REF_SQL} AS ref FROM order_requests", ("order_requests",))
 def order_ref(spark, sf):
-    return bind(spark, sf, "order_requests").select("order_id", tx.order_ref(F.col("created_at")).alias("ref"))
+    return bind(spark, sf, "order_requests").select("order_id", tx.order_ref(F.col("created_at"), PREFIX).alias("ref"))
 
 
 ENCODE_SQL = "url_encode(message)"
@@ -136,15 +160,15 @@ for _code, _char in (("+", "%20"), ("%21", "!"), ("%27", "''"), ("%28", "("), ("
     ENCODE_SQL = f"replace({ENCODE_SQL}, '{_code}', '{_char}')"
 
 
-@query("order_message", f"""WITH {PRICED_SQL}, {TOTALS_SQL}, {VALID_SQL},
+@query("order_message", f"""WITH {PLACED_SQL},
        listed AS (SELECT order_id, string_agg(CAST(qty AS VARCHAR) || ' x ' || title || ' (' || sku || ')', chr(10)
                                               ORDER BY pos) AS items FROM priced GROUP BY order_id),
        written AS (SELECT c.order_id, '{SHOP} enquiry ' || {REF_SQL} || chr(10) || items || chr(10)
                           || 'Total Rs ' || {inr_sql("total")} || chr(10)
                           || CASE WHEN saved > 0 THEN 'You save Rs ' || {inr_sql("saved")} || chr(10) ELSE '' END
                           || 'Name: ' || name || chr(10) || 'Phone: ' || phone AS message
-                   FROM checked c JOIN totals t ON t.order_id = c.order_id JOIN listed l ON l.order_id = c.order_id
-                   WHERE reason IS NULL)
+                   FROM turns c JOIN totals t ON t.order_id = c.order_id JOIN listed l ON l.order_id = c.order_id
+                   WHERE turn = 1)
        SELECT order_id, message, 'https://wa.me/{SHOP_PHONE}?text=' || {ENCODE_SQL} AS link FROM written""", ORDERS)
 def order_message(spark, sf):
     return od.order_message(placed(spark, sf), SHOP, SHOP_PHONE).select("order_id", "message", "link")

@@ -179,6 +179,35 @@ def price_of(spark, sf):
     )
 
 
+@query("sort_unknown", f"""SELECT position, id, rank_score
+       FROM (SELECT *, row_number() OVER (ORDER BY rank_score DESC, id DESC) AS position FROM ({SCORED_SQL}) s) o
+       WHERE position <= {ADMIN_PAGE_SIZE}""", FULL)
+def sort_unknown(spark, sf):
+    """An unknown order is the recommended one."""
+    top = cat.list_products(
+        full(spark, sf), AS_OF, sort="dearest", limit=ADMIN_PAGE_SIZE, max_limit=ADMIN_PAGE_SIZE, include_inactive=True
+    )
+    return with_position(top, cat.sort_keys("dearest")).select("position", "id", "rank_score")
+
+
+@query("appended_pages", f"""SELECT id, title, price FROM (SELECT *, row_number() OVER (ORDER BY rank_score DESC, id DESC) AS position
+       FROM ({SCORED_SQL}) s WHERE active) o WHERE position <= 24""", FULL)
+def appended_pages(spark, sf):
+    """The second page is appended to the first."""
+    first, second = (cat.list_products(full(spark, sf), AS_OF, page_number=n) for n in (1, 2))
+    return cat.append_page(first, second).select("id", "title", "price")
+
+
+@query("page_after", """SELECT id, price FROM (SELECT id, price, row_number() OVER (ORDER BY price, id DESC) AS position
+       FROM products_base WHERE active) o WHERE position BETWEEN 1001 AND 1012""", BASE)
+def page_after(spark, sf):
+    """The page after the thousandth piece by price, found by that piece's price and id."""
+    order = [("price", False), ("id", True)]
+    rows = cat.listing_filter(base(spark, sf))
+    last = rows.orderBy("price", F.desc("id")).offset(999).limit(1).select("price", "id").first()
+    return cat.page_after(rows, order, last.asDict()).select("id", "price") if last else rows.select("id", "price").limit(0)
+
+
 # ---- facets
 
 @query("facet_collections",
@@ -316,6 +345,20 @@ def image_fields(spark, sf):
     )
 
 
+MANY_SQL = """SELECT p.id, n, '/uploads/' || CAST(p.id AS VARCHAR) || '-' || CAST(n AS VARCHAR) || '.webp' AS url
+    FROM products_base p, (SELECT unnest(range(1, 13)) AS n) k WHERE n <= p.id % 12"""
+
+
+@query("first_photos", f"""SELECT p.id, CAST(least(8, p.id % 12) AS INT) AS n_images, max(CASE WHEN n = 8 THEN url END) AS eighth
+       FROM products_base p LEFT JOIN ({MANY_SQL}) i ON i.id = p.id GROUP BY p.id""", BASE)
+def first_photos(spark, sf):
+    """Up to eleven photos are sent, eight are kept."""
+    numbers = F.when(F.col("id") % 12 > 0, F.sequence(F.lit(1), (F.col("id") % 12).cast("int")))
+    urls = F.transform(numbers, lambda n: F.concat(F.lit("/uploads/"), F.col("id"), F.lit("-"), n, F.lit(".webp")))
+    kept = base(spark, sf).select("id", im.first_photos(urls).alias("images"))
+    return kept.select("id", F.size("images").alias("n_images"), F.get("images", F.lit(7)).alias("eighth"))
+
+
 @query("thumb_url", f"SELECT id, replace(url, '.webp', '-thumb.webp') AS thumb FROM ({IMAGES_SQL}) i", BASE)
 def thumb_url(spark, sf):
     urls = product_images(base(spark, sf)).select("id", F.explode("images").alias("url"))

@@ -8,9 +8,10 @@ from stallwise.functions import images as im
 from stallwise.operators import edits as ed, mutations as mu
 from stallwise.operators.slugs import assign_slugs
 from stallwise.plans.catalogue import IMAGES_SQL
-from stallwise.plans.registry import query
+from stallwise.plans.registry import query, stamp, stamp_sql
+from stallwise.session import fresh_dir
 from stallwise.sources.bindings import bind, presence_flags, product_images, sample, settings
-from stallwise.sources.tables import add_missing_columns
+from stallwise.sources.tables import add_missing_columns, conform, read_table, write_table
 
 BASE = ("products_base",)
 CLEAN = ("products_base", "edits_clean")
@@ -325,3 +326,36 @@ def orphan_images(spark, sf):
     kept = F.when(F.col("id") % 3 == 0, F.slice("images", 2, im.MAX_PHOTOS)).otherwise(F.col("images"))
     after = before.filter("stock > 0").withColumn("images", kept)
     return mu.orphan_images(before.select("id", "images"), after.select("id", "images"))
+
+
+@query("orphan_objects", f"""WITH urls AS ({IMAGES_SQL}),
+       dropped AS (SELECT u.id, n, CASE WHEN u.id % 2 = 0 THEN 'https://img.example.com/upload/v12' || url ELSE url END AS url
+                   FROM urls u JOIN products_base p ON p.id = u.id WHERE p.stock = 0),
+       both_sizes AS (SELECT id, url FROM dropped UNION ALL SELECT id, replace(url, '.webp', '-thumb.webp') FROM dropped)
+       SELECT id, url, CASE WHEN id % 2 = 0 THEN replace(replace(url, 'https://img.example.com/upload/v12/', ''), '.webp', '')
+                            ELSE 'shop/' || replace(replace(url, '/uploads/', ''), '.webp', '') END AS stored FROM both_sizes""", BASE)
+def orphan_objects(spark, sf):
+    """Sold-out pieces are removed; half of the photos lie in an upload service, half in a plain store."""
+    hosted = F.transform("images", lambda u: F.concat(F.lit("https://img.example.com/upload/v12"), u))
+    before = product_images(base(spark, sf)).withColumn("images", F.when(F.col("id") % 2 == 0, hosted).otherwise(F.col("images")))
+    gone = mu.orphan_images(before.select("id", "images"), before.filter("stock > 0").select("id", "images"))
+    return mu.orphan_objects(gone, "shop").select("id", "url", "stored")
+
+
+# ---- tables written and read back with their declared schema
+
+def _read_back(fmt: str):
+    def job(spark: SparkSession, sf: str) -> DataFrame:
+        path = fresh_dir(spark, f"products-{fmt}")
+        write_table(conform(product_images(bind(spark, sf, "products")), "products"), path, fmt)
+        back = read_table(spark, "products", path, fmt)
+        return back.filter("price >= 2000").select(
+            "id", "title", "price", "active", F.size("images").cast("bigint").alias("n_images"), stamp("created_at").alias("created_at")
+        )
+
+    return job
+
+
+for _fmt in ("parquet", "json", "csv"):
+    query(f"read_{_fmt}", f"""SELECT CAST(id AS INT) AS id, title, price, active, CAST(id % 4 AS BIGINT) AS n_images,
+          {stamp_sql("created_at")} AS created_at FROM products WHERE price >= 2000""", ("products",))(_read_back(_fmt))

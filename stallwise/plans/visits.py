@@ -174,6 +174,8 @@ for _name, _keys, _minutes, _pages in (
     ("throttled_views", ("ip", "product_id"), 30, True),
     ("throttled_views_by_visitor", ("ip", "user_agent"), 30, False),
     ("throttled_views_48h", ("ip", "user_agent"), 48 * 60, False),
+    ("throttled_views_hot", ("user_agent",), 30, False),
+    ("throttled_views_no_gap", ("ip", "product_id"), 0, True),
 ):
     query(_name, throttle_sql(", ".join(_keys), _minutes, "kind = 'product'" if _pages else "kind IS NOT NULL"),
           VISITS, recursive=True)(_throttled(_keys, _minutes, _pages))

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "stallwise", **conf: str
         # split hot join keys even where that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
@@ -56,8 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder, removed when the session's JVM ends."""
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = _folder(spark, path)
+    fs.deleteOnExit(target)
     return path
 
 
@@ -78,3 +80,25 @@ def ship_package(spark: SparkSession) -> None:
         target.parent.mkdir(parents=True, exist_ok=True)
         shutil.copyfile(source, target)
     sc.addPyFile(shutil.make_archive(f"{folder.name}/stallwise", "zip", f"{folder.name}/src"))
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder of the shared store; none if it is not there."""
+    fs, target = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has come to its end."""
+    fs, target = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _folder(spark, path)
+    fs.delete(target, True)

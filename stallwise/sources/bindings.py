@@ -104,7 +104,7 @@ ORDER_REQUESTS = """
 SELECT o_orderkey AS order_id,
        CASE WHEN o_orderkey % 40 = 0 THEN '  ' ELSE ' Customer ' || CAST(o_custkey AS STRING) END AS name,
        CASE WHEN o_orderkey % 55 = 3 THEN '' ELSE '+91 9' || lpad(CAST(o_custkey AS STRING), 9, '0') END AS phone,
-       o_orderpriority AS note, CAST(o_orderdate AS TIMESTAMP) AS created_at,
+       o_orderpriority AS note, CAST(o_orderdate AS TIMESTAMP) + CAST(o_orderkey % 7200 AS INT) * INTERVAL '1' SECOND AS created_at,
        CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'P' THEN 'confirmed' ELSE 'closed' END AS status
 FROM {orders}
 """

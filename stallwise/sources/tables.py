@@ -39,6 +39,14 @@ def write_table(
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The declared columns of a shop table, in its order and types; columns that are absent are NULL."""
+    have = set(df.columns)
+    return df.select(
+        *((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields)
+    )
+
+
 def hydrate(text: Column, data_type: T.DataType) -> Column:
     """Parse a JSON column; text that does not parse gives an empty list."""
     return F.coalesce(F.from_json(text, data_type), F.array().cast(data_type))

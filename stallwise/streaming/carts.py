@@ -9,10 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stallwise.operators.catalog import store_discount
 from stallwise.operators.orders import price_cart
+from stallwise.streaming.sinks import started
 
 
 def start_priced_carts(
-    lines: DataFrame, products: Callable[[], DataFrame], settings: Callable[[], DataFrame], out: str, checkpoint: str
+    lines: DataFrame, products: Callable[[], DataFrame], settings: Callable[[], DataFrame], out: str, checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write the priced lines of a stream of (order_id, pos, product_id, qty_raw).
 
@@ -24,7 +26,4 @@ def start_priced_carts(
         priced = price_cart(batch, products(), store_discount(settings()))
         priced.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (
-        lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return started(lines.writeStream.foreachBatch(write), checkpoint, trigger)

@@ -1,8 +1,9 @@
 """The view throttle over a stream: what is carried on is the last counted view of each key.
 
-Every micro-batch is worked off by the batch job, which copes with keys of any size, and leaves its
-counted views and the carried views in folders named by its number. A repeated batch starts
-from the same carried views and overwrites its own folders, so each view is counted once.
+Every micro-batch is worked off by the batch job, which copes with keys of any size. Its counted views go to a folder named by
+its number, and the last counted view of each key that it touched to a ``BatchLog``; keys that a batch does not touch
+are neither read by name nor written again. A repeated batch starts from the same carried views and overwrites its own
+folders, so each view is counted once.
 """
 
 from __future__ import annotations
@@ -11,37 +12,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stallwise.operators.throttle import throttled_views
+from stallwise.streaming.sinks import COMPACT_EVERY, BatchLog, started
 
 
 def start_throttled_views(
     views: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = ("ip", "product_id"),
-    gap_minutes: int = 30, lateness_minutes: int = 24 * 60,
+    gap_minutes: int = 30, lateness_minutes: int = 24 * 60, trigger: dict | None = None, every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Write counted views (keys, ts) of a stream whose micro-batches arrive in time order.
 
-    A view older than one of its key counted in an earlier micro-batch does not count. Keys are forgotten
-    once the stream is past their last counted view by the gap and the lateness.
+    A view older than one of its key counted in an earlier micro-batch does not count. When the log is compacted, keys
+    are forgotten whose last counted view lies further back than the gap and the lateness.
     """
+    spark = views.sparkSession
+    schema = views.select(*keys, "ts").schema
+    log = BatchLog(spark, f"{out}/carried", schema, list(keys), every)
     gap = F.expr(f"INTERVAL {gap_minutes + lateness_minutes} MINUTES")
 
+    def recent(carried: DataFrame) -> DataFrame:
+        return carried.filter(F.col("ts") >= carried.agg(F.max("ts")).scalar() - gap)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        at = batch.select(*keys, "ts").persist()
-        carried = spark.read.schema(at.schema).parquet(f"{out}/carried/{batch_id - 1}") if batch_id else None
-        throttled_views(at, keys, gap_minutes=gap_minutes, last=carried).write.mode("overwrite").parquet(
-            f"{out}/counted/batch={batch_id}"
-        )
-        counted = spark.read.schema(at.schema).parquet(f"{out}/counted/batch={batch_id}")
-        known = counted if carried is None else counted.unionByName(carried)
-        newest = known.select("ts").unionByName(at.select("ts")).agg(F.max("ts")).scalar()
-        last = known.groupBy(*keys).agg(F.max("ts").alias("ts")).filter(F.col("ts") >= newest - gap)
-        last.write.mode("overwrite").parquet(f"{out}/carried/{batch_id}")
-        at.unpersist()
-
-    return (
-        views.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+        folder = f"{out}/counted/batch={batch_id}"
+        counted = throttled_views(batch.select(*keys, "ts"), keys, gap_minutes=gap_minutes, last=log.newest(before=batch_id))
+        counted.write.mode("overwrite").parquet(folder)
+        log.write(spark.read.schema(schema).parquet(folder).groupBy(*keys).agg(F.max("ts").alias("ts")), batch_id, recent)
+
+    return started(views.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
 def counted_views(spark: SparkSession, out: str) -> DataFrame:

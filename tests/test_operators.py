@@ -149,9 +149,18 @@ def test_orders(spark):
     checked = od.validate_orders(requests, lines, od.price_cart(lines, p))
     assert rows(checked, "order_id", "name", "reason") == [
         (1, "Asha", None), (2, "B", od.GONE), (3, "", od.NO_CONTACT), (4, "D", od.EMPTY_BAG), (5, "E & F", None)]
-    placed = od.place_orders(requests, lines, p).orderBy("order_id")
+    taken = od.refused_refs(requests, od.price_cart(lines, p), prefix="SW")
+    assert rows(taken, "order_id", "reason") == [(5, od.REF_TAKEN)]
+    assert [r.order_id for r in od.place_orders(requests, lines, p, prefix="SW").collect()] == [1]
+    used = od.place_orders(requests, lines, p, prefix="SW").select("ref")
+    assert od.place_orders(requests, lines, p, prefix="SW", existing=used).isEmpty()
+    assert len(od.refused_refs(requests, od.price_cart(lines, p), prefix="SW", existing=used).collect()) == 2
+    _, counted = od.place_and_count(requests, lines, p, prefix="SW")
+    assert rows(counted, "id", "order_count") == [(1, 1), (2, 0), (3, 0), (4, 0)]
+    alone = requests.filter("order_id = 5").withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 SECOND"))
+    placed = od.place_orders(requests.filter("order_id <> 5").unionByName(alone), lines, p, prefix="SW").orderBy("order_id")
     first, second = od.order_message(placed, "Shop", "91").collect()
-    assert first.ref == second.ref and first.ref[:2] == "SW" and len(first.ref) == 8 and first.status == "new"
+    assert first.ref != second.ref and first.ref[:2] == "SW" and len(first.ref) == 8 and first.status == "new"
     assert int(first.ref[2:], 36) == int(at.timestamp() * 1000) % 36**6
     assert second.message == f"Shop enquiry {second.ref}\n2 x Sale (S-4)\nTotal Rs 180\nYou save Rs 18\nName: E & F\nPhone: +1"
     assert second.link == ("https://wa.me/91?text=" + f"Shop%20enquiry%20{second.ref}%0A2%20x%20Sale%20(S-4)%0ATotal%20Rs%20180"
