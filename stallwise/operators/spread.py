@@ -1,40 +1,33 @@
 """Running counts within groups of any size.
 
-A plain window over a group sorts the whole group in one task. Here the order is cut into ranges,
-each range of each group is counted on its own, and the counts of earlier ranges are added. The
-number of ranges per group is fixed, so the only per-group list ever formed is a short one.
+A plain window over a group sorts the whole group in one task. Here the rows are dealt out by ranges of (group, order) that
+follow the data, so a large group is cut, however its order values lie. Each range of each group is counted on its own, and
+the counts of earlier ranges are added. A group has at most as many ranges as there are partitions, which is the
+only per-group list ever formed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 4096
-
-
-def slot(c: Column, width: int) -> Column:
-    """Number of the stretch of ``width`` whole numbers that a value lies in; worked out without rounding."""
-    size = F.lit(width).cast("bigint")
-    return ((c - F.pmod(c, size)) / size).cast("bigint")
+from stallwise.session import enable_checkpoints
 
 
 def running_count(
-    df: DataFrame, keys: list[str], order: str, counted: Column | None = None, out: str = "n",
-    tie: str | None = None, bounds: tuple[int, int] | None = None, ranges: int = RANGES,
+    df: DataFrame, keys: list[str], order: str, counted: Column | None = None, out: str = "n", tie: str | None = None
 ) -> DataFrame:
-    """Number of counted rows of the same group up to and including this one, by a whole-number order.
+    """Number of counted rows of the same group up to and including this one, by an order.
 
-    Equal order values are told apart by ``tie``. Without ``counted`` every row counts, which
-    gives the row number. ``bounds`` saves the look for the least and greatest order value.
+    Equal order values are told apart by ``tie``. Without ``counted`` every row counts, which gives the row number.
     """
-    low, high = bounds or df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // ranges))
-    marked = df.withColumn("_range", slot(F.col(order) - F.lit(low), width)).withColumn(
-        "_one", (counted if counted is not None else F.lit(True)).cast("bigint")
+    enable_checkpoints(df.sparkSession)
+    by_order = [order, *([tie] if tie else [])]
+    one = (counted if counted is not None else F.lit(True)).cast("bigint")
+    # the ranges are written once, so that all that follows sees the same ones
+    marked = (
+        df.withColumn("_one", one).repartitionByRange(*keys, *by_order)
+        .withColumn("_range", F.spark_partition_id()).checkpoint()
     )
-    by_order = [F.col(order), *([F.col(tie)] if tie else [])]
     within = Window.partitionBy(*keys, "_range").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = marked.groupBy(*keys, "_range").agg(F.sum("_one").alias("_sum"))

@@ -95,6 +95,20 @@ def unique_slugs(spark, sf):
     return assign_slugs(new, products.filter("stock <= 0").select("slug")).select("id", "slug")
 
 
+@query("numbered_slugs", """WITH fresh AS (SELECT id, 'piece' || CASE WHEN id % 3 = 0 THEN '' ELSE '-' || CAST(id AS VARCHAR) END AS root FROM products_base),
+       plain AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM fresh WHERE root = 'piece')
+       SELECT id, root AS slug FROM fresh WHERE root <> 'piece'
+       UNION ALL SELECT id, slug FROM (SELECT p.id, CASE WHEN place = 1 THEN 'piece' ELSE 'piece-' || CAST(place AS VARCHAR) END AS slug
+             FROM plain p JOIN (SELECT place, row_number() OVER (ORDER BY place) AS k FROM (SELECT unnest(range(1, (SELECT max(id) FROM fresh) + 1)) AS place) q
+                                WHERE place = 1 OR place % 3 = 0) f ON f.k = p.k) s""", BASE)
+def numbered_slugs(spark, sf):
+    """Two pieces of three are named by their number; the third ones take the plain name and the numbers left free."""
+    products = base(spark, sf)
+    title = F.when(F.col("id") % 3 == 0, "piece").otherwise(F.concat(F.lit("piece "), F.col("id")))
+    none = products.select("slug").limit(0)
+    return assign_slugs(products.select("id", title.alias("title")), none).select("id", "slug")
+
+
 EXISTING_SQL = "existing AS (SELECT upper(title || '/' || fabric) AS sku, slug FROM products_base WHERE NOT active)"
 
 

@@ -48,7 +48,7 @@ def test_slugs_without_clashes(spark):
 
 def test_running_count_of_one_group(spark):
     df = spark.range(5000).select(F.lit("k").alias("k"), (F.col("id") * 7).alias("at"))
-    counted = running_count(df, ["k"], "at", F.col("at") % 2 == 0, ranges=13)
+    counted = running_count(df, ["k"], "at", F.col("at") % 2 == 0)
     wrong = counted.filter(F.col("n") != F.floor(F.col("at") / 14) + 1)
     assert counted.count() == 5000 and wrong.count() == 0
 
@@ -130,3 +130,32 @@ def test_slugs_in_long_chains(spark):
     got = assign_slugs(spark.createDataFrame(titles, "id bigint, title string"),
                        spark.createDataFrame([(s,) for s in taken], "slug string"))
     assert {r.id: r.slug for r in got.collect()} == one_by_one(titles, taken)
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_slugs_of_interleaved_numbers(spark, partitions):
+    """Every second arrival is a name the other root wants; the number of jobs does not grow with the names."""
+    jobs = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for n in (50, 2000):
+            titles = []
+            for k in range(2, n + 1):
+                titles += [f"a {k}"] + (["a"] if k % 2 == 0 else [])
+            titles = [(i * 1000, t) for i, t in enumerate(titles)]
+            spark.sparkContext.setJobGroup(f"slugs-{partitions}-{n}", "slugs")
+            got = assign_slugs(spark.createDataFrame(titles, "id bigint, title string"), spark.createDataFrame([], "slug string"))
+            assert {r.id: r.slug for r in got.collect()} == one_by_one(titles, set())
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"slugs-{partitions}-{n}")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert jobs[1] <= jobs[0] + 2 * partitions, jobs
+
+
+def test_slugs_need_arrival_numbers(spark):
+    for ids in ((1, 1), (1, None)):
+        with pytest.raises(ValueError):
+            assign_slugs(spark.createDataFrame([(i, "a") for i in ids], "id bigint, title string"), spark.createDataFrame([], "slug string"))
