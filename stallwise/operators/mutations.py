@@ -8,6 +8,7 @@ from stallwise.functions.images import first_photos, key_public_id, object_key,
 from stallwise.functions.text import clamp, clean_text, filled, one_of, parse_int, parse_int32, truthy
 from stallwise.operators.slugs import assign_slugs
 from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT, STORE_DISCOUNT_KEY
+from stallwise.session import enable_checkpoints
 
 # Reasons for which a product is refused, with the SKU put in.
 NO_TITLE = "Give the piece a title."
@@ -81,7 +82,9 @@ def create_products(raw: DataFrame, existing: DataFrame, order: str = "seq") ->
     first = rows.filter("reason IS NULL").groupBy("sku").agg(F.min(order).alias("_first"))
     first = first.join(taken, "sku", "left")
     late = F.when(F.coalesce("_taken", F.lit(False)) | (F.col("_first") != F.col(order)), exists)
-    decided = rows.join(first, "sku", "left").withColumn("reason", F.coalesce("reason", late)).drop("_first", "_taken")
+    enable_checkpoints(raw.sparkSession)
+    # written once: the slugs, the accepted and the refused rows all read it
+    decided = rows.join(first, "sku", "left").withColumn("reason", F.coalesce("reason", late)).drop("_first", "_taken").checkpoint()
     accepted = assign_slugs(decided.filter("reason IS NULL"), existing, order=order)
     refused = decided.filter("reason IS NOT NULL").withColumn("slug", F.lit(None).cast("string"))
     return accepted.unionByName(refused)

@@ -77,18 +77,17 @@ def nest_orders(priced: DataFrame) -> DataFrame:
     item = F.struct(
         "pos", F.col("product_id").cast("int").alias("id"), "sku", "title", F.col("price").cast("int").alias("price"),
         F.col("list_price").cast("int").alias("list_price"),
-        F.col("discount_percent").cast("int").alias("discount_percent"), F.col("qty").cast("int").alias("qty"),
+        F.col("discount_percent").cast("int").alias("discount_percent"), F.col("qty").cast("int").alias("qty"), "trimmed",
     )
     grouped = priced.groupBy("order_id").agg(
         F.array_sort(F.collect_list(item)).alias("items"),
-        F.array_sort(F.collect_list(F.when(F.col("trimmed").isNotNull(), F.struct("pos", "trimmed")))).alias("notes"),
         F.sum(F.col("price") * F.col("qty")).alias("total"),
         F.sum((F.col("list_price") - F.col("price")) * F.col("qty")).alias("saved"),
     )
     return grouped.select(
         "order_id",
-        F.transform("items", lambda i: i.dropFields("pos")).alias("items"),
-        F.transform("notes", lambda n: n["trimmed"]).alias("notes"),
+        F.transform("items", lambda i: i.dropFields("pos", "trimmed")).alias("items"),
+        F.array_compact(F.transform("items", lambda i: i["trimmed"])).alias("notes"),
         "total", "saved",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallwise.functions.pricing import half_up
 from stallwise.functions.text import day_label
@@ -85,9 +85,9 @@ def traffic_summary(series: DataFrame, as_of: str) -> DataFrame:
 def traffic_bars(series: DataFrame) -> DataFrame:
     """Chart of a series: bar heights as percentages of the busiest day, and the visitors' share.
 
-    The peak is a scalar over the daily counters, never over page views.
+    The peak is taken over the rows of the series, one per day.
     """
-    peak = F.greatest(series.agg(F.max("hits").alias("peak")).scalar(), F.lit(1))
+    peak = F.greatest(F.max("hits").over(Window.partitionBy()), F.lit(1))
     height = F.greatest(F.lit(2), half_up(F.col("hits") / peak * F.lit(100.0)))
     share = F.when(F.col("hits") != 0, half_up(F.col("visitors") / F.col("hits") * F.col("height")))
     return (
