@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stallwise.session import fresh_dir
+from stallwise.session import fresh_dir, ship_package
 
 #: Entries that a per-process cache of words holds before it is emptied.
 CACHE_ENTRIES = 300_000
 
 
-_shipped: dict[str, tempfile.TemporaryDirectory] = {}
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers wherever they run."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped[sc.applicationId] = folder = tempfile.TemporaryDirectory(prefix="stallwise-")
-    package = Path(__file__).resolve().parents[1]
-    for source in package.rglob("*.py"):
-        target = Path(folder.name, "src", package.name, source.relative_to(package))
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(source, target)
-    sc.addPyFile(shutil.make_archive(f"{folder.name}/stallwise", "zip", f"{folder.name}/src"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import brown, common, decontamination, language, mixing, neardup, pii, quality, rules, toxicity, urls
+from stallwise.llm import brown, checks, common, decontamination, language, mixing, neardup, pii, quality, rules, toxicity, urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op5_minhash_dedup": checks.MINHASH, "op7_decontamination": checks.DECONTAMINATION}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
 from stallwise.llm import common, pii
-from stallwise.llm.queries import QUERIES
+from stallwise.llm.queries import CHECKS, QUERIES
 from test_decontamination import brute as hits_of
 from test_neardup import brute as components_of
 
@@ -115,6 +116,19 @@ def test_url_query_returns_every_page(spark):
     assert {r["verdict"] for r in result.select("verdict").distinct().collect()} <= {"allow", "block"}
 
 
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, got = con.execute(CHECKS[name]).df(), QUERIES[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    rows = [sorted(map(tuple, df[columns].astype(object).values.tolist())) for df in (got, want)]
+    assert rows[0] == rows[1]
+    assert [got[c].dtype.kind for c in columns] == [want[c].dtype.kind for c in columns]
+
+
 def test_queries_equal_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in common.table(spark, SF, "documents").collect()]
     items = [(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").collect()]
