@@ -40,15 +40,17 @@ def test_stages_keep_the_columns(stages):
     assert stages[-1][2].columns == [*COLUMNS, "size", "source_size", "target", "taken"]
 
 
-def test_toxicity_stage(spark, stages):
-    _, before, after = stages[0]
-    labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, SF, "labels").collect()}
-    old, new = by_id(before), by_id(after)
+def test_toxicity_stage(spark):
+    """On a table with some hundred labels; the smallest one has a dozen toxic rows."""
+    sf = "/root/testdata/sf0.01"
+    before = common.table(spark, sf, "documents")
+    labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, sf, "labels").collect()}
+    old, new = by_id(before), by_id(corpus_pipeline.drop_toxic(spark, before, sf))
     assert all(old[i] == r for i, r in new.items())
     clean = [i for i in old if labels.get(i) == 0]
     assert sum(i in new for i in clean) >= 0.97 * len(clean)
     toxic = [i for i in old if labels.get(i) == 1]
-    assert sum(i not in new for i in toxic) > 0.4 * len(toxic)
+    assert sum(i not in new for i in toxic) > 0.5 * len(toxic)
 
 
 def test_near_duplicate_stage(stages):
