@@ -7,11 +7,17 @@ are found by alternating large-star and small-star.
 1. Equal sets are one class (grouped by a 128-bit digest, pre-aggregated), the class is one node named by its smallest id.
 2. ``BANDS * ROWS`` minima per node; nodes that agree on a band share a bucket. At similarity 0.8 a pair misses all bands with
    probability 5e-8.
-3. In each bucket every node is compared with the smallest one only (a star), never all with all. Pairs are verified by the
-   share of equal minima (with a slack of over five standard deviations), then on full sets.
-4. A link between two nodes of one component says nothing new, so only buckets that still hold several components go on:
-   those of up to ``SMALL`` nodes compare nodes of different components; larger ones are split by a further band (similar
-   pairs share about 13 of 32) and start again at step 3. After ``LEVELS`` splits what is left is compared whatever its size.
+3. In each bucket every node is compared with the smallest one, the bucket's star, never all with all. Pairs are verified by
+   the share of equal minima (with a slack of over five standard deviations), then on full sets.
+4. A link between two nodes of one component says nothing new, so only buckets that still hold several components go on.
+   In those of up to ``SMALL`` nodes the nodes of different components are compared. In larger ones exact bounds decide: two nodes share
+   at most the smaller of their cores (what a node shares with the bucket's base, the union of its first few sets) and what
+   they share outside the base. So either the cores alone allow a link, which few pairs do, or the two share a shingle
+   outside the base. For the latter each node offers the first of its shingles outside the base, as many as a similar node cannot avoid all (prefix filtering), and nodes with a shingle in common share a
+   bucket of the next level, back at step 3. After ``LEVELS`` levels what is left is compared whatever its size.
+   Nodes that share less than half of their shingles with the base of a large band bucket are there for a common passage only; they are
+   left to their other bands. (Of two nodes at similarity 0.8 that hold a passage of that size, a band agrees outside of it with
+   probability 0.34 at least, so all 32 miss with 2e-6.)
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
 and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id are one node, which
@@ -23,12 +29,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from stallwise.llm import common
 
 BANDS, ROWS = 32, 4
-SMALL = 128
+SMALL = 64
+BASE = 8
 LEVELS = 3
 #: Similarity by minima may fall short of the real one by so much.
 SLACK = 0.2
@@ -126,19 +133,22 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b), the component named by its smallest node.
 
     Alternating large-star and small-star; each step takes the least neighbour by a pre-aggregated minimum and joins it back,
-    so that the neighbours of a node are never gathered. Every step is written to the shared folder.
+    so that the neighbours of a node are never gathered. Every round is written to the shared folder. It ends when
+    every edge leads straight to the centre of a star.
     """
     edges = common.written(
         spark, links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "links"
     )
-    before = None
     while True:
+        ends = edges.select(F.col("hi").alias("id"), "lo").unionByName(
+            edges.select(F.col("lo").alias("id"), F.lit(None).cast("long").alias("lo"))
+        ).groupBy("id").agg(F.min("lo").alias("least"), F.max("lo").alias("most"), F.count("*").alias("n"), F.count("lo").alias("up"))
+        if ends.where("least <> most or (up > 0 and up < n)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = (
-            both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
-        # small-star: every node points to its least smaller neighbour, and so do its other smaller neighbours
+        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        # small-star: a node and its other smaller neighbours point to its least smaller neighbour
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         edges = common.written(
             spark,
@@ -146,10 +156,6 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             .unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(),
             "links",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(
         edges.select(F.col("lo").alias("id"), F.col("lo").alias("component"))
     ).distinct()
@@ -162,6 +168,11 @@ class _Search:
         self.spark, self.docs, self.nodes = spark, docs.select(F.col(doc_id).alias("id"), text), nodes
         self.text, self.width, self.percent = text, width, percent
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the given ids; the ids are written first, so that few of them are sent to the texts."""
+        ids = common.written(self.spark, ids.distinct(), "ids")
+        return common.written(self.spark, shingle_sets(self.docs.join(ids, "id"), self.text, self.width), "shingle-sets")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of distinct (a, b), those whose sets are similar enough."""
         sigs = self.nodes.select("id", "n_shingles", "minima")
@@ -176,56 +187,42 @@ class _Search:
             .select("a", "b").distinct(),
             "likely-pairs",
         )
-        ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        sets = common.written(
-            self.spark, shingle_sets(self.docs.join(ids, "id"), self.text, self.width), "shingle-sets"
-        )
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("id")))
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
         shared = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - shared
-        return likely.join(left, "a").join(right, "b").where(shared * 100 >= union * self.percent).select("a", "b")
+        found = likely.join(left, "a").join(right, "b").where(shared * 100 >= union * self.percent).select("a", "b")
+        return common.written(self.spark, found, "verified")
 
     def run(self) -> DataFrame:
         """(id, component) of the linked nodes."""
-        keyed = self.nodes.select("id", F.posexplode("bands").alias("band", "key"))
-        links: list[DataFrame] = []
-        linked = None
+        keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+        pending = self.spark.createDataFrame([], "a long, b long")
+        links = pending
         for level in range(LEVELS + 1):
             sizes = keyed.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1")
             members = common.written(self.spark, keyed.join(sizes, "key"), "buckets")
-            stars = members.where("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
-            links.append(common.written(self.spark, self.verified(stars), "verified"))
-            linked = self.joined(links)
-            open_ = self.unsettled(members.where("n > 2"), linked)
-            small = open_ if level == LEVELS else open_.where(F.col("n") <= SMALL)
-            other = small.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = (
-                small.where("id <> star").select("key", F.col("id").alias("a"), "component").join(other, "key")
-                .where("a < b and component <> other").select("a", "b").distinct()
-            )
-            if not pairs.isEmpty():
-                links.append(common.written(self.spark, self.verified(pairs), "verified"))
-                linked = self.joined(links)
-            if level == LEVELS:
-                break
-            large = self.unsettled(open_.where(F.col("n") > SMALL).drop("component"), linked)
-            if large.isEmpty():
+            stars = members.where("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b"))
+            links = links.unionByName(self.verified(stars.unionByName(pending).distinct()))
+            linked = common.written(self.spark, components(self.spark, links), "components")
+            left = self.unsettled(members.where("n > 2"), linked)
+            if left.isEmpty():
+                return linked
+            last = level == LEVELS
+            pending = self.crossing(left if last else left.where(F.col("n") <= SMALL))
+            large = left.where(F.col("n") > SMALL)
+            if last or large.isEmpty():
                 break
-            bands = self.nodes.select("id", F.posexplode("bands").alias("next", "value"))
+            cores = self.cores(large, nearest=level == 0)
+            pending = common.written(self.spark, pending.unionByName(self.by_core(cores)).distinct(), "pending")
             keyed = common.written(
-                self.spark,
-                large.join(bands, "id").where("next > band")
-                .select("id", F.col("next").alias("band"), F.xxhash64("key", "next", "value").alias("key")),
-                "split-buckets",
+                self.spark, cores.select("id", F.col("n").alias("size"), "star", F.explode("offered").alias("shingle"))
+                .select("id", "size", F.xxhash64("star", "shingle").alias("key")).distinct(),
+                "offered-shingles",
             )
-        return linked
-
-    def joined(self, links: list[DataFrame]) -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        return common.written(self.spark, components(self.spark, every), "components")
+        links = links.unionByName(self.verified(pending.distinct()))
+        return common.written(self.spark, components(self.spark, links), "components")
 
     def unsettled(self, members: DataFrame, linked: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with their component."""
@@ -233,23 +230,71 @@ class _Search:
         several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         return common.written(self.spark, placed.join(several.select("key"), "key"), "unsettled")
 
+    def crossing(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components in a bucket, those with its star apart, which have been compared."""
+        rows = members.where("id <> star")
+        other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"))
+        alike = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * self.percent
+        return rows.select("key", F.col("id").alias("a"), "component", "size").join(other, "key").where(
+            F.expr("a < b and component <> other") & alike
+        ).select("a", "b")
+
+    def cores(self, large: DataFrame, nearest: bool) -> DataFrame:
+        """(star, id, component, n, core, offered) of the members of large buckets; the ``nearest`` only, if asked for.
+
+        ``core`` is how many shingles a node shares with the base, the union of the first ``BASE`` members (one alone
+        may lack what the others have in common). A node that is similar to this one shares ``percent`` of this one's
+        shingles, so all but the core's part of that many lie outside the base, and among the first of those (in the order of
+        hashes, the same for all nodes) that are offered.
+        """
+        pairs = common.written(self.spark, large.select("star", "id", "component").distinct(), "star-pairs")
+        sets = self.sets(pairs.select("id"))
+        rank = F.row_number().over(Window.partitionBy("star").orderBy("id"))
+        # at most so many sets of a star are put together
+        first = pairs.select("star", "id", rank.alias("nth")).where(F.col("nth") <= BASE)
+        bases = first.join(sets, "id").groupBy("star").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
+        needed = F.greatest(F.lit(1), F.floor((F.col("n") * self.percent + 99) / 100) - F.col("core"))
+        return common.written(
+            self.spark,
+            pairs.join(sets, "id").join(bases, "star")
+            .select("star", "id", "component", F.size("shingles").alias("n"), F.size(F.array_intersect("shingles", "s")).alias("core"),
+                    F.array_except("shingles", "s").alias("outside"))
+            .where(F.col("core") * 2 >= F.col("n") if nearest else F.lit(True))
+            .select("star", "id", "component", "n", "core",
+                    F.slice("outside", F.lit(1), F.greatest(F.lit(0), F.size("outside") - needed + 1).cast("int")).alias("offered")),
+            "cores",
+        )
+
+    def by_core(self, cores: DataFrame) -> DataFrame:
+        """Pairs of different components whose cores alone allow a link."""
+        # shared * (100 + percent) >= percent * (n_a + n_b), and no more is shared than the smaller core
+        fits = lambda core, n: core * (100 + self.percent) >= n * self.percent
+        bounds = cores.groupBy("star").agg(
+            F.min("n").alias("shortest"), F.max(F.when(F.col("id") == F.col("star"), F.col("component"))).alias("home")
+        )
+        able = cores.join(bounds, "star").where(fits(F.col("core"), F.col("n") + F.col("shortest"))).where("id <> star")
+        away = able.where("component <> home").select("star", F.col("id").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("core").alias("k_x"))
+        any_ = able.select("star", F.col("id").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("core").alias("k_y"))
+        found = away.join(any_, "star").where("c_x <> c_y").where(fits(F.least("k_x", "k_y"), F.col("n_x") + F.col("n_y")))
+        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; ``kept`` marks the document its component is named by."""
     signatures = common.written(spark, signed(docs, doc_id, text, width), "signatures")
-    sets = signatures.where("id is not null and digest is not null")
-    classes = common.written(spark, sets.groupBy("digest").agg(F.min("id").alias("node")), "classes")
+    # equal sets have equal signatures, so any of them will do
     nodes = common.written(
         spark,
-        sets.join(classes.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
-        .select("id", "n_shingles", "minima", "bands"),
+        signatures.where("id is not null and digest is not null").groupBy("digest").agg(
+            F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"), F.first("bands").alias("bands")
+        ),
         "nodes",
     )
     linked = _Search(spark, docs, nodes, doc_id, text, width, percent).run()
-    owner = classes.join(linked.withColumnRenamed("id", "node"), "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component_id")
+    owner = nodes.select("id", "digest").join(linked, "id", "left").select(
+        "digest", F.coalesce("component", "id").alias("component_id")
     )
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return signatures.select("id", "n_shingles", "digest").join(owner, "digest", "left").select(
