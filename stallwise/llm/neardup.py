@@ -20,8 +20,8 @@ are found by alternating large-star and small-star.
    probability 0.34 at least, so all 32 miss with 2e-6.)
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
-and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id are one node, which
-has the links of all of them.
+and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id
+(which is meant to be unique) are one node and stay or go together.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from stallwise.llm import common
 
 BANDS, ROWS = 32, 4
-SMALL = 64
+SMALL = 32
 BASE = 8
 LEVELS = 3
 #: Similarity by minima may fall short of the real one by so much.
@@ -168,6 +168,10 @@ class _Search:
         self.spark, self.docs, self.nodes = spark, docs.select(F.col(doc_id).alias("id"), text), nodes
         self.text, self.width, self.percent = text, width, percent
 
+    def alike(self, one: str, other: str) -> Column:
+        """Sets of very different sizes cannot be similar."""
+        return F.least(one, other) * 100 >= F.greatest(one, other) * self.percent
+
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, shingles) of the given ids; the ids are written first, so that few of them are sent to the texts."""
         ids = common.written(self.spark, ids.distinct(), "ids")
@@ -182,7 +186,7 @@ class _Search:
         likely = common.written(
             self.spark,
             pairs.join(a, "a").join(b, "b")
-            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
+            .where(self.alike("n_a", "n_b"))
             .where(equal >= (self.percent / 100 - SLACK) * BANDS * ROWS)
             .select("a", "b").distinct(),
             "likely-pairs",
@@ -201,9 +205,12 @@ class _Search:
         pending = self.spark.createDataFrame([], "a long, b long")
         links = pending
         for level in range(LEVELS + 1):
-            sizes = keyed.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1")
+            sizes = keyed.groupBy("key").agg(
+                F.min("id").alias("star"), F.min_by("size", "id").alias("star_size"), F.count("*").alias("n")
+            ).where("n > 1")
             members = common.written(self.spark, keyed.join(sizes, "key"), "buckets")
-            stars = members.where("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b"))
+            alike = self.alike("size", "star_size")
+            stars = members.where("id <> star").where(alike).select(F.col("star").alias("a"), F.col("id").alias("b"))
             links = links.unionByName(self.verified(stars.unionByName(pending).distinct()))
             linked = common.written(self.spark, components(self.spark, links), "components")
             left = self.unsettled(members.where("n > 2"), linked)
@@ -234,9 +241,8 @@ class _Search:
         """Pairs of different components in a bucket, those with its star apart, which have been compared."""
         rows = members.where("id <> star")
         other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"))
-        alike = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * self.percent
         return rows.select("key", F.col("id").alias("a"), "component", "size").join(other, "key").where(
-            F.expr("a < b and component <> other") & alike
+            F.expr("a < b and component <> other") & self.alike("size", "size_b")
         ).select("a", "b")
 
     def cores(self, large: DataFrame, nearest: bool) -> DataFrame:
