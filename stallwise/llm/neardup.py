@@ -15,9 +15,7 @@ are found by alternating large-star and small-star.
    they share outside the base. So either the cores alone allow a link, which few pairs do, or the two share a shingle
    outside the base. For the latter each node offers the first of its shingles outside the base, as many as a similar node cannot avoid all (prefix filtering), and nodes with a shingle in common share a
    bucket of the next level, back at step 3. After ``LEVELS`` levels what is left is compared whatever its size.
-   Nodes that share less than half of their shingles with the base of a large band bucket are there for a common passage only; they are
-   left to their other bands. (Of two nodes at similarity 0.8 that hold a passage of that size, a band agrees outside of it with
-   probability 0.34 at least, so all 32 miss with 2e-6.)
+   Every node of a large bucket goes this way, however little it shares with the base.
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
 and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id
@@ -221,7 +219,7 @@ class _Search:
             large = left.where(F.col("n") > SMALL)
             if last or large.isEmpty():
                 break
-            cores = self.cores(large, nearest=level == 0)
+            cores = self.cores(large)
             pending = common.written(self.spark, pending.unionByName(self.by_core(cores)).distinct(), "pending")
             keyed = common.written(
                 self.spark, cores.select("id", F.col("n").alias("size"), "star", F.explode("offered").alias("shingle"))
@@ -245,8 +243,8 @@ class _Search:
             F.expr("a < b and component <> other") & self.alike("size", "size_b")
         ).select("a", "b")
 
-    def cores(self, large: DataFrame, nearest: bool) -> DataFrame:
-        """(star, id, component, n, core, offered) of the members of large buckets; the ``nearest`` only, if asked for.
+    def cores(self, large: DataFrame) -> DataFrame:
+        """(star, id, component, n, core, offered) of the members of large buckets.
 
         ``core`` is how many shingles a node shares with the base, the union of the first ``BASE`` members (one alone
         may lack what the others have in common). A node that is similar to this one shares ``percent`` of this one's
@@ -265,7 +263,6 @@ class _Search:
             pairs.join(sets, "id").join(bases, "star")
             .select("star", "id", "component", F.size("shingles").alias("n"), F.size(F.array_intersect("shingles", "s")).alias("core"),
                     F.array_except("shingles", "s").alias("outside"))
-            .where(F.col("core") * 2 >= F.col("n") if nearest else F.lit(True))
             .select("star", "id", "component", "n", "core",
                     F.slice("outside", F.lit(1), F.greatest(F.lit(0), F.size("outside") - needed + 1).cast("int")).alias("offered")),
             "cores",

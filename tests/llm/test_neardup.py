@@ -59,6 +59,22 @@ def test_components_equal_brute_force(spark, documents, monkeypatch, seed, width
     assert got == brute(rows, width)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_pairs_of_large_buckets_that_share_little_with_their_base(spark, documents, monkeypatch, seed):
+    """Pairs put together from words that many short documents share: each band has another star, each covers less than half."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "BASE", 1)
+    r = random.Random(seed)
+    common_words = [f"p{k}" for k in range(40)]
+    texts = [" ".join(sorted(r.sample(common_words, 18))) for _ in range(300)]
+    texts += [" ".join([*common_words, f"x{k}", f"y{k}"]) for k in range(3)]
+    rows = list(enumerate(texts))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark, docs, width=1).collect()}
+    assert got[301] == got[302] == (42, 300)
+    assert got == brute(rows, 1)
+
+
 def test_kept_marks_one_document_of_a_component(spark, documents):
     found = neardup.near_duplicates(spark, documents(["a b c d e f"] * 4 + ["g h i j k l"]), width=5)
     assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in found.collect()} == {
