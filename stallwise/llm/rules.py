@@ -3,8 +3,10 @@
 Fertility is measured per text: characters per token by two public vocabularies, the share of tokens that a piece vocabulary
 spells in bytes, and the entropy of the text's tokens in bits. Each is held against a band of its language (the ``lang`` column;
 where that is null, the text's most frequent script): the median of all texts that pass the counts, and ``REACH`` times the spread
-of its quartiles to either side. Bands come from all documents of the language; one with fewer than ``LEAST`` has no band and keeps
-its documents. Tokenisers are only applied, word by word, never trained.
+of its quartiles to either side. Bands come from all documents of the language. The quartiles of one with fewer than ``LEAST`` are
+drawn to those of all texts in the document's script, in the proportion that it falls short, and those of a small script to
+those of all texts, so that every document is held against a band and none depends on a group's size by a switch.
+Tokenisers are only applied, word by word, never trained.
 
 Defined results: null and empty texts have no words and fail the counts; measures without tokens are 0. Repeated rows are judged
 alike, one by one. Texts are read whole.
@@ -17,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stallwise.llm import common, vocabularies
 
@@ -38,6 +40,8 @@ SCRIPTS = (
 
 
 def script(text: str) -> str:
+    if text.isascii():
+        return "latin" if LETTER.search(text) else "none"
     counts: Counter[str] = Counter()
     for ch, n in Counter(text).items():
         if LETTER.match(ch):
@@ -135,10 +139,10 @@ def entropy(tokens: np.ndarray, size: int) -> float:
 
 
 def measured(spark: SparkSession, docs: DataFrame, *, text: str = "text", lang: str = "lang", folder: str = vocabularies.FOLDER) -> DataFrame:
-    """Every row with its counts, ``base_failed``, the measures of fertility and the key of its band."""
+    """Every row with its counts, ``base_failed``, the measures of fertility, the key of its band and its script."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     fields = [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_failed", T.BooleanType())]
-    fields += [T.StructField(m, T.DoubleType()) for m in MEASURES] + [T.StructField("_band", T.StringType())]
+    fields += [T.StructField(m, T.DoubleType()) for m in MEASURES] + [T.StructField("_band", T.StringType()), T.StructField("_script", T.StringType())]
     shared = spark.sparkContext.broadcast((vocabularies.read(vocabularies.PIECES, folder), vocabularies.read(vocabularies.BYTES, folder)))
 
     def work():
@@ -154,12 +158,12 @@ def measured(spark: SparkSession, docs: DataFrame, *, text: str = "text", lang:
             n, chars = len(codes), len(t) - len(raw) + len(raw.translate(None, SPACE))
             again = repeated_words(codes)
             failed = n < MIN_WORDS or 100 * again > MAX_REPEATED * n
-            bits = entropy(tokens, words.pieces.size)
+            bits, written = entropy(tokens, words.pieces.size), script(t)
             return (
                 n, chars, len(raw) - len(raw.translate(None, SYMBOLS)), repeated_lines(t), again, failed,
                 chars / max(1, len(tokens)), chars / max(1, int(words.byte_tokens[codes].sum())),
                 float(words.spelled[tokens].mean()) if len(tokens) else 0.0, bits,
-                f"lang:{language}" if language is not None else f"script:{script(t)}",
+                f"lang:{language}" if language is not None else f"script:{written}", written,
             )
 
         def on_batch(batch: pa.RecordBatch) -> tuple:
@@ -171,14 +175,29 @@ def measured(spark: SparkSession, docs: DataFrame, *, text: str = "text", lang:
 
 
 def bands(rows: DataFrame, *, reach: float = REACH, least: int = LEAST) -> DataFrame:
-    """(_band, lowest and highest value of each measure) over the rows that pass the counts."""
-    quartiles = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 1000) for m in MEASURES}
-    by = rows.where(~F.col("base_failed")).groupBy("_band").agg(F.count("*").alias("_n"), *(q.alias(m) for m, q in quartiles.items()))
+    """(_band, _script, lowest and highest value of each measure) over the rows that pass the counts."""
+    passed = rows.where(~F.col("base_failed"))
+
+    def quartiles(name: str) -> list[Column]:
+        of = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(f"{name}_{m}") for m in MEASURES]
+        return [F.count("*").alias(f"{name}_n"), *of]
+
+    def drawn(name: str, m: str, to: list[Column]) -> list[Column]:
+        own = F.least(F.lit(1.0), F.col(f"{name}_n") / max(least, 1))
+        return [F.col(f"{name}_{m}")[i] * own + to[i] * (1 - own) for i in range(3)]
+
+    by = (
+        passed.select("_band", "_script").distinct()
+        .join(passed.groupBy("_band").agg(*quartiles("band")), "_band")
+        .join(passed.groupBy("_script").agg(*quartiles("script")), "_script")
+        .crossJoin(passed.agg(*quartiles("all")))  # one row
+    )
     out = []
     for m in MEASURES:
-        way = F.greatest((F.col(m)[2] - F.col(m)[0]) * reach, F.lit(FLOOR[m]))
-        out += [(F.col(m)[1] - way).alias(f"_low_{m}"), (F.col(m)[1] + way).alias(f"_high_{m}")]
-    return by.where(F.col("_n") >= least).select("_band", *out)
+        low, middle, high = drawn("band", m, drawn("script", m, [F.col(f"all_{m}")[i] for i in range(3)]))
+        way = F.greatest((high - low) * reach, F.lit(FLOOR[m]))
+        out += [(middle - way).alias(f"_low_{m}"), (middle + way).alias(f"_high_{m}")]
+    return by.select("_band", "_script", *out)
 
 
 def judged(
@@ -191,5 +210,5 @@ def judged(
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"_low_{m}"), F.col(f"_high_{m}")), F.lit(True))
-    held = rows.join(limits, "_band", "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return held.drop("_band", *limits.columns)
+    held = rows.join(limits, ["_band", "_script"], "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return held.drop(*limits.columns)

@@ -125,6 +125,29 @@ def test_odd_fertility_is_rejected(spark, documents):
     assert found[151]["fallback_share"] > 0.5 and found[0]["fallback_share"] == 0
 
 
+def test_groups_of_every_size_have_a_band(spark, documents):
+    r = random.Random(9)
+    words = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common_words = "the of house water people under light history would through".split()
+    plain = lambda: " ".join(f"{w} {words()[:2]}" for w in r.choices(common_words, k=80))
+    odd = lambda: " ".join(words() for _ in range(80))
+    texts = [("en", plain()) for _ in range(150)] + [("xx", plain()) for _ in range(48)] + [("xx", odd()), ("yy", odd())]
+    texts += [(None, odd()), (None, " ".join("ꙮ" + chr(0xA640 + r.randrange(60)) for _ in range(80))), ("yy", plain())]
+    found = {x["doc_id"]: x for x in rules.judged(spark, documents([(i, t, k, "s", len(t)) for i, (k, t) in enumerate(texts)])).collect()}
+    assert all(found[i]["kept"] for i in [*range(198), 202])
+    assert not any(found[i]["kept"] or found[i]["base_failed"] for i in range(198, 202))
+
+
+def test_a_large_group_keeps_its_own_band(spark):
+    row = lambda i, band, value: (band, "latin", False, value, value, 0.0, value)
+    columns = "_band string, _script string, base_failed boolean, " + ", ".join(f"{m} double" for m in rules.MEASURES)
+    rows = [row(i, "lang:a", 1.0) for i in range(50)] + [row(i, "lang:b", 3.0) for i in range(25)]
+    found = {x["_band"]: x for x in rules.bands(spark.createDataFrame(rows, columns)).collect()}
+    assert (found["lang:a"]["_low_entropy"], found["lang:a"]["_high_entropy"]) == (-1.0, 3.0)
+    # half its own quartiles (3, 3, 3), half those of the script (1, 1, 3)
+    assert (found["lang:b"]["_low_entropy"], found["lang:b"]["_high_entropy"]) == (2.0 - 6.0, 2.0 + 6.0)
+
+
 def test_rules_of_awkward_rows(spark, awkward, clashing, nothing):
     found = rules.judged(spark, clashing)
     assert found.count() == 16 and found.columns.count("kept") == 1 and "N_WORDS" not in found.columns and "text" not in found.columns
