@@ -10,8 +10,8 @@ half of the labelled rows.
 
 Defined results: a null text is an empty one; an empty text gets the score that goes with no evidence; labels with a null
 label or id are left out, several labels of one id count as their maximum; without labels of both kinds every score is the
-share of toxic labels (0 without labels). Repeated rows are scored alike, one by one. Very long tokens are decoded in
-pieces of ``PIECE`` characters, none is left out.
+share of toxic labels (0 without labels). Repeated rows are scored alike, one by one. Tokens and spaced runs of any length are decoded
+whole; where they have separators a second reading lets these end words too.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LEET = {
 }
 SEPARATORS = ".-_*~'/\\·•,:;="
 LEET_COST, DROP_COST, JOIN_COST, SINGLE_COST = 0.7, 3.0, 0.2, 1.0
-PIECE = 48
+BREAK = " "
 #: Buckets of hashed character trigrams, and of hashed words and beginnings: the sizes of what is sent to every task.
 CHAR_BUCKETS, FEATURE_BUCKETS = 1 << 18, 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
@@ -50,7 +50,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: One-character tokens in a row: a word that was spaced out.
 SPACED = re.compile(r"(?<!\S)(?:[^\s|] ){2,}[^\s|](?!\S)")
 TAIL = re.compile(r"(?:([^\w\s])\1{2,}|[.,;:!?…\"'\)\]])+$")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
 
 
 def _bucket(text: str, size: int) -> int:
@@ -69,8 +69,12 @@ class CharModel:
         return math.log(two + 15.0) - math.log(three + 0.5)
 
 
-def lattice(chunk: str) -> list[list[tuple[str, float]]]:
-    """Slots of (letters, channel cost) readings; the letters of a reading may be none."""
+def parted(ch: str) -> bool:
+    return ch in SEPARATORS or ch.isspace()
+
+
+def lattice(chunk: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """Slots of (letters, channel cost) readings; the letters of a reading may be none, with ``breaks`` a separator may end a word."""
     slots: list[list[tuple[str, float]]] = []
     for ch, run in groupby(chunk):
         n = len(list(run))
@@ -82,40 +86,65 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             if n > 1:
                 readings += [(c * 2, LEET_COST * 2) for c in LEET[ch]]
         else:
-            readings = [("", JOIN_COST if ch in SEPARATORS or ch.isspace() else DROP_COST)]
+            readings = [("", JOIN_COST if parted(ch) else DROP_COST)]
+            if breaks and parted(ch):
+                readings.append((BREAK, JOIN_COST))
         slots.append(readings)
     return slots
 
 
-def viterbi(chunk: str, model: CharModel) -> str:
-    """The likeliest word behind a disguised chunk."""
-    paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for readings in lattice(chunk):
-        best: dict[str, tuple[float, str]] = {}
-        for state, (cost, word) in paths.items():
+def viterbi(chunk: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest word behind a disguised chunk, with ``breaks`` the likeliest words with a blank between them."""
+    # the letters of a path are a chain of pairs, so that a step costs the same at every length
+    paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for readings in lattice(chunk, breaks):
+        best: dict[str, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in paths.items():
             for letters, channel in readings:
                 now, total = state, cost + channel
-                for c in letters:
-                    total += model.cost(now[0], now[1], c)
-                    now = now[1] + c
-                if now not in best or (total, word + letters) < best[now]:
-                    best[now] = (total, word + letters)
+                if letters == BREAK:
+                    if now == "^^":
+                        continue
+                    total += model.cost(now[0], now[1], "$")
+                    now = "^^"
+                else:
+                    for c in letters:
+                        total += model.cost(now[0], now[1], c)
+                        now = now[1] + c
+                if now not in best or total < best[now][0]:
+                    best[now] = total, (path, letters) if letters else path
         paths = best
-    return min((cost + model.cost(s[0], s[1], "$"), word) for s, (cost, word) in paths.items())[1]
+    end = min((cost + model.cost(s[0], s[1], "$"), s) for s, (cost, _) in paths.items())[1]
+    path, letters = paths[end][1], []
+    while path:
+        letters.append(path[1])
+        path = path[0]
+    return "".join(reversed(letters))
+
+
+def readings_of(chunk: str, model: CharModel) -> list[str]:
+    """The word behind a chunk, and the words if its separators may end some."""
+    words = [viterbi(chunk, model)]
+    if any(map(parted, chunk)):
+        words += viterbi(chunk, model, breaks=True).split(BREAK)
+    return words
 
 
 def restored(token: str, model: CharModel) -> tuple[str, ...]:
     """The words of a lower-case token: its plain words, and what it may disguise."""
-    if token.isalpha() and not TRIPLE.search(token):
+    if token.isalpha() and not DOUBLE.search(token):
         return (token,)
     core = TAIL.sub("", token)
-    if core.isalpha() and not TRIPLE.search(core):
+    if core.isalpha() and not DOUBLE.search(core):
         return (core,)
-    plain = tuple(WORDS.findall(core))
-    if not plain:
+    if not any(ch.isalpha() or ch in LEET for ch in core):
         return ()
-    readings = (viterbi(core[i : i + PIECE], model) for i in range(0, len(core), PIECE))
-    return tuple(dict.fromkeys([*plain, *(w for w in readings if len(w) > 1)]))
+    return tuple(dict.fromkeys([*WORDS.findall(core), *(w for w in readings_of(core, model) if len(w) > 1)]))
+
+
+def spaced(lowered: str, model: CharModel) -> set[str]:
+    """Words behind the runs of one-character tokens of a text."""
+    return {w for m in SPACED.finditer(lowered) for w in readings_of(m.group(), model) if len(w) > 2}
 
 
 def words_of(text: str | None, model: CharModel, cache: dict[str, tuple[str, ...]]) -> set[str]:
@@ -129,10 +158,7 @@ def words_of(text: str | None, model: CharModel, cache: dict[str, tuple[str, ...
         if words is None:
             words = cache[token] = restored(token, model)
         out.update(words)
-    for m in SPACED.finditer(lowered):
-        chunk = m.group()
-        out.update(w for i in range(0, len(chunk), PIECE) if len(w := viterbi(chunk[i : i + PIECE], model)) > 2)
-    return out
+    return out | spaced(lowered, model)
 
 
 def features(word: str) -> list[int]:
@@ -240,12 +266,7 @@ class Scorer:
                 pairs = self.known[token] = self._token(token)
             if pairs:
                 found.update(pairs)
-        for m in SPACED.finditer(lowered):
-            chunk = m.group()
-            for i in range(0, len(chunk), PIECE):
-                w = viterbi(chunk[i : i + PIECE], self.chars)
-                if len(w) > 2 and (e := self.weights.of(w)) > 0:
-                    found[w] = e
+        found.update((w, e) for w in spaced(lowered, self.chars) if (e := self.weights.of(w)) > 0)
         top = sorted(found.values(), reverse=True)
         total = sum(top)
         return [math.log1p(total), sum(top[:1]), sum(top[1:2]), total / math.sqrt(len(tokens) + 1.0)]

@@ -25,6 +25,34 @@ def test_disguised_words_are_restored(chars, token, word):
     assert word in tox.restored(token, chars)
 
 
+@pytest.mark.parametrize(
+    ("token", "word"),
+    [("!d!0t", "idiot"), ("iiddiioott", "idiot"), ("sccum", "scum"),
+     ("idiiot", "idiot"), ("moroon,", "moron"), ("coffee", "coffee")],
+)
+def test_double_letters_are_restored(chars, token, word):
+    assert word in tox.restored(token, chars)
+
+
+def test_leetspeak_alone_is_decoded(documents):
+    chars = tox.char_model(documents(["the lazy ass sat on a little stool"] * 30))
+    assert "ass" in tox.restored("@$$", chars) and "ass" in tox.restored("455", chars)
+    assert tox.restored("---", chars) == tox.restored("***", chars) == ()
+
+
+def test_every_word_of_a_spaced_run(chars):
+    assert "scum" in tox.words_of("you are a s c u m", chars, {})
+    assert {"scum", "idiot"} <= tox.words_of("s c u m i d i o t", chars, {})
+    run = " ".join(" ".join(w) for w in ["fox", "jumps", "over", "lazy", "dog", "worthless", "idiot", "near"] * 3)
+    assert {"worthless", "idiot"} <= tox.words_of(run, chars, {})
+
+
+def test_words_of_long_tokens(chars):
+    for k in range(1, 40):
+        assert "idiot" in tox.restored("-".join(["fox"] * k + ["1d10t"] + ["dog"] * 20), chars), k
+    tox.restored("a1" * 100_000, chars)
+
+
 def test_spaced_words_are_restored(chars):
     assert "idiot" in tox.words_of("you i d i o t go", chars, {})
     assert tox.words_of("the | fox | dog", chars, {}) == {"the", "fox", "dog"}
