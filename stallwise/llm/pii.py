@@ -71,7 +71,8 @@ SPELLED_PART = re.compile(rf"(?i)plus[ ]|\+[ ]?|(?:{_NAMES})\b|[0-9]+")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _DOT = rf"(?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}|\s{{1,3}}dot\s{{1,3}}|\.)"
 _AT = rf"(?:\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}|\s{{1,3}}(?:at|@)\s{{1,3}}|@)"
-CUE = re.compile(r"\b[dD][oO][tT]\b|[\[({<]\s{0,3}(?:[aA][tT]|[dD][oO][tT]|@|\.)\s{0,3}[\])}>]")
+#: Every form of ``_DOT`` and ``_AT`` that is rewritten; a bare "at" only counts beside a disguised dot.
+CUE = re.compile(r"\b[dD][oO][tT]\b|\s@\s|[\[({<]\s{0,3}(?:[aA][tT]|[dD][oO][tT]|@|\.)\s{0,3}[\])}>]")
 ADDRESS = re.compile(
     rf"(?i)(?<![\w.%+-])[a-z0-9][a-z0-9_%+-]{{0,63}}(?:{_DOT}[a-z0-9_%+-]{{1,63}}){{0,3}}(?P<at>{_AT})"
     rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{2,63}}){{1,4}}"

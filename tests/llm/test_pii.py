@@ -62,6 +62,21 @@ def test_disguised_spans_map_back(text, kind, shown):
     assert not plain[kind]
 
 
+SIGNS = [(f"{a}{o}{s}{sign}{s}{c}{a}", sign) for a in ("", " ") for o, c in ("[]", "()", "{}", "<>") for s in ("", " ") for sign in ("at", "@", "dot", ".")]
+
+
+@pytest.mark.parametrize(
+    "shown",
+    ["jo.ann @ mail.example", "jo\t@\nmail.example", "jo at mail dot example", "jo@mail dot example"]
+    + [f"jo{form}mail.example" if sign in ("at", "@") else f"jo@mail{form}example" for form, sign in SIGNS],
+)
+def test_each_form_of_an_address_is_found_alone(shown):
+    text = f"to: {shown}, please"
+    found = pii.spans(text)[1]
+    assert [text[a:b] for a, b in found["email"]] == [shown]
+    assert pii.redacted(text, found) == "to: [email], please"
+
+
 @pytest.mark.parametrize("text", ["look at example.com dot", "one two three and four", "at the dot of it", "the un of dos", "naïve café über"])
 def test_clean_texts_stay_clean(text):
     assert pii.listed(pii.spans(text)[1]) == ""
