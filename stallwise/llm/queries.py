@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallwise.llm import brown, checks, common, decontamination, language, mixing, neardup, pii, quality, rules, toxicity, urls
+from stallwise.llm import (
+    brown, checks, common, decontamination, frames, imatch, language, mixing, neardup, periodic, pii, quality, rules, toxicity, urls,
+)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """Texts of which every tenth, by a hash of the id, repeats a stretch from some word to its end; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(periodic.WORD), F.lit(0))
+    looped = F.expr("""array_join(transform(sequence(0, n - 1),
+        i -> words[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) div (3 + g % 8)) END AS INT)]), ' ')""")
+    rows = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(repeating(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the smallest of (-length, start, period) is the greatest run
+    ranked = F.transform("runs", lambda r: F.struct(-r.length, r.start.alias("start"), r.period.alias("period"), r.length.alias("length")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    found = found.withColumn("first", F.array_min(ranked))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "first.start", "first.length", "first.period",
+        F.floor(1000 * F.col("first.length") / F.col("first.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.compared(spark, common.table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = common.written(spark, frames.stored(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "frames")
+    back = frames.restored(frames.transformed(stored))
+    digests = frames.digested(back, output_sha256="output", restored_sha256="restored")
+    return digests.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -93,7 +134,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_runs": op11_runs,
+    "op12_imatch": op12_imatch,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-CHECKS: dict[str, str] = {"op5_minhash_dedup": checks.MINHASH, "op7_decontamination": checks.DECONTAMINATION}
+CHECKS: dict[str, str] = {
+    "op5_minhash_dedup": checks.MINHASH, "op7_decontamination": checks.DECONTAMINATION, "op13_fill_in_middle": checks.FILL_IN_MIDDLE,
+}

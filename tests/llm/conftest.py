@@ -5,6 +5,11 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     """Build a documents table from texts, or from rows of the whole schema."""
