@@ -7,7 +7,7 @@ that lie whole in a part are taken over as they are, only frames that hold a cut
 the way back stream the frames in order and never hold a whole text.
 
 Tables: ``stored`` turns texts into archives, ``transformed`` rearranges them, ``restored`` goes back from output and form alone,
-``digested`` adds the SHA-256 of an archive's text, ``opened`` gives the text itself.
+both with the SHA-256 of what they give; ``opened`` gives the text of an archive.
 
 Defined results: a null text is an empty one (no frames, form plain); a null id is hashed as an empty one; repeated rows and ids
 give the same result each; a text with a mark of its own stays plain; an empty table gives an empty one; columns whose names
@@ -199,7 +199,7 @@ def stored(docs: DataFrame, text: str = "text", frame_units: int = FRAME_UNITS,
 def transformed(
     archives: DataFrame, key: str = "doc_id", seed: int = 1, rearrange: int = REARRANGED, suffix_first: int = SUFFIX_FIRST,
 ) -> DataFrame:
-    """Stored documents with ``form``, ``prefix_chars``, ``middle_chars``, ``output_n`` and the output's ``output`` frames."""
+    """Stored documents with ``form``, ``prefix_chars``, ``middle_chars``, and the output's units ``output_n``, digest and frames."""
 
     def work():
         source, out = Archive(), Archive()
@@ -212,17 +212,17 @@ def transformed(
                 form = PLAIN if n == 0 or marked or three >= rearrange else SPM if four < suffix_first else PSM
                 rearranged(source.load(frames, n), out, form, low, high)
                 cut = (None, None) if form == PLAIN else (low, high - low)
-                values.append((form, *cut, out.units, out.rows()))
+                values.append((form, *cut, out.units, out.sha256(), out.rows()))
             return zip(*values)
 
         return on_batch
 
-    fields = common.schema("form string, prefix_chars long, middle_chars long, output_n long").fields
+    fields = common.schema("form string, prefix_chars long, middle_chars long, output_n long, output_sha256 string").fields
     return _mapped(archives, ("frames", "marked"), fields + [T.StructField("output", FRAMES)], work)
 
 
 def restored(outputs: DataFrame) -> DataFrame:
-    """The texts as they were, as archives ``restored`` of ``restored_n`` units, from output and form alone."""
+    """The texts as they were, as archives ``restored`` of ``restored_n`` units with their digests, from output and form alone."""
 
     def work():
         source, out = Archive(), Archive()
@@ -231,24 +231,13 @@ def restored(outputs: DataFrame) -> DataFrame:
             values = []
             for form, n, frames in zip(*(common.column(batch, c) for c in ("form", "output_n", "output"))):
                 put_back(source.load(frames, n), out, form)
-                values.append((out.units, out.rows()))
+                values.append((out.units, out.sha256(), out.rows()))
             return zip(*values)
 
         return on_batch
 
-    return _mapped(outputs, (), [T.StructField("restored_n", T.LongType()), T.StructField("restored", FRAMES)], work)
-
-
-def digested(archives: DataFrame, **frames: str) -> DataFrame:
-    """Archive columns replaced by the SHA-256 of their texts: ``digested(df, output_sha256="output")``."""
-
-    def work():
-        archive = Archive()
-        return lambda batch: [
-            [archive.load(f, 0).sha256() for f in common.column(batch, source)] for source in frames.values()
-        ]
-
-    return _mapped(archives, tuple(frames.values()), [T.StructField(c, T.StringType()) for c in frames], work)
+    fields = common.schema("restored_n long, restored_sha256 string").fields
+    return _mapped(outputs, (), fields + [T.StructField("restored", FRAMES)], work)
 
 
 def opened(archives: DataFrame, frames: str, text: str = "text") -> DataFrame:

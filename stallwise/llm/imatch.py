@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stallwise.llm import common
 
-TERM = r"[\p{L}\p{N}]+"
+#: What stands between terms: ASCII characters but digits and small letters (texts are lower-cased first).
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAREST, COMMONEST = 1 / 2000, 1 / 4
 #: Subsets used at each scale, at most 256 (two digits in an entry).
 SUBSETS = 64
@@ -38,8 +39,8 @@ KEY = ["_id", "_print"]
 
 def terms(text: Column) -> Column:
     """Hashes of a text's distinct terms."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
-    return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), GAP)
+    return F.transform(F.array_remove(F.array_distinct(words), ""), lambda w: F.xxhash64(w))
 
 
 def lexicon(
@@ -57,37 +58,56 @@ def scale(n: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)) * (2 / (SUBSETS * TERMS_A_SUBSET))))).cast("int")
 
 
-def subset(term: Column, e: Column) -> Column:
-    return F.pmod(term, F.pow(F.lit(2.0), e).cast("bigint") * SUBSETS)
+def subsets_at(e: Column) -> Column:
+    """How many subsets the lexicon is dealt to at a scale; a term's is its hash modulo that number."""
+    return F.pow(F.lit(2.0), e).cast("bigint") * SUBSETS
 
 
-def entries(e: Column, kept: Column) -> Column:
-    """A text's entries at its two scales, from its sorted lexicon terms."""
+# A lambda works out anew, for every element, whatever it uses that is not a column; so intermediate arrays become columns,
+# and are used more than once, which keeps the optimizer from putting them back.
 
-    def at_scale(s: Column) -> Column:
-        dealt = F.filter(F.transform(kept, lambda t: F.struct(subset(t, s).alias("k"), t.alias("t"))), lambda x: x.k < SUBSETS)
-        return F.transform(
-            F.array_sort(F.array_distinct(F.transform(dealt, lambda x: x.k))),
-            lambda k: F.concat(
-                F.lpad(F.hex(s), 2, "0"), F.lpad(F.hex(k), 2, "0"),
-                F.lpad(F.hex(F.pmod(F.xxhash64(F.transform(F.filter(dealt, lambda x: x.k == k), lambda x: x.t)), 1 << 32)), 8, "0"),
-            ),
+
+def with_entries(df: DataFrame, prints: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """Append columns of entries at one scale: (name, the scale, its number of subsets, sorted lexicon terms) of each."""
+    for name, e, subsets, kept in prints:
+        df = df.withColumn(f"{name}_scale", F.lpad(F.hex(e), 2, "0"))
+        dealt = F.transform(kept, lambda t: F.struct(F.pmod(t, subsets).alias("k"), t.alias("t")))
+        df = df.withColumn(f"{name}_dealt", F.array_sort(F.filter(dealt, lambda x: x.k < SUBSETS)))
+    for name, *_ in prints:
+        dealt = F.col(f"{name}_dealt")
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(dealt) - 1), lambda i: (i == 0) | (F.get(dealt, i).k != F.get(dealt, i - 1).k)
         )
+        df = df.withColumn(f"{name}_first", F.when(F.size(dealt) > 0, first).otherwise(F.array().cast("array<int>")))
+    for name, *_ in prints:
+        dealt, first = F.col(f"{name}_dealt"), F.col(f"{name}_first")
+
+        def entry(at: Column, number: Column) -> Column:
+            until = F.coalesce(F.get(first, number + 1), F.size(dealt))
+            own = F.transform(F.slice(dealt, at + 1, until - at), lambda x: x.t)
+            subset = F.lpad(F.hex(F.get(dealt, at).k), 2, "0")
+            return F.concat(F.col(f"{name}_scale"), subset, F.lpad(F.hex(F.pmod(F.xxhash64(own), 1 << 32)), 8, "0"))
 
-    return F.flatten(F.transform(F.array(e, e + 1), at_scale))
+        df = df.withColumn(name, F.transform(first, entry))
+    return df.drop(*(f"{name}_{x}" for name, *_ in prints for x in ("scale", "dealt", "first")))
 
 
-def likeness(one: Column, other: Column) -> Column:
-    """Of two fingerprints, 0 to 1: equal entries over subsets with an entry on either side, at common scales."""
-    a, b = F.split(one, " "), F.split(other, " ")
+def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Append, for each pair of fingerprint columns, equal entries over subsets with an entry on either side, at common scales."""
 
-    def heads(x: Column, n: int) -> Column:
-        return F.array_distinct(F.transform(x, lambda v: F.left(v, F.lit(n))))
+    def heads(entries: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(entries, lambda v: F.left(v, F.lit(n))))
 
-    shared = F.array_intersect(heads(a, 2), heads(b, 2))
-    a, b = (F.filter(x, lambda v: F.array_contains(shared, F.left(v, F.lit(2)))) for x in (a, b))
-    subsets = F.size(F.array_union(heads(a, 4), heads(b, 4)))
-    return F.when(subsets > 0, F.size(F.array_intersect(a, b)) / subsets).otherwise(0.0)
+    for out, (one, other) in pairs.items():
+        a, b = F.col(f"_{out}_a"), F.col(f"_{out}_b")
+        df = df.withColumns({f"_{out}_a": F.split(one, " "), f"_{out}_b": F.split(other, " ")})
+        scales = F.col(f"_{out}_scales")
+        df = df.withColumn(f"_{out}_scales", F.array_intersect(heads(a, 2), heads(b, 2)))
+        subsets = F.filter(F.array_union(heads(a, 4), heads(b, 4)), lambda v: F.array_contains(scales, F.left(v, F.lit(2))))
+        df = df.withColumn(f"_{out}_n", F.when(F.size(scales) > 0, F.size(subsets)).otherwise(0))
+        share = F.size(F.array_intersect(a, b)) / F.col(f"_{out}_n")
+        df = df.withColumn(out, F.when(F.col(f"_{out}_n") > 0, share).otherwise(0.0))
+    return df.drop(*(f"_{out}_{x}" for out in pairs for x in ("a", "b", "scales", "n")))
 
 
 def fingerprints(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
@@ -99,32 +119,38 @@ def fingerprints(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[s
     if lex.count() <= BROADCAST_TERMS:
         lex = F.broadcast(lex)
     stay = [c for c in docs.columns if c not in {*keys, *texts, *texts.values()}]
-    found, scales, own = [], [], []
-    for i, c in enumerate(texts.values()):
-        found.append(terms(F.col(c)).alias(f"_found{i}"))
-        scales.append(scale(F.size(f"_found{i}")).alias(f"_scale{i}"))
-        own.append(F.left(F.sha2(F.coalesce(c, F.lit("")), 256), F.lit(32)).alias(f"_own{i}"))
-    sized = docs.select(*keys, *stay, *found, *own).select("*", *scales)
+    sides = range(len(texts))
+    found = [terms(F.col(c)).alias(f"_found{i}") for i, c in enumerate(texts.values())]
+    own = [F.left(F.sha2(F.coalesce(c, F.lit("")), 256), F.lit(32)).alias(f"_own{i}") for i, c in enumerate(texts.values())]
+    sized = docs.select(*keys, *stay, *found, *own)
+    sized = sized.withColumns({f"_scale{i}": scale(F.size(f"_found{i}")) for i in sides})
+    sized = sized.withColumns({f"_all{i}": subsets_at(F.col(f"_scale{i}")) for i in sides})
     # one row for the document itself, then one for each term of a used subset; the next scale's subsets are among them
-    about = F.struct(*stay, *(f"_own{i}" for i in range(len(own))), *(f"_scale{i}" for i in range(len(own))))
-    rows = [F.array(F.struct(F.lit(-1).alias("side"), F.lit(None).cast("bigint").alias("term"), about.alias("about")))]
-    rows += [_term_rows(i, about) for i in range(len(own))]
+    about = F.struct(*stay, *(f"{c}{i}" for i in sides for c in ("_own", "_scale", "_all")))
+    none = F.lit(None)
+    rows = [F.array(F.struct(F.lit(-1).alias("side"), none.cast("bigint").alias("term"), about.alias("about")))]
+    for i in sides:
+        rows.append(_term_rows(i, F.when(F.lit(False), about)))
     exploded = sized.select(*keys, F.explode(F.concat(*rows)).alias("_row")).select(*keys, "_row.*")
     known = exploded.join(lex, "term", "left").where(F.col("_known") | (F.col("side") < 0))
     kept = known.groupBy(*keys).agg(F.first("about", ignorenulls=True).alias("_about"), *(
-        F.array_sort(F.collect_set(F.when(F.col("side") == i, F.col("term")))).alias(f"_kept{i}") for i in range(len(own))
+        F.array_sort(F.collect_set(F.when(F.col("side") == i, F.col("term")))).alias(f"_kept{i}") for i in sides
     ))
+    marked = with_entries(kept, [
+        (f"_entries{i}{step}", F.col(f"_about._scale{i}") + step, F.col(f"_about._all{i}") * (1 + step), F.col(f"_kept{i}"))
+        for i in sides for step in (0, 1)
+    ])
 
     def printed(i: int) -> Column:
-        joined = F.array_join(entries(F.col(f"_about._scale{i}"), F.col(f"_kept{i}")), " ")
-        return F.when(joined != "", joined).otherwise(F.concat(F.lit("===="), F.col(f"_about._own{i}")))
+        entries = F.array_join(F.concat(f"_entries{i}0", f"_entries{i}1"), " ")
+        nothing = (F.size(f"_entries{i}0") == 0) & (F.size(f"_entries{i}1") == 0)
+        return F.when(nothing, F.concat(F.lit("===="), F.col(f"_about._own{i}"))).otherwise(entries)
 
-    return kept.select(*keys, *(F.col(f"_about.{c}") for c in stay), *(printed(i).alias(c) for i, c in enumerate(texts)))
+    return marked.select(*keys, *(F.col(f"_about.{c}") for c in stay), *(printed(i).alias(c) for i, c in enumerate(texts)))
 
 
-def _term_rows(i: int, about: Column) -> Column:
-    used = F.filter(F.col(f"_found{i}"), lambda t: subset(t, F.col(f"_scale{i}")) < SUBSETS)
-    no_about = F.when(F.lit(False), about)
+def _term_rows(i: int, no_about: Column) -> Column:
+    used = F.filter(F.col(f"_found{i}"), lambda t: F.pmod(t, F.col(f"_all{i}")) < SUBSETS)
     return F.transform(used, lambda t: F.struct(F.lit(i).alias("side"), t.alias("term"), no_about.alias("about")))
 
 
@@ -179,9 +205,8 @@ def compared(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: st
     prints = fingerprints(pairs, lex, KEY, {"fingerprint": "text", "edited_fingerprint": "edited"})
     prints = common.written(spark, prints, "prints")
     following = prints.select(*(F.col(c).alias(f"_next{c}") for c in KEY), F.col("fingerprint").alias("_next_fingerprint"))
-    results = prints.join(following, ["_next_id", "_next_print"]).withColumns({
-        "near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")),
-        "near_next": likeness(F.col("fingerprint"), F.col("_next_fingerprint")),
+    results = with_likeness(prints.join(following, ["_next_id", "_next_print"]), {
+        "near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "_next_fingerprint"),
     }).drop("_next_fingerprint", "_next_id", "_next_print")
     rows = keyed(docs, key, text).select(*KEY, F.col("_key").alias(key))
     return rows.join(results, KEY).drop(*KEY)

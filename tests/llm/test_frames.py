@@ -81,7 +81,9 @@ def test_awkward_documents(awkward, clashing, nothing):
             low, high, _, four = frames.drawn(doc_id, n)
             assert (prefix, middle) == (low, high - low) and form == ("spm" if four < 20 else "psm")
             assert len(out) == n + 9
-    again = frames.digested(frames.transformed(frames.stored(clashing.withColumnRenamed("other", "FRAMES"))), sha="output")
-    plain = frames.digested(frames.transformed(frames.stored(awkward)), sha="output")
-    assert rows_of(again, "doc_id", "sha", "form") == rows_of(plain, "doc_id", "sha", "form")
+    again = frames.restored(frames.transformed(frames.stored(clashing.withColumnRenamed("other", "FRAMES"))))
+    plain = frames.restored(frames.transformed(frames.stored(awkward)))
+    digests = "doc_id", "output_sha256", "form", "restored_sha256"
+    assert rows_of(again, *digests) == rows_of(plain, *digests)
+    assert rows_of(plain, "restored_sha256") == rows_of(awkward.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("s")), "s")
     assert frames.restored(frames.transformed(frames.stored(nothing))).collect() == []

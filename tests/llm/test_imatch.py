@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from stallwise.llm import common, imatch, queries
 
-TERM = re.compile(r"[^\W_]+")
+GAP = re.compile(imatch.GAP)
 
 
 def terms_of(text):
-    return {w for w in TERM.findall((text or "").lower())}
+    return set(GAP.split((text or "").lower())) - {""}
 
 
 def likeness(a, b):
