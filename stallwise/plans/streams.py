@@ -40,7 +40,7 @@ def stream_of(spark: SparkSession, sf: str, name: str, slices: list[Column] | No
 
 def run_counters(spark: SparkSession, counted: DataFrame, keys: list[str]) -> DataFrame:
     out = fresh_dir(spark, "counters")
-    sinks.start_counters(counted, f"{out}/rows", f"{out}/checkpoint", keys, every=2).awaitTermination()
+    sinks.start_counters(counted, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return sinks.latest_counters(spark, f"{out}/rows", counted.schema, keys)
 
 
@@ -69,9 +69,8 @@ def stream_referrers(spark, sf):
 @query("stream_throttled_views", batch.throttle_sql("ip, product_id", 30, "kind = 'product'"), batch.VISITS, recursive=True)
 def stream_throttled_views(spark, sf):
     views = stream_of(spark, sf, "visits").filter("kind = 'product'")
-    out = fresh_dir(spark, "throttle")
-    throttle.start_throttled_views(views, out, f"{out}/checkpoint", every=2).awaitTermination()
-    return throttle.counted_views(spark, out).select("ip", "product_id", F.unix_micros("ts").alias("t"))
+    counted = run_rows(spark, throttle.stream_throttled_views(views))
+    return counted.select("ip", "product_id", F.unix_micros("ts").alias("t"))
 
 
 @query("stream_late_rows", """WITH seen AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_id % 4 AS n FROM events
@@ -82,11 +81,8 @@ def stream_late_rows(spark, sf):
     """Events that come in four heaps without order: what is too late for the daily counters is kept aside."""
     number = F.col("event_id") % 4
     views = stream_of(spark, sf, "visits", [number == n for n in range(4)]).filter("kind IS NOT NULL").select("event_id", "ts")
-    out = fresh_dir(spark, "late")
-    closed = F.window("ts", "1 day")["end"]
-    counted = views.withColumn("closes", closed)
-    sinks.start_late_rows(counted, out, f"{out}/checkpoint", F.col("closes"), counters.LATENESS).awaitTermination()
-    late = sinks.late_rows(spark, out, counted.schema)
+    closing = views.withColumn("closes", F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY"))
+    late = run_rows(spark, sinks.late_rows(closing, "closes", counters.LATENESS))
     return late.select("event_id", (F.col("event_id") % 4).cast("bigint").alias("arrival"))
 
 

@@ -87,18 +87,6 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def subfolders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder of the shared store; none if it is not there."""
-    fs, target = _folder(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to this folder has come to its end."""
-    fs, target = _folder(spark, f"{path}/_SUCCESS")
-    return fs.exists(target)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _folder(spark, path)
     fs.delete(target, True)

@@ -1,23 +1,25 @@
 """Streaming input from files and restart-safe output to files.
 
-A sink's table is a log: every micro-batch writes its rows to a folder named by its number, so a repeated batch
-overwrites itself. Every so many batches the log is compacted: the newest row of each key, up to that batch, goes to
-one folder, and the folders it stands for are removed. So neither the number of folders nor what a
-report reads grows with the number of batches ever run.
+Changed counters of a micro-batch go to a folder named by its number, so a repeated batch overwrites itself; the row of the newest
+batch counts. Plain rows go to the engine's own file sink. What must be remembered between micro-batches (times of
+last views, counts, the watermark) is kept by the engine: state store, timeouts and watermark, all in the query's checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stallwise.session import is_complete, remove, subfolders
+from stallwise.session import ship_package
 
-COMPACT_EVERY = 20
 #: What to run when a call names no trigger: work off what is there, then stop.
 ALL_THERE_IS = {"availableNow": True}
+#: Groups that rows are dealt to where they only have to meet the watermark.
+LANES = 64
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -33,61 +35,22 @@ def started(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) ->
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_THERE_IS)).start()
 
 
-class BatchLog:
-    """A keyed table kept as a log of micro-batches: of each key the row of the newest batch counts."""
-
-    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, keys: list[str], every: int = COMPACT_EVERY):
-        self.spark, self.out, self.keys, self.every = spark, out, keys, every
-        self.schema = T.StructType([f for f in schema.fields if f.name != "batch"])
-
-    def _parts(self, kind: str) -> list[int]:
-        names = subfolders(self.spark, self.out)
-        numbers = (int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
-        return sorted(n for n in numbers if is_complete(self.spark, f"{self.out}/{kind}={n}"))
-
-    def newest(self, before: int | None = None) -> DataFrame:
-        """The table as it stood before a batch, or as it is now."""
-        bases = [n for n in self._parts("upto") if before is None or n < before]
-        base = bases[-1] if bases else -1
-        batches = [n for n in self._parts("batch") if n > base and (before is None or n < before)]
-        paths = [(n, f"{self.out}/batch={n}") for n in batches] + ([(base, f"{self.out}/upto={base}")] if bases else [])
-        out = self.spark.createDataFrame([], self.schema).withColumn("_batch", F.lit(-1))
-        for n, path in paths:
-            out = out.unionByName(self.spark.read.schema(self.schema).parquet(path).withColumn("_batch", F.lit(n)))
-        values = [f.name for f in self.schema.fields if f.name not in self.keys]
-        best = out.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "_batch").alias("_row"))
-        return best.select(*self.keys, "_row.*").select(*self.schema.names)
-
-    def write(self, rows: DataFrame, batch_id: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-        """Add a batch's rows, one per key; ``keep`` may drop rows for good when the log is compacted."""
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-        if (batch_id + 1) % self.every:
-            return
-        keep(self.newest()).write.mode("overwrite").parquet(f"{self.out}/upto={batch_id}")
-        # a repeat of this batch reads what stood before it, so the base and the batches it needs stay until the next time
-        bases = self._parts("upto")
-        for n in bases[:-2]:
-            remove(self.spark, f"{self.out}/upto={n}")
-        for n in self._parts("batch"):
-            if len(bases) > 1 and n <= bases[-2]:
-                remove(self.spark, f"{self.out}/batch={n}")
-
-
-def start_counters(
-    counters: DataFrame, out: str, checkpoint: str, keys: list[str], trigger: dict | None = None, every: int = COMPACT_EVERY
-) -> StreamingQuery:
-    """Keep changed counters of every micro-batch in a ``BatchLog``.
-
-    A counter row holds the whole count so far, so a restart neither loses nor doubles anything. Read back with
-    ``latest_counters``.
-    """
-    log = BatchLog(counters.sparkSession, out, counters.schema, keys, every)
-    return started(counters.writeStream.outputMode("update").foreachBatch(log.write), checkpoint, trigger)
+def start_counters(counters: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write the changed counters of every micro-batch; each row holds the whole count so far, so a restart neither loses nor
+    doubles anything. Read back with ``latest_counters``."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return started(counters.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
 
 
 def latest_counters(spark: SparkSession, out: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The counters as they are now; none before the first batch."""
-    return BatchLog(spark, out, schema, keys).newest()
+    """The counters as they are now: of each key the row of the newest batch, by partial aggregation."""
+    values = [f.name for f in schema.fields if f.name not in keys]
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.LongType())])).parquet(out)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*").select(*schema.names)
 
 
 def start_rows(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -95,29 +58,25 @@ def start_rows(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None
     return started(rows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, trigger)
 
 
-def start_late_rows(
-    rows: DataFrame, out: str, checkpoint: str, closed: Column, lateness: str, ts: str = "ts", trigger: dict | None = None
-) -> StreamingQuery:
-    """Write the rows that come too late to be counted, as a side output next to the counters' own query.
+def late_rows(rows: DataFrame, closes: str, lateness: str, ts: str = "ts") -> DataFrame:
+    """The rows of a stream that come too late to be counted: the moment ``closes`` at which their window closes is not after the
+    watermark, which the engine keeps from ``ts`` and ``lateness``. Their number is the observed metric ``late``, as ``rows``.
 
-    ``closed`` is the moment at which a row's window closes. It is late if that moment is not after the watermark: the
-    newest time of the earlier micro-batches less ``lateness``. Count and read them with ``late_rows``.
+    A side output next to the counters' own query. Rows pass by in lanes that a hash deals out; nothing is remembered per row, and
+    without a time-out the engine leaves late rows in.
     """
-    spark = rows.sparkSession
-    clock = BatchLog(spark, f"{out}/clock", T.StructType.fromDDL("stream int, newest timestamp"), ["stream"])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        seen = clock.newest(before=batch_id).agg(F.max("newest")).first()[0]  # one row
-        watermark = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
-        late = batch.filter(closed <= watermark) if seen else batch.limit(0)
-        late.write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-        newest = F.greatest(F.max(ts), F.lit(seen).cast("timestamp"))
-        clock.write(batch.agg(newest.alias("newest")).select(F.lit(0).alias("stream"), "newest"), batch_id)
-
-    return started(rows.writeStream.foreachBatch(write), checkpoint, trigger)
-
-
-def late_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """All rows that came too late, none before the first batch."""
-    there = subfolders(spark, f"{out}/late")
-    return spark.read.schema(schema).parquet(f"{out}/late") if there else spark.createDataFrame([], schema)
+    ship_package(rows.sparkSession)
+    schema = rows.schema
+
+    def too_late(lane: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for part in parts:
+            closing = part[closes]
+            if closing.dt.tz is not None:
+                closing = closing.dt.tz_convert("UTC").dt.tz_localize(None)
+            yield part.loc[closing <= watermark, schema.names]
+
+    lane = F.pmod(F.xxhash64(*rows.columns), F.lit(LANES)).cast("int")
+    dealt = rows.withWatermark(ts, lateness).withColumn("_lane", lane).groupBy("_lane")
+    found = dealt.applyInPandasWithState(too_late, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return found.observe("late", F.count(F.lit(1)).alias("rows"))

