@@ -16,10 +16,10 @@ from stallwise.schemas import (
 SEARCHED = ("title", "fabric", "colour", "work", "sku", "description")
 
 
-def search_condition(term: str) -> Column:
+def search_condition(term: str, columns: tuple[str, ...] = SEARCHED) -> Column:
     """Case-insensitive substring in any searched column; % and _ in the term are wildcards."""
     pattern = "%" + term.replace("\\", "\\\\") + "%"
-    return reduce(Column.__or__, (F.col(c).ilike(pattern) for c in SEARCHED))
+    return reduce(Column.__or__, (F.col(c).ilike(pattern) for c in columns))
 
 
 def listing_filter(

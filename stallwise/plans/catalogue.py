@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallwise.functions import images as im, pricing as pr, text as tx
-from stallwise.operators import catalog as cat
+from stallwise.operators import catalog as cat, search
 from stallwise.plans.registry import query, stamp, stamp_sql, with_position
 from stallwise.schemas import ADMIN_PAGE_SIZE
+from stallwise.session import fresh_dir
 from stallwise.sources.bindings import AS_OF, STORE_DISCOUNT, bind, product_images, settings
 
 BASE = ("products_base",)
@@ -71,6 +72,40 @@ def search_text(spark, sf):
     return cat.listing_filter(base(spark, sf), q="rAnD#1_").select("id", "title", "fabric")
 
 
+def indexed(spark: SparkSession, sf: str) -> str:
+    """The folder of a search index over the catalogue."""
+    path = fresh_dir(spark, "search")
+    search.write_index(base(spark, sf), path, shelf=search.BLOCK)
+    return path
+
+
+@query("search_indexed", "SELECT id, title, fabric FROM products_base WHERE " + SEARCH_SQL.format("rAnD#1_"), BASE)
+def search_indexed(spark, sf):
+    return search.search(spark, indexed(spark, sf), "rAnD#1_").select("id", "title", "fabric")
+
+
+@query("search_many", """WITH patterns AS (SELECT DISTINCT upper(fabric) AS pattern FROM products_base WHERE fabric <> ''
+           UNION SELECT DISTINCT left(title, 3) || '%' || right(title, 4) FROM products_base
+           UNION SELECT sku FROM products_base WHERE id % 50 = 0)
+       SELECT pattern, id FROM patterns JOIN products_base ON {}""".format(
+           " OR ".join(f"{c} ILIKE '%' || pattern || '%'" for c in ("title", "fabric", "colour", "work", "sku", "description"))), BASE)
+def search_many(spark, sf):
+    """Every fabric, the ends of every title, and the numbers of some pieces."""
+    b = base(spark, sf)
+    ends = F.concat(F.left("title", F.lit(3)), F.lit("%"), F.right("title", F.lit(4)))
+    patterns = b.filter("fabric <> ''").select(F.upper("fabric").alias("pattern"))
+    patterns = patterns.union(b.select(ends)).union(b.filter("id % 50 = 0").select("sku"))
+    return search.search_all(spark, indexed(spark, sf), patterns)
+
+
+@query("search_postings", """WITH texts AS (SELECT id, lower(unnest([title, fabric, colour, work, sku, description])) AS t FROM products_base)
+       SELECT gram, count(DISTINCT id) AS pieces FROM (SELECT id, unnest([substr(t, i, 3) for i in range(1, len(t) - 1)]) AS gram
+       FROM texts WHERE len(t) >= 3) g GROUP BY gram""", BASE)
+def search_postings(spark, sf):
+    """How many pieces hold each trigram."""
+    return search.postings(base(spark, sf)).groupBy("gram").agg(F.sum(F.size("ids")).alias("pieces"))
+
+
 @query("filter_price_range",
        "SELECT id, price FROM products_base WHERE active AND price >= 5000 AND price <= 20000", BASE)
 def filter_price_range(spark, sf):
