@@ -82,6 +82,19 @@ def traffic_summary(series: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def trailing_sums(
+    per_day: DataFrame, spans: tuple[int, ...] = (7, 30), keys: tuple[str, ...] = (), value: str = "hits"
+) -> DataFrame:
+    """Every day's trailing sums ``<value>_<n>``, for each key: since n days before, both ends counted, days without rows included.
+
+    Rows are summed per key and day first, so a window holds one row per day, whatever the traffic.
+    """
+    daily = per_day.groupBy(*keys, "day").agg(F.sum(value).alias(value))
+    number = F.datediff(F.to_date("day"), F.lit("1970-01-01").cast("date"))
+    window = Window.partitionBy(*keys).orderBy(number)
+    return daily.withColumns({f"{value}_{n}": F.sum(value).over(window.rangeBetween(-n, 0)) for n in spans})
+
+
 def traffic_bars(series: DataFrame) -> DataFrame:
     """Chart of a series: bar heights as percentages of the busiest day, and the visitors' share.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stallwise.functions import visits as vi
-from stallwise.operators import throttle as th, traffic as tr
+from stallwise.operators import daily_tables, sketches, throttle as th, traffic as tr
 from stallwise.plans.registry import query
+from stallwise.session import fresh_dir
 from stallwise.sources.bindings import OWN_HOST, SALT, TRAFFIC_AS_OF, bind
 
 VISITS = ("visits",)
@@ -148,6 +149,89 @@ def merge_visitors(spark, sf):
     return tr.add_visitors(known, seen)
 
 
+# ---- summaries and tables by day
+
+@query("trailing_hits", f"""SELECT day, CAST(hits AS BIGINT) AS hits,
+       CAST(sum(hits) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS hits_7,
+       CAST(sum(hits) OVER (ORDER BY d RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS hits_30
+       FROM (SELECT day, CAST(day AS DATE) AS d, sum(hits) AS hits FROM ({HITS_SQL}) h GROUP BY day) s""", VISITS)
+def trailing_hits(spark, sf):
+    return tr.trailing_sums(tr.daily_hits(visits(spark, sf)))
+
+
+@query("trailing_hits_of_pieces", f"""SELECT product_id, day, hits,
+       CAST(sum(hits) OVER (PARTITION BY product_id ORDER BY CAST(day AS DATE) RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS hits_7
+       FROM (SELECT product_id, {DAY_SQL} AS day, count(*) AS hits FROM visits WHERE kind = 'product' GROUP BY ALL) s""", VISITS)
+def trailing_hits_of_pieces(spark, sf):
+    """Days on which a piece was not seen leave gaps."""
+    seen = visits(spark, sf).filter("kind = 'product'").select("product_id", vi.utc_day(F.col("ts")).alias("day"), F.lit(1).alias("hits"))
+    return tr.trailing_sums(seen, (7,), ("product_id",))
+
+
+#: Three standard errors of a sketch of 2^12 registers, and one visitor.
+CLOSE = 3 * 1.04 / 64
+
+
+@query("trailing_visitors", f"""WITH seen AS (SELECT DISTINCT CAST({DAY_SQL} AS DATE) AS d, ip, user_agent FROM visits WHERE kind IS NOT NULL),
+       days AS (SELECT DISTINCT d FROM seen),
+       counted AS (SELECT a.d, count(DISTINCT CASE WHEN a.d - b.d <= 7 THEN ip || '|' || user_agent END) AS exact_7,
+                          count(DISTINCT ip || '|' || user_agent) AS exact_30
+                   FROM days a JOIN seen b ON b.d BETWEEN a.d - 30 AND a.d GROUP BY a.d)
+       SELECT strftime(d, '%Y-%m-%d') AS day, exact_7, exact_30, true AS close_7, true AS close_30 FROM counted""", VISITS)
+def trailing_visitors(spark, sf):
+    """Estimates from daily sketches, of which those of the 20th come in two parts, held against the exact numbers."""
+    v = visits(spark, sf)
+    noon = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    known, new = (sketches.daily_sketches(v.filter(part), SALT) for part in (F.col("ts") < noon, F.col("ts") >= noon))
+    estimates = sketches.trailing_visitors(sketches.merged_sketches(known, new))
+    seen = v.filter("kind IS NOT NULL").select(
+        F.to_date(vi.utc_day(F.col("ts"))).alias("_from"), F.concat_ws("|", "ip", "user_agent").alias("who")
+    ).distinct()
+    near = seen.select("_from", "who", F.explode(F.sequence("_from", F.date_add("_from", 30))).alias("_day"))
+    within = F.when(F.datediff("_day", "_from") <= 7, F.col("who"))
+    exact = near.groupBy(F.col("_day").cast("string").alias("day")).agg(
+        F.count_distinct(within).alias("exact_7"), F.count_distinct("who").alias("exact_30")
+    )
+    return estimates.join(exact, "day").select("day", "exact_7", "exact_30", *(
+        (F.abs(F.col(f"visitors_{n}") - F.col(f"exact_{n}")) <= 1 + CLOSE * F.col(f"exact_{n}")).alias(f"close_{n}") for n in (7, 30)
+    ))
+
+
+@query("commonest_referrers", f"""SELECT ref, CAST(sum(hits) AS BIGINT) AS hits FROM ({REFS_SQL}) r GROUP BY ref
+       ORDER BY hits DESC, ref LIMIT 8""", VIEWS)
+def commonest_referrers(spark, sf):
+    channel = vi.referrer_channel(F.col("referer"), OWN_HOST).alias("ref")
+    counted = bind(spark, sf, "page_views").filter("kind IS NOT NULL").select(channel)
+    return sketches.commonest(counted, "ref")
+
+
+@query("commonest_pieces", """SELECT product_id, count(*) AS hits FROM visits WHERE kind = 'product' GROUP BY product_id
+       ORDER BY hits DESC, product_id LIMIT 8""", VISITS)
+def commonest_pieces(spark, sf):
+    """Fewer counters than pieces: what the summary leaves open is counted."""
+    return sketches.commonest(visits(spark, sf).filter("kind = 'product'"), "product_id", capacity=32)
+
+
+@query("counters_by_day", HITS_SQL, VISITS)
+def counters_by_day(spark, sf):
+    """A table by day, given the first twenty days, then the rest; the second batch comes twice."""
+    v, path = visits(spark, sf), fresh_dir(spark, "counters")
+    noon = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    for batch, part in ((0, F.col("ts") < noon), (1, F.col("ts") >= noon), (1, F.col("ts") >= noon)):
+        daily_tables.upsert_counters(spark, path, tr.daily_hits(v.filter(part)), batch)
+    return daily_tables.counters(spark, path, T.StructType.fromDDL("kind string"))
+
+
+@query("visitors_by_day", f"SELECT DISTINCT {DAY_SQL} AS day, {VISITOR_SQL} AS visitor FROM visits WHERE kind IS NOT NULL", VISITS)
+def visitors_by_day(spark, sf):
+    v, path = visits(spark, sf), fresh_dir(spark, "visitors")
+    noon = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    for part in (F.col("ts") < noon, F.col("ts") >= noon, F.col("ts") >= noon):
+        daily_tables.upsert_visitors(spark, path, tr.site_visitors(v.filter(part), SALT))
+    return daily_tables.visitors(spark, path)
+
+
 # ---- throttled views: each step finds the next counted view of every key
 
 def throttle_sql(keys: str, minutes: int, where: str) -> str:
