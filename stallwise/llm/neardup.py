@@ -10,12 +10,13 @@ are found by alternating large-star and small-star.
 3. In each bucket every node is compared with the smallest one, the bucket's star, never all with all. Pairs are verified by
    the share of equal minima (with a slack of over five standard deviations), then on full sets.
 4. A link between two nodes of one component says nothing new, so only buckets that still hold several components go on.
-   In those of up to ``SMALL`` nodes the nodes of different components are compared. In larger ones exact bounds decide: two nodes share
-   at most the smaller of their cores (what a node shares with the bucket's base, the union of its first few sets) and what
-   they share outside the base. So either the cores alone allow a link, which few pairs do, or the two share a shingle
-   outside the base. For the latter each node offers the first of its shingles outside the base, as many as a similar node cannot avoid all (prefix filtering), and nodes with a shingle in common share a
-   bucket of the next level, back at step 3. After ``LEVELS`` levels what is left is compared whatever its size.
-   Every node of a large bucket goes this way, however little it shares with the base.
+   In those of up to ``SMALL`` nodes the nodes of different components are compared. The nodes of larger ones go by exact prefix
+   filtering: all shingles get one order, rarer ones (by bounded, hashed counts over these nodes) first. Two sets of similarity
+   ``percent`` have that share of either in common, so the first of their common shingles is among the first ``n - ceil(percent * n) + 1``
+   of both. Each node offers these once, whatever buckets it came from, and nodes with a shingle in common share a bucket
+   of the next level, back at step 3. A bucket that is still too large is parted by the next common shingle, which is found one place
+   further on, and so on. After ``LEVELS`` levels what is left is compared, whatever its size.
+   Any order gives the same links; rare shingles first keep the buckets small, and passages that many texts share are seldom offered.
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
 and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id
@@ -27,14 +28,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stallwise.llm import common
 
 BANDS, ROWS = 32, 4
 SMALL = 32
-BASE = 8
-LEVELS = 3
+LEVELS = 4
+#: Counters by which shingles are ordered.
+COUNTERS = 1 << 18
 #: Similarity by minima may fall short of the real one by so much.
 SLACK = 0.2
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -199,9 +201,9 @@ class _Search:
 
     def run(self) -> DataFrame:
         """(id, component) of the linked nodes."""
-        keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+        keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"), F.lit(-1).alias("at"))
         pending = self.spark.createDataFrame([], "a long, b long")
-        links = pending
+        links, prefixes = pending, None
         for level in range(LEVELS + 1):
             sizes = keyed.groupBy("key").agg(
                 F.min("id").alias("star"), F.min_by("size", "id").alias("star_size"), F.count("*").alias("n")
@@ -219,13 +221,13 @@ class _Search:
             large = left.where(F.col("n") > SMALL)
             if last or large.isEmpty():
                 break
-            cores = self.cores(large)
-            pending = common.written(self.spark, pending.unionByName(self.by_core(cores)).distinct(), "pending")
-            keyed = common.written(
-                self.spark, cores.select("id", F.col("n").alias("size"), "star", F.explode("offered").alias("shingle"))
-                .select("id", "size", F.xxhash64("star", "shingle").alias("key")).distinct(),
-                "offered-shingles",
-            )
+            pending = common.written(self.spark, pending.distinct(), "pending")
+            if prefixes is None:
+                prefixes = self.prefixes(large.select("id"))
+                offers = prefixes.withColumn("key", F.lit(0).cast("bigint")).withColumn("at", F.lit(-1))
+            else:
+                offers = large.select("id", "key", "at").join(prefixes, "id")
+            keyed = common.written(self.spark, self.offered(offers, level), "offered-shingles")
         links = links.unionByName(self.verified(pending.distinct()))
         return common.written(self.spark, components(self.spark, links), "components")
 
@@ -243,43 +245,50 @@ class _Search:
             F.expr("a < b and component <> other") & self.alike("size", "size_b")
         ).select("a", "b")
 
-    def cores(self, large: DataFrame) -> DataFrame:
-        """(star, id, component, n, core, offered) of the members of large buckets.
-
-        ``core`` is how many shingles a node shares with the base, the union of the first ``BASE`` members (one alone
-        may lack what the others have in common). A node that is similar to this one shares ``percent`` of this one's
-        shingles, so all but the core's part of that many lie outside the base, and among the first of those (in the order of
-        hashes, the same for all nodes) that are offered.
-        """
-        pairs = common.written(self.spark, large.select("star", "id", "component").distinct(), "star-pairs")
-        sets = self.sets(pairs.select("id"))
-        rank = F.row_number().over(Window.partitionBy("star").orderBy("id"))
-        # at most so many sets of a star are put together
-        first = pairs.select("star", "id", rank.alias("nth")).where(F.col("nth") <= BASE)
-        bases = first.join(sets, "id").groupBy("star").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
-        needed = F.greatest(F.lit(1), F.floor((F.col("n") * self.percent + 99) / 100) - F.col("core"))
-        return common.written(
-            self.spark,
-            pairs.join(sets, "id").join(bases, "star")
-            .select("star", "id", "component", F.size("shingles").alias("n"), F.size(F.array_intersect("shingles", "s")).alias("core"),
-                    F.array_except("shingles", "s").alias("outside"))
-            .select("star", "id", "component", "n", "core",
-                    F.slice("outside", F.lit(1), F.greatest(F.lit(0), F.size("outside") - needed + 1).cast("int")).alias("offered")),
-            "cores",
-        )
-
-    def by_core(self, cores: DataFrame) -> DataFrame:
-        """Pairs of different components whose cores alone allow a link."""
-        # shared * (100 + percent) >= percent * (n_a + n_b), and no more is shared than the smaller core
-        fits = lambda core, n: core * (100 + self.percent) >= n * self.percent
-        bounds = cores.groupBy("star").agg(
-            F.min("n").alias("shortest"), F.max(F.when(F.col("id") == F.col("star"), F.col("component"))).alias("home")
-        )
-        able = cores.join(bounds, "star").where(fits(F.col("core"), F.col("n") + F.col("shortest"))).where("id <> star")
-        away = able.where("component <> home").select("star", F.col("id").alias("x"), F.col("component").alias("c_x"), F.col("n").alias("n_x"), F.col("core").alias("k_x"))
-        any_ = able.select("star", F.col("id").alias("y"), F.col("component").alias("c_y"), F.col("n").alias("n_y"), F.col("core").alias("k_y"))
-        found = away.join(any_, "star").where("c_x <> c_y").where(fits(F.least("k_x", "k_y"), F.col("n_x") + F.col("n_y")))
-        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    def prefixes(self, ids: DataFrame) -> DataFrame:
+        """(id, size, prefix): of each node the shingles that may be among its first ``LEVELS`` ones in common with a similar
+        node, rarer ones first."""
+        sets = self.sets(ids)
+        kept = self.spark.sparkContext.broadcast(self.counters(sets))
+        percent = self.percent
+
+        def work():
+            counts = kept.value
+
+            def on_batch(batch: pa.RecordBatch) -> tuple:
+                out = []
+                for own in common.column(batch, "shingles"):
+                    own = np.array(own, dtype=np.int64)
+                    order = np.lexsort((own, counts[own & (COUNTERS - 1)]))
+                    out.append(own[order[: len(own) - -(-percent * len(own) // 100) + LEVELS]])
+                return [[len(s) for s in common.column(batch, "shingles")], out], None
+
+            return on_batch
+
+        fields = [T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+        return common.written(self.spark, common.appended(sets, fields, work).drop("shingles"), "prefixes")
+
+    def counters(self, sets: DataFrame) -> np.ndarray:
+        """In how many sets shingles of each remainder occur, an array of ``COUNTERS`` numbers."""
+
+        def count(batches):
+            counts = np.zeros(COUNTERS, dtype=np.int64)
+            for batch in batches:
+                held = batch.column(batch.schema.get_field_index("shingles")).flatten().to_numpy(zero_copy_only=False)
+                np.add.at(counts, held & (COUNTERS - 1), 1)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+        partial = common.arrow_mapped(sets.select("shingles"), count, common.schema("bucket long, n long"))
+        return common.to_dense(common.summed_counts(partial, ["bucket"]), "bucket", "n", COUNTERS)
+
+    def offered(self, offers: DataFrame, level: int) -> DataFrame:
+        """Rows (id, size, key, at) of the next level: each key is parted by the shingles that follow its last one, at place ``at``."""
+        # the (level + 1)-th common shingle lies no further back than this
+        until = F.least(F.size("prefix"), (F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1 + level).cast("int"))
+        following = F.slice("prefix", F.col("at") + 2, F.greatest(F.lit(0), until - F.col("at") - 1))
+        parted = offers.select("id", "size", "key", "at", F.posexplode(following).alias("step", "shingle"))
+        return parted.select("id", "size", F.xxhash64("key", "shingle").alias("key"), (F.col("at") + 1 + F.col("step")).alias("at"))
 
 
 def near_duplicates(

@@ -59,11 +59,28 @@ def test_components_equal_brute_force(spark, documents, monkeypatch, seed, width
     assert got == brute(rows, width)
 
 
+@pytest.mark.parametrize(("seed", "levels", "counters"), [(11, 1, 1), (12, 2, 64), (13, 4, 1 << 18)])
+def test_shared_passages_in_any_order(spark, documents, monkeypatch, seed, levels, counters):
+    """Documents put together from passages that many share: any order of shingles and any number of levels finds all links."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    monkeypatch.setattr(neardup, "COUNTERS", counters)
+    r = random.Random(seed)
+    passages = [[f"q{k}x{j}" for j in range(8)] for k in range(12)]
+    texts = []
+    for _ in range(120):
+        own = [w for k in r.sample(range(12), r.randint(3, 6)) for w in passages[k]]
+        texts.append(" ".join(own + [f"z{r.randrange(50)}" for _ in range(r.randint(0, 4))]))
+    rows = list(enumerate(texts))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark, docs, width=2).collect()}
+    assert got == brute(rows, 2)
+
+
 @pytest.mark.parametrize("seed", [7, 8])
 def test_pairs_of_large_buckets_that_share_little_with_their_base(spark, documents, monkeypatch, seed):
     """Pairs put together from words that many short documents share: each band has another star, each covers less than half."""
     monkeypatch.setattr(neardup, "SMALL", 2)
-    monkeypatch.setattr(neardup, "BASE", 1)
     r = random.Random(seed)
     common_words = [f"p{k}" for k in range(40)]
     texts = [" ".join(sorted(r.sample(common_words, 18))) for _ in range(300)]
