@@ -74,6 +74,18 @@ def arrow_mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+_kept: dict[str, object] = {}
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave when it was first called for ``key`` in this Python worker, for caches that outlive a task."""
+    if key not in _kept:
+        while len(_kept) >= 2:
+            del _kept[next(iter(_kept))]
+        _kept[key] = make()
+    return _kept[key]
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

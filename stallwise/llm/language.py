@@ -16,6 +16,7 @@ a hash of the id. Repeated rows are scored alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 PER_LANGUAGE = 4_000
 ROUNDS = 3
-LONGEST, LONGEST_PIECE = 32, 10
+LONGEST = 32
 LONE = 1e-7
 SMOOTHING = 0.1
 
@@ -39,20 +40,28 @@ def words_of(text: str | None) -> list[str]:
     return [w if len(w) <= LONGEST else w[i : i + LONGEST] for w in WORDS.findall((text or "").lower()) for i in range(0, len(w), LONGEST)]
 
 
+def openings_of(ids: dict[str, int]) -> frozenset[str]:
+    return frozenset(p[:k] for p in ids for k in range(1, len(p) + 1))
+
+
 class Lattice:
     """All pieces in a list of words, as arrays ordered by end, then word."""
 
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int = LONGEST_PIECE) -> None:
+    def __init__(self, words: list[str], ids: dict[str, int], openings: frozenset[str] | None = None) -> None:
+        """``openings`` are the beginnings of pieces, worked out if they are not given."""
         word, start, end, piece = [], [], [], []
-        find = ids.get
+        find, openings = ids.get, openings_of(ids) if openings is None else openings
         for k, w in enumerate(words):
             marked = vocabularies.MARK + w
             n = len(marked)
             for i in range(n):
                 # a lone character has the number after the last piece
                 lone = True
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = find(marked[i:j])
+                for j in range(i + 1, n + 1):
+                    part = marked[i:j]
+                    if part not in openings:
+                        break
+                    p = find(part)
                     if p is not None:
                         word.append(k), start.append(i), end.append(j), piece.append(p)
                         lone = lone and j > i + 1
@@ -177,6 +186,7 @@ def fit(
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, probabilities = shared.value
+            openings = openings_of(ids)
             total = np.zeros(size)
             for batch in batches:
                 for lo in range(0, batch.num_rows, BATCH):
@@ -184,7 +194,7 @@ def fit(
                     ws, first = np.unique(np.array(common.column(part, "word"), dtype=object), return_inverse=True)
                     weights = np.zeros((len(ws), size[1]))
                     np.add.at(weights, (first, common.column(part, "number")), common.column(part, "n"))
-                    total += Lattice(ws.tolist(), ids).expected(probabilities, weights)
+                    total += Lattice(ws.tolist(), ids, openings).expected(probabilities, weights)
             piece, number = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(piece, pa.int32()), pa.array(number, pa.int32()), pa.array(total[piece, number])], names=["piece", "number", "n"]
@@ -205,6 +215,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
+        self.openings = openings_of(model.ids)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.languages)))
 
@@ -214,7 +225,7 @@ class Scorer:
             start = len(self.rows)
             while start + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[start : start + len(part)] = Lattice(part, self.model.ids).likelihood(self.model.probabilities)
+            self.table[start : start + len(part)] = Lattice(part, self.model.ids, self.openings).likelihood(self.model.probabilities)
             self.rows.update(zip(part, range(start, start + len(part))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -240,10 +251,10 @@ def identify(
     spark: SparkSession, docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_as: str = "lang_pred", score_as: str = "score"
 ) -> DataFrame:
     """Every row with its predicted language and the score of that."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), f"language {uuid.uuid4().hex}"
 
     def work():
-        scorer = Scorer(shared.value)
+        scorer = common.per_worker(key, lambda: Scorer(shared.value))
         return lambda batch: (scorer.predict(common.column(batch, text)), None)
 
     return common.appended(docs, [T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())], work)

@@ -15,7 +15,9 @@ labels results are null and nothing is selected. Repeated rows are graded alike.
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -42,7 +44,7 @@ def shape(token: str) -> str:
     """Kinds of characters in a token, runs as one."""
     for pattern, by in _KINDS:
         token = pattern.sub(by, token)
-    return token[:24]
+    return token
 
 
 class Features:
@@ -50,6 +52,16 @@ class Features:
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, str]] = {}
+        self.signs: dict[tuple[str, ...], int] = {}
+
+    def _sign(self, *shapes: str) -> int:
+        """Bucket of a shape, or of two that follow one another."""
+        found = self.signs.get(shapes)
+        if found is None:
+            if len(self.signs) > common.CACHE_ENTRIES:
+                self.signs.clear()
+            found = self.signs[shapes] = BUCKETS // 2 + _hash(" ".join(("s" if len(shapes) == 1 else "p", *shapes)))
+        return found
 
     def _token(self, token: str) -> tuple[int, str]:
         if len(self.known) > common.CACHE_ENTRIES:
@@ -66,20 +78,20 @@ class Features:
         pairs = [self._token(t) for t in tokens]
         words = Counter(w for w, _ in pairs)
         shapes = [s for _, s in pairs]
-        by_shape = Counter(f"s {s}" for s in shapes)
-        by_shape.update(f"p {a} {b}" for a, b in zip(shapes, shapes[1:]))
         lines = [line for line in text.split("\n") if line.strip()]
         repeats = 1 - len(set(lines)) / max(1, len(lines))
         kinds = len(words) / max(1, len(tokens))
         marks = (f"n {min(14, len(tokens).bit_length())}", f"l {round(repeats * 10)}", f"k {round(kinds * 10)}")
         signs: Counter[int] = Counter()
-        for s, n in by_shape.items():
-            signs[BUCKETS // 2 + _hash(s)] += n
+        for s, n in Counter(shapes).items():
+            signs[self._sign(s)] += n
+        for (a, b), n in Counter(zip(shapes, shapes[1:])).items():
+            signs[self._sign(a, b)] += n
         families = [words, signs, Counter(BUCKETS // 2 + _hash(m) for m in marks)]
         total: Counter[int] = Counter()
         for family in families:
-            damped = {k: 1 + np.log(n) for k, n in family.items()}
-            length = np.sqrt(sum(v * v for v in damped.values())) or 1.0
+            damped = {k: 1.0 + math.log(n) for k, n in family.items()}
+            length = math.sqrt(sum(v * v for v in damped.values())) or 1.0
             for k, v in damped.items():
                 total[k] += v / length
         keys = np.array(sorted(total), dtype=np.int32)
@@ -181,10 +193,10 @@ def grade(
     fields = [
         T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())
     ]
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), f"quality {uuid.uuid4().hex}"
 
     def work():
-        m, features = shared.value, Features()
+        m, features = shared.value, common.per_worker(key, Features)
         wanted = (max(m.grades) if at_least is None else at_least) if m.grades else None
         tail = np.array([g >= wanted for g in m.grades], dtype=float)
 

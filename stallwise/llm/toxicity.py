@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import groupby
+from dataclasses import dataclass, field
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,14 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Labelled training rows that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
 CUT = 0.7
+#: Tokens that a worker remembers before it starts afresh; most have no evidence and cost their text only.
+TOKENS_KEPT = 600_000
 CAUTION = 2.5
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: One-character tokens in a row: a word that was spaced out.
-SPACED = re.compile(r"(?<!\S)(?:[^\s|] ){2,}[^\s|](?!\S)")
+#: One-character tokens in a row, with any white space between them: a word that was spaced out. Brackets, quotes and marks of the
+#: sentence may stand around it.
+SPACED = re.compile(r"(?<![^\s(\[{\"'«„“])(?:[^\s|]\s+){2,}[^\s|](?![^\s)\]}.,;:!?\"'»”…])")
 TAIL = re.compile(r"(?:([^\w\s])\1{2,}|[.,;:!?…\"'\)\]])+$")
 DOUBLE = re.compile(r"(.)\1")
 
@@ -63,10 +67,21 @@ class CharModel:
 
     trigrams: np.ndarray
     bigrams: np.ndarray
+    #: Costs by trigram, remembered.
+    known: dict[str, float] = field(default_factory=dict, compare=False, repr=False)
 
     def cost(self, a: str, b: str, c: str) -> float:
-        three, two = self.trigrams[_bucket(a + b + c, CHAR_BUCKETS)], self.bigrams[_bucket(a + b, CHAR_BUCKETS)]
-        return math.log(two + 15.0) - math.log(three + 0.5)
+        return self.cost_of(a + b + c)
+
+    def cost_of(self, gram: str) -> float:
+        """Of the last of three letters, after the first two."""
+        found = self.known.get(gram)
+        if found is None:
+            if len(self.known) > common.CACHE_ENTRIES:
+                self.known.clear()
+            three, two = self.trigrams[_bucket(gram, CHAR_BUCKETS)], self.bigrams[_bucket(gram[:2], CHAR_BUCKETS)]
+            found = self.known[gram] = math.log(two + 15.0) - math.log(three + 0.5)
+        return found
 
 
 def parted(ch: str) -> bool:
@@ -97,6 +112,7 @@ def viterbi(chunk: str, model: CharModel, breaks: bool = False) -> str:
     """The likeliest word behind a disguised chunk, with ``breaks`` the likeliest words with a blank between them."""
     # the letters of a path are a chain of pairs, so that a step costs the same at every length
     paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    cost_of = model.cost_of
     for readings in lattice(chunk, breaks):
         best: dict[str, tuple[float, tuple | None]] = {}
         for state, (cost, path) in paths.items():
@@ -105,16 +121,17 @@ def viterbi(chunk: str, model: CharModel, breaks: bool = False) -> str:
                 if letters == BREAK:
                     if now == "^^":
                         continue
-                    total += model.cost(now[0], now[1], "$")
+                    total += cost_of(now + "$")
                     now = "^^"
                 else:
                     for c in letters:
-                        total += model.cost(now[0], now[1], c)
-                        now = now[1] + c
+                        gram = now + c
+                        total += cost_of(gram)
+                        now = gram[1:]
                 if now not in best or total < best[now][0]:
                     best[now] = total, (path, letters) if letters else path
         paths = best
-    end = min((cost + model.cost(s[0], s[1], "$"), s) for s, (cost, _) in paths.items())[1]
+    end = min((cost + cost_of(s + "$"), s) for s, (cost, _) in paths.items())[1]
     path, letters = paths[end][1], []
     while path:
         letters.append(path[1])
@@ -163,7 +180,17 @@ def words_of(text: str | None, model: CharModel, cache: dict[str, tuple[str, ...
 
 def features(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
-    return [_bucket(word, FEATURE_BUCKETS), *(_bucket(f"^{word[:k]}", FEATURE_BUCKETS) for k in PREFIXES if len(word) >= k)]
+    data, size = word.encode("utf-8", "surrogatepass"), FEATURE_BUCKETS - 1
+    found = [zlib.crc32(data) & size]
+    # a longer beginning goes on from the checksum of the shorter one
+    sum_, done = zlib.crc32(b"^"), 0
+    for k in PREFIXES:
+        if len(word) < k:
+            break
+        end = k if len(data) == len(word) else len(word[:k].encode("utf-8", "surrogatepass"))
+        sum_, done = zlib.crc32(data[done:end], sum_), end
+        found.append(sum_ & size)
+    return found
 
 
 def char_model(docs: DataFrame, text: str = "text") -> CharModel:
@@ -210,9 +237,15 @@ class Evidence:
     """Weight of each bucket: how surely it speaks for a toxic text, 0 if it does not."""
 
     weights: np.ndarray
+    #: The same without the zeros, made when first asked for.
+    speaking: dict[int, float] = field(default_factory=dict, compare=False, repr=False)
 
     def of(self, word: str) -> float:
-        return float(max(self.weights[i] for i in features(word)))
+        if not self.speaking:
+            at = np.flatnonzero(self.weights)
+            self.speaking.update(zip(at.tolist(), self.weights[at].tolist()))
+            self.speaking[-1] = 0.0
+        return max(map(self.speaking.get, features(word), repeat(0.0)))
 
 
 @dataclass(frozen=True)
@@ -244,7 +277,7 @@ def evidence(counted: DataFrame, size: np.ndarray, halves: tuple[int, ...]) -> E
 
 
 class Scorer:
-    """The four sums of a text, with caches that live as long as a task."""
+    """The four sums of a text, with a cache of tokens."""
 
     def __init__(self, chars: CharModel, weights: Evidence) -> None:
         self.chars, self.weights = chars, weights
@@ -256,7 +289,7 @@ class Scorer:
 
     def sums(self, text: str | None) -> list[float]:
         lowered = (text or "").lower()
-        if len(self.known) > common.CACHE_ENTRIES:
+        if len(self.known) > TOKENS_KEPT:
             self.known.clear()
         found: dict[str, float] = {}
         tokens = set(lowered.split())
@@ -368,10 +401,10 @@ def score(
     score_as: str = "score", predicted_as: str = "predicted", keep_clean: bool = False,
 ) -> DataFrame:
     """Every row with its score (0 to 1) and prediction; with ``keep_clean`` only rows predicted 0."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
 
     def work():
-        scorer = Scorer(shared.value.chars, shared.value.evidence)
+        scorer = common.per_worker(key, lambda: Scorer(shared.value.chars, shared.value.evidence))
 
         def on_batch(batch: pa.RecordBatch) -> tuple:
             scores = shared.value.score(np.array([scorer.sums(t) for t in common.column(batch, text)]))

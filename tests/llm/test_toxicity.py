@@ -131,3 +131,11 @@ def test_awkward_rows(spark, awkward, clashing, nothing):
     assert tox.score(spark, nothing, tox.fit(spark, nothing, none)).count() == 0
     assert tox.score(spark, awkward, tox.fit(spark, awkward, none)).where("predicted <> 0").count() == 0
     assert tox.score(spark, awkward, tox.fit(spark, nothing, labels)).count() == 16
+
+
+@pytest.mark.parametrize("text", [
+    "you s t u p i d.", "s t u p i d, go", "(s t u p i d)", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", 'a "s t u p i d"!', "s\nt\nu\np\ni\nd",
+])
+def test_spaced_words_whatever_stands_around_them(text):
+    found = [m.group() for m in tox.SPACED.finditer(text)]
+    assert any("".join(f.split()).endswith("stupid") for f in found)
