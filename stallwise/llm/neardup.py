@@ -13,10 +13,11 @@ are found by alternating large-star and small-star.
    In those of up to ``SMALL`` nodes the nodes of different components are compared. The nodes of larger ones go by exact prefix
    filtering: all shingles get one order, rarer ones (by bounded, hashed counts over these nodes) first. Two sets of similarity
    ``percent`` have that share of either in common, so the first of their common shingles is among the first ``n - ceil(percent * n) + 1``
-   of both. Each node offers these once, whatever buckets it came from, and nodes with a shingle in common share a bucket
-   of the next level, back at step 3. A bucket that is still too large is parted by the next common shingle, which is found one place
-   further on, and so on. After ``LEVELS`` levels what is left is compared, whatever its size.
-   Any order gives the same links; rare shingles first keep the buckets small, and passages that many texts share are seldom offered.
+   of both. Each node offers these once, whatever buckets it came from, and nodes with a shingle in common share a bucket.
+   What two nodes have in common from their first common shingle on is no more than either has left from there, so a shingle that
+   stands too far back to leave enough of a bucket's shortest set is not offered: passages that many texts share come last in
+   the order, and fall out here. Buckets that stay large are compared with another star each round, which soon leaves few
+   components; after ``LEVELS`` rounds what is left is compared, whatever its size.
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
 and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id
@@ -203,10 +204,11 @@ class _Search:
         """(id, component) of the linked nodes."""
         keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"), F.lit(-1).alias("at"))
         pending = self.spark.createDataFrame([], "a long, b long")
-        links, prefixes = pending, None
+        links = pending
         for level in range(LEVELS + 1):
+            other = F.xxhash64("id", F.lit(level)) if level > 1 else F.col("id")
             sizes = keyed.groupBy("key").agg(
-                F.min("id").alias("star"), F.min_by("size", "id").alias("star_size"), F.count("*").alias("n")
+                F.min_by("id", other).alias("star"), F.min_by("size", other).alias("star_size"), F.count("*").alias("n")
             ).where("n > 1")
             members = common.written(self.spark, keyed.join(sizes, "key"), "buckets")
             alike = self.alike("size", "star_size")
@@ -222,12 +224,8 @@ class _Search:
             if last or large.isEmpty():
                 break
             pending = common.written(self.spark, pending.distinct(), "pending")
-            if prefixes is None:
-                prefixes = self.prefixes(large.select("id"))
-                offers = prefixes.withColumn("key", F.lit(0).cast("bigint")).withColumn("at", F.lit(-1))
-            else:
-                offers = large.select("id", "key", "at").join(prefixes, "id")
-            keyed = common.written(self.spark, self.offered(offers, level), "offered-shingles")
+            following = large.select("id", "size", "key", "at") if level else self.offered(self.prefixes(large.select("id")))
+            keyed = common.written(self.spark, following, "offered-shingles")
         links = links.unionByName(self.verified(pending.distinct()))
         return common.written(self.spark, components(self.spark, links), "components")
 
@@ -238,16 +236,24 @@ class _Search:
         return common.written(self.spark, placed.join(several.select("key"), "key"), "unsettled")
 
     def crossing(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components in a bucket, those with its star apart, which have been compared."""
-        rows = members.where("id <> star")
-        other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"))
-        return rows.select("key", F.col("id").alias("a"), "component", "size").join(other, "key").where(
-            F.expr("a < b and component <> other") & self.alike("size", "size_b")
+        """Pairs of different components in a bucket, those with its star apart, which have been compared.
+
+        A pair is needed in the bucket of its first common shingle only, where enough must be left of both (``at`` is -1 for bands).
+        """
+        rows = members.where("id <> star").withColumn("left", F.col("size") - F.greatest("at", F.lit(0)))
+        other = rows.select(
+            "key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"), F.col("left").alias("left_b")
+        )
+        return rows.select("key", F.col("id").alias("a"), "component", "size", "left").join(other, "key").where(
+            F.expr("a < b and component <> other") & self.alike("size", "size_b") & self.enough(F.least("left", "left_b"), F.col("size") + F.col("size_b"))
         ).select("a", "b")
 
+    def enough(self, shared: Column, sizes: Column) -> Column:
+        """Whether two sets of so many shingles together are similar if they share so many."""
+        return shared * (100 + self.percent) >= sizes * self.percent
+
     def prefixes(self, ids: DataFrame) -> DataFrame:
-        """(id, size, prefix): of each node the shingles that may be among its first ``LEVELS`` ones in common with a similar
-        node, rarer ones first."""
+        """(id, size, prefix): of each node the shingles that may be its first one in common with a similar node, rarer ones first."""
         sets = self.sets(ids)
         kept = self.spark.sparkContext.broadcast(self.counters(sets))
         percent = self.percent
@@ -260,7 +266,7 @@ class _Search:
                 for own in common.column(batch, "shingles"):
                     own = np.array(own, dtype=np.int64)
                     order = np.lexsort((own, counts[own & (COUNTERS - 1)]))
-                    out.append(own[order[: len(own) - -(-percent * len(own) // 100) + LEVELS]])
+                    out.append(own[order[: len(own) - -(-percent * len(own) // 100) + 1]])
                 return [[len(s) for s in common.column(batch, "shingles")], out], None
 
             return on_batch
@@ -282,13 +288,13 @@ class _Search:
         partial = common.arrow_mapped(sets.select("shingles"), count, common.schema("bucket long, n long"))
         return common.to_dense(common.summed_counts(partial, ["bucket"]), "bucket", "n", COUNTERS)
 
-    def offered(self, offers: DataFrame, level: int) -> DataFrame:
-        """Rows (id, size, key, at) of the next level: each key is parted by the shingles that follow its last one, at place ``at``."""
-        # the (level + 1)-th common shingle lies no further back than this
-        until = F.least(F.size("prefix"), (F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1 + level).cast("int"))
-        following = F.slice("prefix", F.col("at") + 2, F.greatest(F.lit(0), until - F.col("at") - 1))
-        parted = offers.select("id", "size", "key", "at", F.posexplode(following).alias("step", "shingle"))
-        return parted.select("id", "size", F.xxhash64("key", "shingle").alias("key"), (F.col("at") + 1 + F.col("step")).alias("at"))
+    def offered(self, prefixes: DataFrame) -> DataFrame:
+        """Rows (id, size, key, at): the shingles of the prefixes with their places, but for those that stand too far back."""
+        offers = common.written(self.spark, prefixes.select("id", "size", F.posexplode("prefix").alias("at", "key")), "offers")
+        shortest = offers.groupBy("key").agg(F.min("size").alias("shortest"), F.count("*").alias("n")).where("n > 1").drop("n")
+        least = F.greatest(F.col("shortest"), F.ceil(F.col("size") * self.percent / 100))
+        able = self.enough(F.col("size") - F.col("at"), F.col("size") + least)
+        return offers.join(shortest, "key").where(able).select("id", "size", "key", "at")
 
 
 def near_duplicates(
