@@ -42,11 +42,12 @@ def hash_fraction(key: Column, share: float) -> Column:
 
 
 def appended(
-    df: DataFrame, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], tuple]]
+    df: DataFrame, fields: list[T.StructField], work: Callable[[], Callable[[pa.RecordBatch], tuple]], keeps: bool = False
 ) -> DataFrame:
     """Every row with the given columns appended, batch by batch.
 
-    ``work`` is called once per task and gives a function from a batch to (arrays, rows to keep or None).
+    ``work`` is called once per task and gives a function from a batch to (arrays, rows to keep or None); ``keeps`` says that it
+    uses ``per_worker``.
     A column of ``df`` whose name clashes with an appended one (letter case aside) is replaced.
     """
     new = {f.name.lower() for f in fields}
@@ -56,6 +57,8 @@ def appended(
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         on_batch = work()
         for batch in batches:
             if not batch.num_rows:
@@ -78,14 +81,20 @@ _kept: dict[str, object] = {}
 
 
 def per_worker(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` gave when it was first called for ``key`` in this Python worker, for caches that outlive a task."""
+    """What ``make`` gave when it was first called for ``key`` in this Python worker, for caches that outlive a task.
+
+    One key at a time is kept, and any task without a key gives its memory back.
+    """
     if key not in _kept:
-        while len(_kept) >= 2:
-            del _kept[next(iter(_kept))]
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    _kept.clear()
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

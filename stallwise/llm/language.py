@@ -257,4 +257,4 @@ def identify(
         scorer = common.per_worker(key, lambda: Scorer(shared.value))
         return lambda batch: (scorer.predict(common.column(batch, text)), None)
 
-    return common.appended(docs, [T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())], work)
+    return common.appended(docs, [T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())], work, keeps=True)

@@ -210,4 +210,4 @@ def grade(
 
         return on_batch
 
-    return common.appended(docs, fields, work)
+    return common.appended(docs, fields, work, keeps=True)

@@ -46,7 +46,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 MAX_LABELLED = 20_000
 CUT = 0.7
 #: Tokens that a worker remembers before it starts afresh; most have no evidence and cost their text only.
-TOKENS_KEPT = 600_000
+TOKENS_KEPT = 400_000
 CAUTION = 2.5
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -414,5 +414,5 @@ def score(
         return on_batch
 
     return common.appended(
-        docs, [T.StructField(score_as, T.DoubleType()), T.StructField(predicted_as, T.IntegerType())], work
+        docs, [T.StructField(score_as, T.DoubleType()), T.StructField(predicted_as, T.IntegerType())], work, keeps=True
     )
