@@ -41,6 +41,7 @@ BREAK = " "
 #: Buckets of hashed character trigrams, and of hashed words and beginnings: the sizes of what is sent to every task.
 CHAR_BUCKETS, FEATURE_BUCKETS = 1 << 18, 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
+START = zlib.crc32(b"^")
 #: Labelled training rows that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
 CUT = 0.7
@@ -88,10 +89,17 @@ def parted(ch: str) -> bool:
 def lattice(chunk: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
     """Slots of (letters, channel cost) readings; the letters of a reading may be none, with ``breaks`` a separator may end a word."""
     slots: list[list[tuple[str, float]]] = []
+    plain: list[str] = []  # letters that stand for themselves go into one slot
     for ch, run in groupby(chunk):
         n = len(list(run))
+        if n == 1 and ch.isalpha():
+            plain.append(ch)
+            continue
+        if plain:
+            slots.append([("".join(plain), 0.0)])
+            plain.clear()
         if ch.isalpha():
-            readings = [(ch, SINGLE_COST * (n > 1)), (ch * 2, SINGLE_COST * (n > 2))] if n > 1 else [(ch, 0.0)]
+            readings = [(ch, SINGLE_COST), (ch * 2, SINGLE_COST * (n > 2))]
         elif ch in LEET:
             base = LEET_COST + SINGLE_COST * (n > 1)
             readings = [(c, base) for c in LEET[ch]] + [("", DROP_COST)]
@@ -102,6 +110,8 @@ def lattice(chunk: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
             if breaks and parted(ch):
                 readings.append((BREAK, JOIN_COST))
         slots.append(readings)
+    if plain:
+        slots.append([("".join(plain), 0.0)])
     return slots
 
 
@@ -180,7 +190,7 @@ def features(word: str) -> list[int]:
     data, size = word.encode("utf-8", "surrogatepass"), FEATURE_BUCKETS - 1
     found = [zlib.crc32(data) & size]
     # a longer beginning goes on from the checksum of the shorter one
-    sum_, done = zlib.crc32(b"^"), 0
+    sum_, done = START, 0
     for k in PREFIXES:
         if len(word) < k:
             break
@@ -238,11 +248,25 @@ class Evidence:
     speaking: dict[int, float] = field(default_factory=dict, compare=False, repr=False)
 
     def of(self, word: str) -> float:
-        if not self.speaking:
+        """The best weight among ``features`` of the word."""
+        speaking = self.speaking
+        if not speaking:
             at = np.flatnonzero(self.weights)
-            self.speaking.update(zip(at.tolist(), self.weights[at].tolist()))
-            self.speaking[-1] = 0.0
-        return max(map(self.speaking.get, features(word), repeat(0.0)))
+            speaking.update(zip(at.tolist(), self.weights[at].tolist()))
+            speaking[-1] = 0.0
+        if not word.isascii():
+            return max(map(speaking.get, features(word), repeat(0.0)))
+        # nearly all words come here: one pass without a list
+        data, size, get = word.encode(), FEATURE_BUCKETS - 1, speaking.get
+        best, sum_, done, n = get(zlib.crc32(data) & size, 0.0), START, 0, len(data)
+        for k in PREFIXES:
+            if n < k:
+                break
+            sum_, done = zlib.crc32(data[done:k], sum_), k
+            weight = get(sum_ & size)
+            if weight is not None and weight > best:
+                best = weight
+        return best
 
 
 @dataclass(frozen=True)
@@ -278,24 +302,32 @@ class Scorer:
 
     def __init__(self, chars: CharModel, weights: Evidence) -> None:
         self.chars, self.weights = chars, weights
-        self.words: dict[str, tuple[str, ...]] = {}
-        self.known: dict[str, tuple[tuple[str, float], ...]] = {}
-
-    def _token(self, token: str) -> tuple[tuple[str, float], ...]:
-        return tuple((w, e) for w in restored(token, self.chars) if (e := self.weights.of(w)) > 0)
+        #: Tokens looked at, and those of them that speak for a toxic text, with the words behind them.
+        self.known: set[str] = set()
+        self.speaks: set[str] = set()
+        self.behind: dict[str, dict[str, float]] = {}
+
+    def _look_at(self, token: str) -> None:
+        of = self.weights.of
+        for word in restored(token, self.chars):
+            weight = of(word)
+            if weight > 0:
+                self.speaks.add(token)
+                self.behind.setdefault(token, {})[word] = weight
 
     def sums(self, text: str | None) -> list[float]:
         lowered = (text or "").lower()
         if len(self.known) > common.CACHE_ENTRIES:
-            self.known.clear()
+            for kept in (self.known, self.speaks, self.behind):
+                kept.clear()
         found: dict[str, float] = {}
         tokens = set(lowered.split())
-        for token in tokens:
-            pairs = self.known.get(token)
-            if pairs is None:
-                pairs = self.known[token] = self._token(token)
-            if pairs:
-                found.update(pairs)
+        new = tokens - self.known
+        for token in new:
+            self._look_at(token)
+        self.known |= new
+        for token in tokens & self.speaks:
+            found.update(self.behind[token])
         found.update((w, e) for w in spaced(lowered, self.chars) if (e := self.weights.of(w)) > 0)
         top = sorted(found.values(), reverse=True)
         total = sum(top)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,17 @@ def test_viterbi_finds_the_cheapest_path(chars):
         assert min(cost(w, c) for w, c in paths(tox.lattice(chunk)) if w == found) == pytest.approx(best)
 
 
+def test_evidence_is_the_best_of_a_words_features():
+    r = random.Random(9)
+    weights = np.zeros(tox.FEATURE_BUCKETS, dtype=np.float32)
+    words = ["".join(r.choice("abcdeéü一") if i % 2 else r.choice("abcde") for _ in range(r.randint(0, 11))) for i in range(2000)]
+    for w in r.sample(words, 300):
+        weights[r.choice(tox.features(w))] = r.random()
+    found = tox.Evidence(weights)
+    for w in words:
+        assert found.of(w) == max(float(weights[f]) for f in tox.features(w))
+
+
 def corpus(n=400):
     r = random.Random(8)
     rows = []
