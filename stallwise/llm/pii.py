@@ -62,10 +62,15 @@ SPELLED = {
 }
 _NAMES = "|".join(sorted(SPELLED, key=lambda w: (-len(w), w)))
 _DIGIT = rf"(?:(?:{_NAMES})\b|[0-9]+)"
-#: A run of at least four digits or numbers; ``NAMED`` of them must be by name.
-NAMED = 3
+#: A run of at least four digits or numbers; ``NAMED`` of them must be by name, the first of these after at most as many figures as the
+#: longest identifier has.
+NAMED, LONGEST = 3, 19
+#: What a name of a digit stands between in ``SPELLED_RUN``: the ends of a run of word characters.
+WORD = re.compile(r"\w+")
+#: Parts between dots beyond the first: a mailbox has 64 characters at most, a domain 253, a part of one with its dot two or more.
+LOCAL_PARTS, DOMAIN_PARTS = 31, 126
 SPELLED_RUN = re.compile(
-    rf"(?i)(?<!\w)(?:plus[ ]|\+[ ]?)?(?=(?:[0-9]+[ .,-]+){{0,3}}(?:{_NAMES})\b){_DIGIT}(?:[ .,-]{{1,3}}{_DIGIT}){{3,}}(?!\w)"
+    rf"(?i)(?<!\w)(?:plus[ ]|\+[ ]?)?(?=(?:[0-9]+[ .,-]+){{0,{LONGEST}}}(?:{_NAMES})\b){_DIGIT}(?:[ .,-]{{1,3}}{_DIGIT}){{3,}}(?!\w)"
 )
 SPELLED_PART = re.compile(rf"(?i)plus[ ]|\+[ ]?|(?:{_NAMES})\b|[0-9]+")
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
@@ -74,8 +79,8 @@ _AT = rf"(?:\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}|\s{{1,3}}(?:at|@)\s{{1,3}}
 #: Every form of ``_DOT`` and ``_AT`` that is rewritten; a bare "at" only counts beside a disguised dot.
 CUE = re.compile(r"\b[dD][oO][tT]\b|\s@\s|[\[({<]\s{0,3}(?:[aA][tT]|[dD][oO][tT]|@|\.)\s{0,3}[\])}>]")
 ADDRESS = re.compile(
-    rf"(?i)(?<![\w.%+-])[a-z0-9][a-z0-9_%+-]{{0,63}}(?:{_DOT}[a-z0-9_%+-]{{1,63}}){{0,3}}(?P<at>{_AT})"
-    rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{2,63}}){{1,4}}"
+    rf"(?i)(?<![\w.%+-])[a-z0-9][a-z0-9_%+-]{{0,63}}(?:{_DOT}[a-z0-9_%+-]{{1,63}}){{0,{LOCAL_PARTS}}}(?P<at>{_AT})"
+    rf"[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{2,63}}){{1,{DOMAIN_PARTS}}}"
 )
 NUMBERS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 DOT_PART = re.compile(_DOT, re.I)
@@ -195,10 +200,7 @@ def detected(text: str) -> dict[str, list[Span]]:
 
 def has_spelled(text: str) -> bool:
     """Whether the text holds enough names of digits for a run."""
-    lowered = text.lower()
-    for mark in ",.-":
-        lowered = lowered.replace(mark, " ")
-    return sum(map(SPELLED.__contains__, lowered.split())) >= NAMED
+    return sum(map(SPELLED.__contains__, WORD.findall(text.lower()))) >= NAMED
 
 
 def normalised(text: str) -> Normalised | None:

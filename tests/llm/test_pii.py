@@ -95,8 +95,21 @@ def test_every_normalised_character_keeps_its_source():
         assert all(set(plain[k]) <= set(every[k]) for k in pii.KINDS)
 
 
+@pytest.mark.parametrize("before,after", [('"', '"'), ("(", ")"), ("[", "]"), ("", "!"), ("", "?"), ("“", "”"), ("/", "/"), ("", ""), ("-", ";")])
+def test_spelled_digits_whatever_stands_around_them(before, after):
+    text = f"call {before}plus 4 4 2 0 7 oh seven nine 4 6 1{after} now"
+    (start, end), = pii.spans(text)[1]["phone"]
+    assert text[start:end] == "plus 4 4 2 0 7 oh seven nine 4 6 1"
+
+
+def test_addresses_of_many_parts():
+    text = "to a dot b dot c dot d dot e dot f at g1 dot h1 dot i1 dot j1 dot k1 dot l1 dot com today"
+    (start, end), = pii.spans(text)[1]["email"]
+    assert text[start:end] == text[3:-6]
+
+
 def test_long_runs_are_read_once():
-    for text in ("a" * 300_000, "1" * 300_000, "a.1" * 100_000, "+1" * 100_000, "@" * 200_000, "one " * 50_000):
+    for text in ("a" * 300_000, "1" * 300_000, "a.1" * 100_000, "+1" * 100_000, "@" * 200_000, "one " * 50_000, "a dot " * 50_000, "1 " * 100_000, "a.b" * 50_000 + " dot c"):
         pii.spans(text)
 
 
