@@ -2,8 +2,8 @@
 
 A path's segments are generalised in three steps, and each step works on a table of counted templates, not on pages:
 
-1. by form: runs of digits, hexadecimal strings and UUIDs become ``{n}``, ``{h}`` and ``{u}``; segments from the ``depth``-th on are one
-   wildcard ``**``;
+1. by form: runs of digits, hexadecimal strings and UUIDs become ``{n}``, ``{h}`` and ``{u}``; if a ``depth`` is asked for, segments from
+   that one on are one wildcard ``**``;
 2. by variety: where a branch has more than ``WIDE`` different next segments with fewer than ``RARE`` pages each, they become ``*``;
 3. by statistics: templates that differ in one segment only, and whose labelled share of bad pages does not differ from their
    common share (two-sided z-test), are merged (``~`` stands in that segment); from the last segment up.
@@ -11,6 +11,8 @@ A path's segments are generalised in three steps, and each step works on a table
 A template is rejected if its purity, the share of good labelled pages smoothed towards its host's and that towards the share
 overall, falls below ``cut``. Templates without labels have the smoothed share of their host.
 
+Steps 2 and 3 go as deep as two forms of one host do: below that there is no variety and nothing to merge. Each level costs two rounds.
+
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, and its own template like any other;
 repeated urls count as often as they come. Without labels every page is allowed unless a rule blocks it.
 """
@@ -19,12 +21,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stallwise.llm import common
 
 ALLOW, BLOCK = "allow", "block"
-DEPTH, WIDE, RARE = 6, 20, 3
+WIDE, RARE = 20, 3
 Z, STRENGTH, CUT = 1.96, 10.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,12 +65,12 @@ def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
-def form(path: Column, depth: int = DEPTH) -> Column:
-    """The path with variable forms named and what is below ``depth`` cut to a wildcard."""
+def form(path: Column, depth: int | None = None) -> Column:
+    """The path with variable forms named, and with a ``depth`` what is below it as a wildcard."""
     named = F.regexp_replace(path, r"(?i)\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "{u}")
     named = F.regexp_replace(named, r"(?i)(?<![0-9a-z{])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z}])", "{h}")
     named = F.regexp_replace(named, r"[0-9]+", "{n}")
-    return F.regexp_replace(named, rf"^((?:/[^/]*){{{depth}}})/.*$", "$1/**")
+    return named if depth is None else F.regexp_replace(named, rf"^((?:/[^/]*){{{depth}}})/.*$", "$1/**")
 
 
 def _segment(level: int) -> Column:
@@ -80,14 +82,17 @@ def _replaced(level: int, by: Column) -> Column:
 
 
 def templates(
-    spark: SparkSession, pages: DataFrame, *, depth: int = DEPTH, strength: float = STRENGTH, cut: float = CUT
+    spark: SparkSession, pages: DataFrame, *, strength: float = STRENGTH, cut: float = CUT
 ) -> DataFrame:
     """(host, form, template, purity, rejected) from pages (host, form, bad); ``bad`` is null where a page has no label."""
     counted = pages.groupBy("host", "form").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     ).withColumn("segments", F.split("form", "/"))
     counted = common.written(spark, counted, "url-forms")
-    levels = min(depth + 2, counted.agg(F.max(F.size("segments"))).first()[0] or 0)
+    # one row for each host and number of segments
+    sizes = counted.groupBy("host", F.size("segments").alias("size")).agg(F.count("*").alias("forms"))
+    as_deep = F.sum("forms").over(Window.partitionBy("host").orderBy(F.desc("size")))
+    levels = sizes.withColumn("as_deep", as_deep).where("as_deep > 1").agg(F.max("size")).first()[0] or 0
     for level in range(1, levels):
         branch = ["host", "prefix"]
         rows = counted.withColumn("prefix", F.concat_ws("/", F.slice("segments", 1, level)))
@@ -141,7 +146,7 @@ def templates(
 
 def judge(
     spark: SparkSession, pages: DataFrame, labels: DataFrame, rules: list[Rule], *, url: str = "url", page_key: str = "doc_id",
-    label_key: str = "doc_id", bad: str = "bad", depth: int = DEPTH, strength: float = STRENGTH, cut: float = CUT,
+    label_key: str = "doc_id", bad: str = "bad", depth: int | None = None, strength: float = STRENGTH, cut: float = CUT,
 ) -> DataFrame:
     """Every page with host, path, rule, template, purity and verdict (columns of these names are replaced).
 
@@ -153,10 +158,10 @@ def judge(
     )
     made = ["host", "path", "rule", "template", "purity", "verdict"]
     stays = [c for c in pages.columns if c.lower() not in made]
-    rows = ruled(parsed(pages.select(*stays), url), rules).withColumn("_form", form(F.col("path"), depth))
-    counted = rows.select("host", F.col("_form").alias("form"), F.col(page_key).alias("_key")).join(known, "_key", "left")
-    tree = templates(
-        spark, counted.select("host", "form", F.col("_bad").alias("bad")), depth=depth, strength=strength, cut=cut
-    ).withColumnRenamed("form", "_form")
+    # the input's columns go along in a struct, away from the helpers
+    own = pages.select(F.struct(*stays).alias("own"), F.col(url).alias("url"), F.col(page_key).alias("key"))
+    rows = ruled(parsed(own, "url"), rules).withColumn("form", form(F.col("path"), depth))
+    counted = rows.select("host", "form", F.col("key").alias("_key")).join(known, "_key", "left")
+    tree = templates(spark, counted.select("host", "form", F.col("_bad").alias("bad")), strength=strength, cut=cut)
     method = F.when(F.col("rejected"), BLOCK).otherwise(ALLOW)
-    return rows.join(tree, ["host", "_form"], "left").withColumn("verdict", F.coalesce("ruled", method)).select(*stays, *made)
+    return rows.join(tree, ["host", "form"], "left").withColumn("verdict", F.coalesce("ruled", method)).select("own.*", *made)
