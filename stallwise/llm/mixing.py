@@ -7,8 +7,9 @@ weight; a target stops at ``most`` times its source's size and the rest is share
 The words of each source, its documents in pseudorandom order, are packed into blocks of ``block_words`` words. Output shards of
 about ``shard_slots`` slots draw their counts by source: the whole part of the expected count, and multinomial draws for what is left of
 the shard (residual multinomial sampling, so that a source's total stays within a few blocks of its target). The i-th draw
-of a source takes block ``(a * i + b) mod blocks``, ``a`` prime to the number of blocks and both dependent on source and
-round: a permutation of the blocks in each round. Blocks and documents meet by (source, block).
+of a source takes the block at ``i mod blocks`` of the round's permutation, which is computed place by place: ``SHUFFLE`` steps of a
+swap-or-not shuffle, each of which maps a place x to ``key - x`` or leaves both of the pair where they are, by a hash of the
+pair. Keys and hashes depend on the source, the round and the seed. Blocks and documents meet by (source, block).
 
 Places in a source come from sums over buckets of documents and, above them, coarse buckets, so no window holds more than a few
 thousand rows however large a source is.
@@ -28,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 PERCENT, MOST = 150, 2
 BLOCK_WORDS, SHARD_SLOTS = 64, 1024
 BUCKET_ROWS, COARSE = 1000, 2048
-# Primes below 2^30; a multiplier must not divide the number of blocks.
-PRIMES = (1073741789, 1073741783, 1073741741)
+#: Steps of the permutation of a source's blocks.
+SHUFFLE = 48
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -105,6 +106,17 @@ def _uniform(*key: Column | str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def permuted(place: Column, n: Column, key: Column) -> Column:
+    """The value at ``place`` (0 to n - 1) of the pseudorandom permutation of 0 to n - 1 that ``key`` stands for."""
+
+    def step(x: Column, i: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, i), n) - x, n)
+        # both of a pair see the same hash, so they change places or both stay
+        return F.when(F.xxhash64(i, key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SHUFFLE)), place.cast("long"), step)
+
+
 def slots(
     spark: SparkSession, sources: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST,
     seed: int = 1,
@@ -151,14 +163,9 @@ def slots(
     )
     every_slot = whole.unionByName(rest).where(F.col("draw") < F.col("blocks") * most)
     turn = F.floor(F.col("draw") / F.col("blocks"))
-    a = F.lit(PRIMES[-1])
-    for p in PRIMES[:-1][::-1]:
-        a = F.when(F.col("blocks") % p != 0, F.lit(p)).otherwise(a)
-    # the multiplier below the number of blocks keeps the product within 64 bits
-    a = F.pmod(a, F.col("blocks"))
-    b = F.pmod(F.xxhash64("number", turn, F.lit(seed)), F.col("blocks"))
     return every_slot.select(
-        "shard", "number", "draw", F.pmod(a * F.pmod(F.col("draw"), F.col("blocks")) + b, F.col("blocks")).alias("block")
+        "shard", "number", "draw",
+        permuted(F.pmod(F.col("draw"), F.col("blocks")), F.col("blocks"), F.xxhash64("number", turn, F.lit(seed))).alias("block"),
     )
 
 
@@ -198,9 +205,11 @@ def mix_documents(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id
     found = mixed(spark, docs, doc_id=doc_id, text=text, source=source, **how).groupBy(*key).agg(
         *(F.first(c).alias(f"_{c}") for c in what[:3]), F.floor(F.sum("taken") / F.count("*")).alias("_taken")
     ).where("_taken > 0")
-    found = found.select(*(F.col(c).alias(f"_{c}") for c in key), *(f"_{c}" for c in what))
     stays = [c for c in docs.columns if c.lower() not in what]
+    mark = common.helper_prefix(docs)
+    found = found.select(*(F.col(c).alias(f"{mark}{c}") for c in key), *(F.col(f"_{c}").alias(f"{mark}{c}") for c in what))
     same = (
-        F.col(doc_id).eqNullSafe(F.col("_doc_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.xxhash64(text) == F.col("_print"))
+        F.col(doc_id).eqNullSafe(F.col(f"{mark}doc_id")) & F.col(source).eqNullSafe(F.col(f"{mark}source"))
+        & (F.xxhash64(text) == F.col(f"{mark}print"))
     )
-    return docs.select(*stays).join(found, same).select(*stays, *(F.col(f"_{c}").alias(c) for c in what))
+    return docs.select(*stays).join(found, same).select(*stays, *(F.col(f"{mark}{c}").alias(c) for c in what))

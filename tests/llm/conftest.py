@@ -47,7 +47,8 @@ def clashing(awkward):
     """Extra columns named like results and like helpers."""
     from pyspark.sql import functions as F
 
-    names = ("Score", "kept", "size", "taken", "contaminated", "N_WORDS", "spans", "component_id", "number", "template", "id", "host", "other")
+    names = ("Score", "kept", "size", "taken", "contaminated", "N_WORDS", "spans", "component_id", "number", "template", "id", "host", "other",
+             "rejected", "ruled", "form", "url", "key", "_form", "_row", "_words", "_times", "_own", "_taken", "_doc_id", "_print", "__row")
     return awkward.withColumns({n: F.lit(f"own {n}") for n in names})
 
 

@@ -76,15 +76,26 @@ def test_wide_branches_become_wildcards(spark):
 def test_forms(spark):
     cases = {
         "/a/123": "/a/{n}", "/0123abcd9/x": "/{h}/x", "/v1/p-22.html": "/v{n}/p-{n}.html", "/123e4567-e89b-12d3-a456-426614174000": "/{u}",
-        "/a/b/c/d/e/f/g/h": "/a/b/c/d/e/f/**", "": "", "/deadbeef": "/deadbeef",
+        "/a/b/c/d/e/f/g/h": "/a/b/c/d/e/f/g/h", "": "", "/deadbeef": "/deadbeef",
     }
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r["p"]: r["f"] for r in df.select("p", urls.form(F.col("p")).alias("f")).collect()} == cases
+    cut = df.where("length(p) = 16").select(urls.form(F.col("p"), 6)).collect()
+    assert [r[0] for r in cut] == ["/a/b/c/d/e/f/**"]
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(i, f"http://a.test/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/{i}") for i in range(400)]
+    rows.append((400, "http://b.test/" + "x/" * 300))  # alone on its host: no round for its depth
+    pages = spark.createDataFrame(rows, "doc_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, bad int")
+    for x in urls.judge(spark, pages, labels, []).collect():
+        assert x["verdict"] == ("block" if "/spam/" in x["url"] else "allow"), x
 
 
 def test_urls_of_awkward_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.test/1"), (1, "http://a.test/1"), (None, None), (2, "http://b.test/" + quote("x" * 9000))], "doc_id long, url string")
-    clash = pages.withColumns({c: F.lit("own") for c in ("HOST", "verdict", "number", "form", "n", "segments")})
+    clash = pages.withColumns({c: F.lit("own") for c in ("HOST", "verdict", "number", "form", "n", "segments", "rejected", "ruled", "_form", "key", "_key", "own")})
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, bad int")
     found = urls.judge(spark, clash, labels, URL_RULES)
     assert found.count() == 4 and found.where("number = 'own'").count() == 4 and "HOST" not in found.columns
@@ -219,6 +230,25 @@ def test_blocks_are_permuted_within_each_round(spark):
             assert len(got) < n or sorted(got) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 470, 517, 1034])
+def test_permutations_of_blocks(spark, n):
+    def order(source, turn):
+        key = F.xxhash64(F.lit(source), F.lit(turn), F.lit(1))
+        places = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), key).alias("b"))
+        return [r["b"] for r in places.orderBy("id").collect()]
+
+    orders = [order(0, 0), order(0, 1), order(1, 0)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    if n > 400:
+        for o in orders:
+            steps = Counter((b - a) % n for a, b in zip(o, o[1:]))
+            assert max(steps.values()) <= 9  # no step from block to block prevails
+            assert sum(a == i for i, a in enumerate(o)) <= 8
+            early = sum(b < n / 2 for b in o[: n // 2]) / (n // 2)
+            assert 0.4 < early < 0.6
+        assert all(sum(a == b for a, b in zip(x, y)) <= 8 for x in orders for y in orders if x is not y)
+
+
 def test_buckets_of_a_hot_source(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
     monkeypatch.setattr(mixing, "COARSE", 4)
