@@ -30,7 +30,7 @@ PERCENT, MOST = 150, 2
 BLOCK_WORDS, SHARD_SLOTS = 64, 1024
 BUCKET_ROWS, COARSE = 1000, 2048
 #: Steps of the permutation of a source's blocks.
-SHUFFLE = 48
+SHUFFLE = 24
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -106,15 +106,21 @@ def _uniform(*key: Column | str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def permuted(place: Column, n: Column, key: Column) -> Column:
-    """The value at ``place`` (0 to n - 1) of the pseudorandom permutation of 0 to n - 1 that ``key`` stands for."""
+def keys_of(*what: Column) -> Column:
+    """The keys of the permutation that ``what`` stands for, one for each step."""
+    # a bit less than a hash, so that a place can be taken from it
+    return F.transform(F.sequence(F.lit(1), F.lit(SHUFFLE)), lambda i: F.shiftrightunsigned(F.xxhash64(*what, i), 1))
 
-    def step(x: Column, i: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, i), n) - x, n)
+
+def permuted(place: Column, n: Column, keys: Column) -> Column:
+    """The value at ``place`` (0 to n - 1) of the pseudorandom permutation of 0 to n - 1 that ``keys`` stand for."""
+
+    def step(x: Column, key: Column) -> Column:
+        other = F.pmod(key - x, n)
         # both of a pair see the same hash, so they change places or both stay
-        return F.when(F.xxhash64(i, key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+        return F.when(F.xxhash64(key, F.greatest(x, other)) % 2 == 0, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SHUFFLE)), place.cast("long"), step)
+    return F.aggregate(keys, place.cast("long"), step)
 
 
 def slots(
@@ -163,9 +169,12 @@ def slots(
     )
     every_slot = whole.unionByName(rest).where(F.col("draw") < F.col("blocks") * most)
     turn = F.floor(F.col("draw") / F.col("blocks"))
-    return every_slot.select(
-        "shard", "number", "draw",
-        permuted(F.pmod(F.col("draw"), F.col("blocks")), F.col("blocks"), F.xxhash64("number", turn, F.lit(seed))).alias("block"),
+    # a row for each source and round
+    keys = live.select("number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).alias("turn")).withColumn(
+        "keys", keys_of("number", "turn", F.lit(seed))
+    )
+    return every_slot.withColumn("turn", turn).join(keys, ["number", "turn"]).select(
+        "shard", "number", "draw", permuted(F.pmod(F.col("draw"), F.col("blocks")), F.col("blocks"), F.col("keys")).alias("block")
     )
 
 

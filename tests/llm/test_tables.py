@@ -233,8 +233,8 @@ def test_blocks_are_permuted_within_each_round(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 470, 517, 1034])
 def test_permutations_of_blocks(spark, n):
     def order(source, turn):
-        key = F.xxhash64(F.lit(source), F.lit(turn), F.lit(1))
-        places = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), key).alias("b"))
+        keys = mixing.keys_of(F.lit(source), F.lit(turn), F.lit(1))
+        places = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), keys).alias("b"))
         return [r["b"] for r in places.orderBy("id").collect()]
 
     orders = [order(0, 0), order(0, 1), order(1, 0)]
