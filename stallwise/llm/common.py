@@ -14,6 +14,8 @@ from stallwise.session import fresh_dir, ship_package
 
 #: Entries that a per-process cache of words holds before it is emptied.
 CACHE_ENTRIES = 300_000
+#: Rows of a batch that are Python objects at the same time.
+SLICE_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,14 +70,15 @@ def appended(
         if not keeps:
             release()
         on_batch = work()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values, keep = on_batch(batch)
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(values, types)]
-            out = pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
-            yield out if keep is None else out.filter(pa.array(keep, type=pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                values, keep = on_batch(batch)
+                arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in zip(values, types)]
+                out = pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+                yield out if keep is None else out.filter(pa.array(keep, type=pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return arrow_mapped(df, run, schema)
 

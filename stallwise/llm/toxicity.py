@@ -380,14 +380,17 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[str, ...]] = {}
-        counts: Counter[tuple[int, int, int]] = Counter()
+        # the last bucket counts the texts
+        counts = np.zeros((2, 2, FEATURE_BUCKETS + 1), dtype=np.int32)
         for batch in batches:
             for t, y, half in zip(*(common.column(batch, c) for c in (text, "_label", "_half"))):
-                counts.update((half, y, f) for f in {f for w in words_of(t, shared.value, cache) for f in features(w)})
-                counts[half, y, -1] += 1
-        keys = list(counts)
+                found = {f for w in words_of(t, shared.value, cache) for f in features(w)}
+                counts[half, y, [*found, FEATURE_BUCKETS]] += 1
+        half, label, bucket = np.nonzero(counts)
+        n = counts[half, label, bucket]
+        bucket[bucket == FEATURE_BUCKETS] = -1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)] + [pa.array([counts[k] for k in keys], pa.int64())],
+            [pa.array(x, pa.int32()) for x in (half, label, bucket)] + [pa.array(n, pa.int64())],
             names=["half", "label", "bucket", "n"],
         )
 
