@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stallwise.functions.images import first_photos, key_public_id, object_key, public_id, thumb_url
 from stallwise.functions.text import clamp, clean_text, filled, one_of, parse_int, parse_int32, truthy
 from stallwise.operators.slugs import assign_slugs
+from stallwise.operators.spread import running_count
 from stallwise.schemas import COLLECTIONS, DISCOUNT_TYPES, MAX_DISCOUNT, STORE_DISCOUNT_KEY
 from stallwise.session import enable_checkpoints
 
@@ -96,13 +97,55 @@ def sku_clashes(changes: DataFrame, products: DataFrame) -> DataFrame:
     return changes.join(owners, "sku").filter(F.col("id") != F.col("owner")).select("id", "sku", "owner")
 
 
+def accepted_in_turn(asked: DataFrame, owned: DataFrame) -> DataFrame:
+    """Which of the updates ``asked`` (no, seq, id, sku) get their SKU if they come one after the other: (no, accepted).
+
+    ``owned`` holds (id, sku) before the first one. An update is refused while another piece holds its SKU, and an accepted one gives up
+    the SKU that its piece held. Rounds work on all updates at once: each takes the last round's answers as given, follows what every
+    piece holds and how many pieces hold each SKU, and answers anew. After a round, the updates that wait for one answer
+    less than before are right; when a round changes nothing, all are. There are as many rounds as the longest chain of updates that
+    wait for one another, whatever the number of updates.
+    """
+    enable_checkpoints(asked.sparkSession)
+    state = asked.withColumn("accepted", F.lit(True)).checkpoint()
+    at_first = owned.join(asked.select("sku").distinct(), "sku", "left_semi").select("sku", F.lit(1).alias("change"))
+    while True:
+        # what the piece holds just before: the SKU of its last accepted update, or that of the table
+        turns = running_count(state, ["id"], "seq", F.col("accepted"), out="turn", tie="no")
+        held = turns.filter("accepted").select("id", "turn", F.col("sku").alias("had")).unionByName(
+            owned.select("id", F.lit(0).cast("bigint").alias("turn"), F.col("sku").alias("had"))
+        )
+        turns = (
+            turns.withColumn("turn", F.col("turn") - F.col("accepted").cast("bigint")).join(held, ["id", "turn"], "left")
+            .withColumn("own", F.col("had").eqNullSafe(F.col("sku"))).drop("turn").checkpoint()
+        )
+        # pieces that hold each SKU: an update asks first, then it takes and gives up
+        moves = turns.filter("accepted AND NOT own")
+        step = F.struct(F.col("no"), F.lit(1).alias("part")).alias("step")
+        events = (
+            turns.select("*", F.struct(F.col("no"), F.lit(0).alias("part")).alias("step"), F.lit(0).alias("change"))
+            .unionByName(moves.select("sku", "seq", step, F.lit(1).alias("change")), allowMissingColumns=True)
+            .unionByName(moves.filter("had IS NOT NULL").select(F.col("had").alias("sku"), "seq", step, F.lit(-1).alias("change")), allowMissingColumns=True)
+            .unionByName(at_first, allowMissingColumns=True)
+        )
+        holders = running_count(events, ["sku"], "seq", F.col("change"), out="holders", tie="step")
+        answers = holders.filter("id IS NOT NULL").select(
+            "no", "seq", "id", "sku", F.col("accepted").alias("before"),
+            (F.col("holders") - F.col("own").cast("bigint") <= 0).alias("accepted"),
+        ).checkpoint()
+        if answers.filter("accepted <> before").isEmpty():
+            return answers.select("no", "accepted")
+        state = answers.drop("before")
+
+
 def full_update(products: DataFrame, updates: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Replace all editable columns of the products named in ``updates`` (id and form columns).
 
-    Returns the new products and the updates with their ``reason`` (NULL where applied). SKUs are checked
-    against the catalogue as it was and against earlier updates of the batch; of several accepted
-    updates of one product the last one stands.
+    Returns the new products and the updates with their ``reason`` (NULL where applied). Updates take effect one after the other,
+    by ``order`` (equal ones in any order): a SKU that an accepted update gave up is free for later ones. Of several
+    accepted updates of one product the last one stands.
     """
+    enable_checkpoints(products.sparkSession)
     rows = normalise_products(updates).withColumn("id", parse_int(F.col("id")))
     present = products.select(F.col("id").cast("bigint").alias("id")).withColumn("_present", F.lit(True))
     rows = rows.join(present, "id", "left").withColumn(
@@ -110,15 +153,14 @@ def full_update(products: DataFrame, updates: DataFrame, order: str = "seq") ->
         F.when(F.col("_present").isNull(), NOT_FOUND)
         .when(F.col("title") == "", NO_TITLE)
         .when(F.col("price") <= 0, NO_PRICE),
-    )
-    # per SKU: its owner in the catalogue, or else the first update that asks for it
-    owners = products.select("sku", F.col("id").cast("bigint").alias("_owner"))
-    holders = rows.filter("reason IS NULL").groupBy("sku").agg(F.min_by("id", order).alias("_claimant"))
-    holders = holders.join(owners, "sku", "left").select("sku", F.coalesce("_owner", "_claimant").alias("_holder"))
+    ).withColumn("_no", F.monotonically_increasing_id()).checkpoint()
+    asked = rows.filter("reason IS NULL").select(F.col("_no").alias("no"), F.col(order).cast("bigint").alias("seq"), "id", "sku")
+    owned = products.select(F.col("id").cast("bigint").alias("id"), "sku").filter("sku IS NOT NULL")
+    answers = accepted_in_turn(asked, owned).withColumnsRenamed({"no": "_no", "accepted": "_accepted"})
     clash = filled(SKU_TAKEN, F.col("sku"))
-    checked = rows.join(holders, "sku", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_holder") != F.col("id"), clash))
-    ).drop("_present", "_holder")
+    checked = rows.join(answers, "_no", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(~F.col("_accepted"), clash))
+    ).drop("_present", "_no", "_accepted")
     columns = [c for c in REPLACED if c in products.columns]
     last = checked.filter("reason IS NULL").groupBy("id").agg(
         F.max_by(F.struct(*columns), order).alias("_new")

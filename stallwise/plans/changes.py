@@ -165,13 +165,16 @@ UPDATED_SQL = f"""typed AS (SELECT seq, {whole("id")} AS id, trim(title) AS titl
     held AS (SELECT *, CASE WHEN kind = 'percent' THEN least(90, given)
                             WHEN kind = 'amount' AND given >= price THEN greatest(0, price - 1) ELSE given END AS value FROM typed),
     early AS (SELECT h.*, CASE WHEN p.id IS NULL THEN 'No such piece.' WHEN h.title = '' THEN 'Give the piece a title.'
-                               WHEN h.price <= 0 THEN 'Set a price above zero.'
-                               WHEN o.id IS NOT NULL AND o.id <> h.id
-                               THEN 'SKU ' || h.sku || ' belongs to another piece.' END AS early
+                               WHEN h.price <= 0 THEN 'Set a price above zero.' END AS early, o.id AS owner
               FROM held h LEFT JOIN products_base p ON p.id = h.id LEFT JOIN products_base o ON o.sku = h.sku),
-    decided AS (SELECT *, CASE WHEN early IS NOT NULL THEN early
-                               WHEN first_value(id) OVER (PARTITION BY sku, early IS NULL ORDER BY seq) <> id
-                               THEN 'SKU ' || sku || ' belongs to another piece.' END AS reason FROM early)"""
+    -- sets have no owner at first, and the first piece that may take one keeps it; the owner of another piece's SKU has
+    -- given it up if it has come before and got a set
+    got_set AS (SELECT id, min(seq) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY seq) AS place FROM early
+                                                 WHERE early IS NULL AND owner IS NULL) q WHERE place = 1 GROUP BY id),
+    decided AS (SELECT e.*, CASE WHEN early IS NOT NULL THEN early
+                                 WHEN (e.owner IS NULL AND own.seq IS NULL) OR (e.owner <> e.id AND coalesce(g.seq >= e.seq, true))
+                                 THEN 'SKU ' || sku || ' belongs to another piece.' END AS reason
+                FROM early e LEFT JOIN got_set own ON own.id = e.id AND own.seq = e.seq LEFT JOIN got_set g ON g.id = e.owner)"""
 
 
 def _update(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -329,6 +330,33 @@ def test_create_and_update(spark):
     assert rows(after, "id", "title", "sku", "price", "stock", "slug") == [(1, "Uno", "Z", 7, 0, "red"), (2, "t", "B", 1000, 5, "red-3")]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_full_updates_equal_one_by_one(spark, seed):
+    """Hot SKUs, chains of pieces that wait for one another, and SKUs handed on again and again."""
+    r = random.Random(seed)
+    skus = [f"S{i}" for i in range(12)]
+    p = products(spark, *(dict(id=i, sku=skus[i], slug=f"s{i}") for i in range(8)))
+    given = [(seq, str(r.randint(0, 8)), r.choice(["", "T"] + ["U"] * 8), r.choice(skus[: r.choice([3, 12])]), "5") for seq in range(60)]
+    if seed == 3:  # each takes what the one before gave up
+        given = [(0, "0", "U", "S11", "5"), *((i, str(i), "U", skus[i - 1], "5") for i in range(1, 8))]
+    holds, reasons = {i: skus[i] for i in range(8)}, []
+    for _, piece, title, sku, _ in given:
+        i = int(piece)
+        if i not in holds:
+            reasons.append(mu.NOT_FOUND)
+        elif not title:
+            reasons.append(mu.NO_TITLE)
+        elif any(s == sku and q != i for q, s in holds.items()):
+            reasons.append(mu.SKU_TAKEN.format(sku))
+        else:
+            holds[i] = sku
+            reasons.append(None)
+    r.shuffle(given)
+    after, checked = mu.full_update(p, spark.createDataFrame(given, "seq bigint, id string, title string, sku string, price string"))
+    assert [x["reason"] for x in checked.orderBy("seq").collect()] == reasons
+    assert {x["id"]: x["sku"] for x in after.collect()} == holds
+
+
 def test_inserts_settings_removals(spark):
     old = spark.createDataFrame([(1, "A")], "id int, sku string")
     new = spark.createDataFrame([(2, "A"), (3, "B"), (4, "B"), (5, "C")], "id int, sku string")
