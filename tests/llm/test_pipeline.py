@@ -102,7 +102,7 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, clashing, nothing, i
 
 
 def test_every_operator_has_one_query(spark):
-    assert [re.match(r"op(\d+)_", q)[1] for q in QUERIES] == [str(n) for n in range(1, 11)]
+    assert [re.match(r"op(\d+)_", q)[1] for q in QUERIES] == [str(n) for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", [q for q in QUERIES if q != "op3_url_filters"])
