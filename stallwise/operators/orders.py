@@ -16,6 +16,9 @@ EMPTY_BAG = "Your bag is empty."
 GONE = "Those pieces are no longer available."
 REF_TAKEN = "That reference is in use, send the order again."
 
+#: Columns of a piece that its price is made of, and its names.
+PRICED = ("sku", "title", "price", "discount_type", "discount_value")
+
 
 def explode_carts(carts: DataFrame) -> DataFrame:
     """Cart arrays ``items: array<struct<id, qty>>`` as lines with a position counting from 1."""
@@ -49,8 +52,19 @@ def price_cart(lines: DataFrame, products: DataFrame, store_percent: Column | in
     the quantity is held within 1..10 and the stock, with a note where the stock was short.
     Lines of one piece stay separate.
     """
-    live = _live(products, "sku", "title", "price", "discount_type", "discount_value")
-    sold = _wanted(lines).join(live, "product_id").withColumn("qty", _sellable()).filter(F.col("qty") >= 1)
+    return _priced(_wanted(lines).join(_live(products, *PRICED), "product_id"), store_percent)
+
+
+def price_stored_cart(lines: DataFrame, pieces: DataFrame, on: tuple[str, ...], store_percent: Column | int = 0) -> DataFrame:
+    """``price_cart`` over tables that are stored together by ``product_id`` (BIGINT in both) and joined on ``on``, without a shuffle."""
+    wanted = clamp(whole_number(lines, "qty_raw", 1), 1, MAX_LINE_QTY).alias("wanted")
+    asked = lines.filter((F.col("pos") <= MAX_CART_LINES) & (F.col("product_id") != 0)).select("order_id", "pos", *on, wanted)
+    return _priced(asked.join(pieces.filter("active").select(*on, "stock", *PRICED), list(on)), store_percent)
+
+
+def _priced(met: DataFrame, store_percent: Column | int) -> DataFrame:
+    """Lines that met their piece, with quantity, prices and note."""
+    sold = met.withColumn("qty", _sellable()).filter(F.col("qty") >= 1)
     return (
         with_pricing(sold, store_percent).select(
             "order_id", "pos", "product_id", "sku", "title", F.col("final_price").alias("price"),
