@@ -13,6 +13,7 @@ Ids are whole numbers, unique and not NULL. A changed row is put right by writin
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -22,36 +23,55 @@ from stallwise.session import remove
 
 GRAM = 3
 BLOCK, SHELF = 1 << 12, 1 << 20
+#: Blocks whose postings are made by one task.
+STRETCH = 4
+#: Letters of an anchor, by which a pattern's longest piece meets the texts: the most that go into it.
+ANCHORS = (6, 12, 24, 48)
 
 
-def with_grams(df: DataFrame, columns: list[str] | tuple[str, ...], out: str = "grams") -> DataFrame:
-    """Append the distinct trigrams of lower-cased text columns; none go across columns."""
+def with_grams(df: DataFrame, columns: list[str] | tuple[str, ...], out: str = "grams", sizes: Sequence[int] = (GRAM,)) -> DataFrame:
+    """Append the distinct pieces of ``sizes`` letters, trigrams if not said, of lower-cased text columns; none go across columns."""
     # each column's letters become a column of their own: a lambda would split the text again for every letter
     letters = {f"_letters{i}": F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), "") for i, c in enumerate(columns)}
     df = df.withColumns(letters)
 
-    def grams(name: str) -> Column:
+    def grams(name: str, size: int) -> Column:
         chars = F.col(name)
-        places = F.sequence(F.lit(0), F.size(chars) - GRAM)
-        gram = F.transform(places, lambda i: F.concat(*(F.get(chars, i + k) for k in range(GRAM))))
-        return F.when(F.size(chars) >= GRAM, gram).otherwise(F.array().cast("array<string>"))
-
-    found = F.array_distinct(F.flatten(F.array(*map(grams, letters))))
+        places = F.sequence(F.lit(0), F.size(chars) - size)
+        if size == GRAM:
+            gram = F.transform(places, lambda i: F.concat(*(F.get(chars, i + k) for k in range(GRAM))))
+        else:
+            gram = F.transform(places, lambda i: F.array_join(F.slice(chars, i + 1, F.lit(size)), ""))
+        return F.when(F.size(chars) >= size, gram).otherwise(F.array().cast("array<string>"))
+
+    found = F.array_distinct(F.flatten(F.array(*(grams(name, size) for name in letters for size in sizes))))
     return df.withColumn(out, found).drop(*letters)
 
 
+def each_gram(df: DataFrame, *stays: str, grams: str = "grams", out: str = "gram") -> DataFrame:
+    """A row for each of the grams; outer, since a plain ``explode`` is filtered by its list beforehand, made once more for that."""
+    return df.select(*stays, F.explode_outer(grams).alias(out)).where(F.col(out).isNotNull())
+
+
 def postings(rows: DataFrame, columns: tuple[str, ...] = SEARCHED, key: str = "id", block: int = BLOCK, shelf: int = SHELF) -> DataFrame:
-    """(shelf, gram, block, ids): of each block of ids those whose columns hold the trigram, in order."""
-    held = with_grams(rows.select(key, *columns), columns).select(F.col(key).cast("bigint").alias("id"), F.explode("grams").alias("gram"))
-    blocks = held.groupBy("gram", F.floor(F.col("id") / block).alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return blocks.withColumn("shelf", F.floor(F.col("block") * block / shelf))
+    """(shelf, gram, block, ids): of each block of ids those whose columns hold the trigram, in order.
 
+    The rows are dealt out by stretches of a few blocks first, so that their trigrams, many times the rows, are made by many tasks and
+    gathered where they are made.
+    """
+    stretch = max(block, min(shelf, STRETCH * block))
+    own = F.col(key).cast("bigint")
+    dealt = rows.select(own.alias("id"), *(F.col(c).alias(f"_column{i}") for i, c in enumerate(columns))).withColumn(
+        "stretch", F.floor(F.col("id") / stretch)
+    ).repartition("stretch")
+    held = each_gram(with_grams(dealt, [f"_column{i}" for i in range(len(columns))]), "stretch", "id")
+    blocks = held.groupBy("stretch", "gram", F.floor(F.col("id") / block).alias("block")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return blocks.select("gram", "block", "ids", F.floor(F.col("block") * block / shelf).alias("shelf"))
 
-def _written(df: DataFrame, path: str, *order: str, partitions: int | None) -> None:
+
+def _written(df: DataFrame, path: str, *order: str) -> None:
     """Sorted files below one folder per shelf; only the folders of shelves that occur in ``df`` are replaced."""
-    by = [F.col(c) for c in ("shelf", *order)]
-    ranges = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    writer = ranges.sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = df.sortWithinPartitions("shelf", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("shelf").parquet(path)
 
 
@@ -62,8 +82,12 @@ def write_index(
     """Write the rows and their postings. ``shelf`` must be a multiple of ``block``."""
     if shelf % block:
         raise ValueError("a shelf holds whole blocks")
-    _written(rows.withColumn("shelf", F.floor(F.col(key) / shelf)), f"{path}/rows", key, partitions=partitions)
-    _written(postings(rows, columns, key, block, shelf), f"{path}/postings", "gram", "block", partitions=partitions)
+    shelved = rows.withColumn("shelf", F.floor(F.col(key) / shelf))
+    by = F.col("shelf"), F.col(key)
+    _written(shelved.repartitionByRange(partitions, *by) if partitions else shelved.repartitionByRange(*by), f"{path}/rows", key)
+    # no exchange by ranges: its sample of the keys would make all postings once more
+    found = postings(rows, columns, key, block, shelf)
+    _written(found.coalesce(partitions) if partitions else found, f"{path}/postings", "gram", "block")
 
 
 def refresh(
@@ -122,17 +146,45 @@ def search(
 def search_all(spark: SparkSession, path: str, patterns: DataFrame, columns: tuple[str, ...] = SEARCHED, key: str = "id") -> DataFrame:
     """(pattern, id) for a whole table of patterns, column ``pattern``, in one job.
 
-    Rows meet patterns through postings only: a pattern's trigrams are joined with the index, hot ones in blocks of bounded lists. A
-    pattern without trigrams is refused with an error; search for it by a scan.
+    A pattern whose longest piece has room for one of the ``ANCHORS`` meets the index's rows by the rarest anchor of that piece, so that a long
+    pattern, such as a number, meets the few rows that hold it. The others meet them through the postings: the lists of a pattern's
+    trigrams, of bounded length, are intersected block by block. What is met is held against the pattern itself. A pattern without
+    trigrams is refused with an error; search for it by a scan.
     """
-    pieces = patterns.select("pattern").distinct().withColumn("piece", F.explode(F.split("pattern", "[%_]")))
+    lowered = F.lower("piece")
+    pieces = patterns.select("pattern").distinct().withColumn("piece", F.explode(F.split("pattern", "[%_]"))).withColumn("piece", lowered)
+    longest = pieces.groupBy("pattern").agg(F.max_by("piece", F.struct(F.length("piece"), "piece")).alias("longest"))
+    texts = indexed_rows(spark, path).select(key, *columns)
+    short = longest.where(F.coalesce(F.length("longest"), F.lit(0)) < ANCHORS[0]).select("pattern")
+    hits = _by_lists(spark, path, short, key).unionByName(_by_anchors(texts, longest.where(F.length("longest") >= ANCHORS[0]), columns, key))
+    matched = [F.expr(f"{c} ILIKE concat('%', replace(pattern, '\\\\', '\\\\\\\\'), '%')") for c in columns]
+    return hits.join(texts, key).where(reduce(Column.__or__, matched)).select("pattern", key)
+
+
+def _by_lists(spark: SparkSession, path: str, patterns: DataFrame, key: str) -> DataFrame:
+    """(pattern, id) of the rows that hold every trigram of the pattern."""
+    pieces = patterns.withColumn("piece", F.explode(F.split("pattern", "[%_]")))
     wanted = with_grams(pieces, ["piece"]).groupBy("pattern").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
     wanted = wanted.withColumn("wanted", F.size("grams"))
     checked = F.when(F.col("wanted") > 0, F.col("grams")).otherwise(F.raise_error(F.concat(F.lit("no trigram in "), "pattern")))
     wanted = wanted.select("pattern", "wanted", F.explode(checked).alias("gram"))
     found = wanted.join(spark.read.parquet(f"{path}/postings"), "gram").groupBy("pattern", "wanted", "block").agg(F.collect_list("ids").alias("lists"))
     both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], F.array_intersect)
-    hits = found.where(F.size("lists") == F.col("wanted")).select("pattern", F.explode(both).alias(key))
-    matched = [F.expr(f"{c} ILIKE concat('%', replace(pattern, '\\\\', '\\\\\\\\'), '%')") for c in columns]
-    texts = indexed_rows(spark, path).select(key, *columns)
-    return hits.join(texts, key).where(reduce(Column.__or__, matched)).select("pattern", key)
+    return found.where(F.size("lists") == F.col("wanted")).select("pattern", F.explode(both).alias(key))
+
+
+def _by_anchors(texts: DataFrame, patterns: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    """(pattern, id) of the rows that hold the rarest anchor of the pattern's longest piece."""
+    fits = F.array_max(F.filter(F.array(*map(F.lit, ANCHORS)), lambda n: n <= F.length("longest")))
+    asked = patterns.withColumn("size", fits)
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # as many as ``ANCHORS`` at most
+    wanted = [each_gram(with_grams(asked.where(F.col("size") == n), ["longest"], sizes=(n,)), "pattern", out="anchor") for n in sizes]
+    wanted = reduce(DataFrame.unionByName, wanted, patterns.select("pattern", F.col("longest").alias("anchor")).limit(0))
+    held = each_gram(with_grams(texts, columns, sizes=sizes or ANCHORS), key, out="anchor").withColumn(key, F.col(key).cast("bigint"))
+    held = held.join(wanted.select("anchor").distinct(), "anchor", "left_semi")
+    counts = held.groupBy("anchor").agg(F.count("*").alias("n"))
+    # a pattern with an anchor that no row holds matches nothing
+    rarest = wanted.join(counts, "anchor", "left").groupBy("pattern").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("rarest")
+    ).where("rarest.n > 0")
+    return rarest.select("pattern", F.col("rarest.anchor").alias("anchor")).join(held, "anchor").select("pattern", key).distinct()

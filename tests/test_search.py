@@ -81,3 +81,33 @@ def test_changes_touch_their_shelves_only(spark, tmp_path):
     fewer = products(spark, *before[:200])
     search.refresh(fewer, spark.createDataFrame([(i,) for i in range(200, 300)], "id int"), path, block=10, shelf=100)
     assert stamp(0) == kept and search.search(spark, path, "S2").count() == 11
+
+
+LONG = ["SW-12", "sw-39", "zari border", "SW-1%zari border", "border sari", "zari borderzari borderzari border", "café déjàcafé", "no such piece here", "a\\b%zari border", "x" * 60]
+
+
+def test_long_patterns_need_no_postings(spark, tmp_path):
+    table = catalogue(spark, 120)
+    path = str(tmp_path / "index")
+    search.write_index(table.unionByName(table.limit(5)), path, block=64, shelf=512)
+    wanted = [p for p in LONG if max(map(len, p.split("%"))) >= search.ANCHORS[0]]
+    want = [(p, r.id) for p in wanted for r in table.unionByName(table.limit(5)).where(catalog.search_condition(p)).collect()]
+    empty = spark.read.parquet(f"{path}/postings").limit(0)
+    empty.write.mode("overwrite").parquet(f"{path}/none")
+    search.remove(spark, f"{path}/postings")
+    spark.createDataFrame([], empty.schema).write.parquet(f"{path}/postings")
+    got = search.search_all(spark, path, spark.createDataFrame([(p,) for p in wanted], "pattern string"))
+    assert sorted(rows(got, "pattern", "id")) == sorted(want) and len(want) > 20
+
+
+def test_many_short_and_long_patterns(spark, index):
+    path, table = index
+    asked = LONG + PATTERNS[:2]
+    want = [(p, r.id) for p in asked for r in table.where(catalog.search_condition(p)).collect()]
+    got = search.search_all(spark, path, spark.createDataFrame([(p,) for p in [*asked, LONG[2]]], "pattern string"))
+    assert sorted(rows(got, "pattern", "id")) == sorted(want)
+
+
+def test_trigrams_are_made_once(spark):
+    plan = search.postings(catalogue(spark, 40), block=64, shelf=512)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
