@@ -75,12 +75,22 @@ def truthy(c: Column, data_type: str = "string") -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
 
-def slugify(title: Column) -> Column:
-    """URL form of a title: ASCII letters, digits and single hyphens, at most 70 long."""
-    lowered = trim(F.lower(text(title)))
+#: Letters of a slug, and of the beginning of a title that it is looked for in first.
+SLUG, SLUG_HEAD = 70, 320
+
+
+def _dashed(lowered: Column) -> Column:
     plain = F.regexp_replace(lowered, f"[^a-z0-9{SPACE}-]+", "")
-    dashed = F.regexp_replace(plain, f"[{SPACE}-]+", "-")
-    slug = F.substring(dashed, 1, 70)
+    return F.regexp_replace(plain, f"[{SPACE}-]+", "-")
+
+
+def slugify(title: Column) -> Column:
+    """URL form of a title: ASCII letters, digits and single hyphens, at most 70 long.
+
+    A beginning that gives a letter more than a slug has settles the slug, whatever follows; any other text is read whole.
+    """
+    head = _dashed(F.ltrim(F.lower(F.substring(text(title), 1, SLUG_HEAD)), F.lit(SPACES)))
+    slug = F.substring(F.when(F.length(head) > SLUG, head).otherwise(_dashed(trim(F.lower(text(title))))), 1, SLUG)
     return F.when(slug == "", "piece").otherwise(slug)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import pytest
@@ -134,3 +135,19 @@ def test_images(spark):
     assert values(spark, urls, "v string", im.public_id(F.col("v"))) == ["shop/a-b", "shop/c", None]
     assert values(spark, urls, "v string", im.object_key(F.col("v"))) == ["a-b.webp", "c.JPG", "plain.webp"]
     assert values(spark, ["k-1.webp"], "v string", im.key_public_id(F.col("v"), "shop")) == ["shop/k-1"]
+
+
+def test_slug_of_a_long_text(spark):
+    """The beginning settles the slug only if it has a letter more."""
+    def plain(t):
+        kept = re.sub(r"[^a-z0-9\s-]", "", t.lower().strip("\t\n\x0b\x0c\r  ﻿"))
+        return re.sub(r"[\s-]+", "-", kept)[:70] or "piece"
+
+    head = tx.SLUG_HEAD
+    texts = [
+        "a" * 69 + " ", "a" * 70, "a" * 71, "a" * 69 + " " * 500 + "b", "a" * 70 + " " * 500, "a" * 69 + " !" * 300, " " * (head + 5) + "late start",
+        "é" * head + " after all", "é " * head + "end", "a" * 40 + "é" * head + "b" * 40, "\U0001f600" * head + "x" * 90, "-" * head + "tail", "ab " * 400, "!" * 1000,
+    ]
+    slugs = tx.slugify(F.col("v"))
+    assert values(spark, texts, "v string", slugs) == [plain(t) for t in texts]
+    assert f", 1, {head})" in slugs._jc.toString()
