@@ -30,10 +30,16 @@ def unknown(element: Column, shape: T.StructType) -> Column:
 
 def with_known(element: Column, values: Column, shape: T.StructType) -> Column:
     """The element as JSON text with its known fields set to those of ``values`` (NULL ones are left out) and its unknown fields as they came."""
-    own, rest = F.to_json(values), F.to_json(unknown(element, shape))
-    # two objects without a name in common, put together as text
-    both = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
-    return F.when(rest == "{}", own).when(own == "{}", rest).otherwise(both)
+    # a list of one, so that each text is made once: outside of a lambda it would be made anew wherever it is named
+    texts = F.array(F.struct(F.to_json(values).alias("own"), F.to_json(unknown(element, shape)).alias("rest")))
+
+    def joined(text: Column) -> Column:
+        own, rest = text["own"], text["rest"]
+        # two objects without a name in common, put together as text
+        both = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+        return F.when(rest == "{}", own).when(own == "{}", rest).otherwise(both)
+
+    return F.transform(texts, joined)[0]
 
 
 def listed(texts: Column) -> Column:

@@ -157,3 +157,14 @@ def test_unknown_fields_survive_a_round_trip(spark, item):
     text = read_items(spark, json.dumps([item, item])).select(variants.listed(F.transform("items", dearer))).first()[0]
     want = {**item, **({"price": 10} if "price" in item else {})}
     assert json.loads(text) == [want, want]
+
+
+def test_an_item_is_written_as_text_once(spark):
+    """Outside of a lambda's argument each text would be made again wherever it is named."""
+    item = F.try_variant_get(F.try_parse_json(F.col("v")), "$", "variant")
+    text = variants.with_known(item, variants.known(item, ORDER_ITEM), ORDER_ITEM)
+    assert text._jc.toString().count("to_json") == 2
+    df = spark.createDataFrame([('{"id": 1, "price": "free", "sku": "a", "x": [1]}',), ("7",), ("[]",), ('{"qty": 1.0, "ID": 2}',)], "v string")
+    own = df.select(variants.known(item, ORDER_ITEM).alias("own")).select("own.*")
+    assert [(r.id, r.sku, r.price, r.qty) for r in own.collect()] == [(1, "a", None, None), (None,) * 4, (None,) * 4, (None, None, None, 1)]
+    assert [json.loads(r[0]) for r in df.select(text).collect()] == [{"id": 1, "sku": "a", "x": [1]}, {}, {}, {"qty": 1, "ID": 2}]
