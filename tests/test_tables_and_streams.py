@@ -193,3 +193,21 @@ def test_stream_carts(spark, tmp_path):
     ).awaitTermination()
     got = spark.read.parquet(f"{out}/rows")
     assert sorted(r.price for r in got.collect()) == [500, 750] and got.select("order_id").distinct().count() == 2
+
+
+def test_stream_carts_do_not_broadcast_the_catalogue(spark, tmp_path, monkeypatch):
+    schema = "order_id bigint, pos int, product_id int, qty_raw int"
+    spark.createDataFrame([(1, 1, 1, 2)], schema).write.parquet(str(tmp_path / "in"))
+    lines = sinks.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    plans, price = [], carts.price_cart
+
+    def watched(*args):
+        priced = price(*args)
+        plans.append(priced._jdf.queryExecution().executedPlan().toString())
+        return priced
+
+    monkeypatch.setattr(carts, "price_cart", watched)
+    carts.start_priced_carts(
+        lines, lambda: products(spark, dict(id=1)), lambda: settings(spark, "25"), str(tmp_path / "rows"), str(tmp_path / "check")
+    ).awaitTermination()
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
