@@ -204,7 +204,15 @@ class _Search:
         """(id, component) of the linked nodes."""
         keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"), F.lit(-1).alias("at"))
         pending = self.spark.createDataFrame([], "a long, b long")
-        links = pending
+        linked = None
+
+        def joined(found: DataFrame) -> DataFrame:
+            """Components of the new links and of the ones before, which their components stand for."""
+            before = found.limit(0) if linked is None else linked.where("id <> component").select(
+                F.col("component").alias("a"), F.col("id").alias("b")
+            )
+            return common.written(self.spark, components(self.spark, before.unionByName(found)), "components")
+
         for level in range(LEVELS + 1):
             other = F.xxhash64("id", F.lit(level)) if level > 1 else F.col("id")
             sizes = keyed.groupBy("key").agg(
@@ -213,8 +221,7 @@ class _Search:
             members = common.written(self.spark, keyed.join(sizes, "key"), "buckets")
             alike = self.alike("size", "star_size")
             stars = members.where("id <> star").where(alike).select(F.col("star").alias("a"), F.col("id").alias("b"))
-            links = links.unionByName(self.verified(stars.unionByName(pending).distinct()))
-            linked = common.written(self.spark, components(self.spark, links), "components")
+            linked = joined(self.verified(stars.unionByName(pending).distinct()))
             left = self.unsettled(members.where("n > 2"), linked)
             if left.isEmpty():
                 return linked
@@ -226,8 +233,7 @@ class _Search:
             pending = common.written(self.spark, pending.distinct(), "pending")
             following = large.select("id", "size", "key", "at") if level else self.offered(self.prefixes(large.select("id")))
             keyed = common.written(self.spark, following, "offered-shingles")
-        links = links.unionByName(self.verified(pending.distinct()))
-        return common.written(self.spark, components(self.spark, links), "components")
+        return joined(self.verified(pending.distinct()))
 
     def unsettled(self, members: DataFrame, linked: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component, with their component."""
@@ -285,7 +291,9 @@ class _Search:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
-        partial = common.arrow_mapped(sets.select("shingles"), count, common.schema("bucket long, n long"))
+        # as many tasks as run at once, each with a row for a counter at most, however many parts the sets came in
+        few = sets.select("shingles").coalesce(self.spark.sparkContext.defaultParallelism)
+        partial = common.arrow_mapped(few, count, common.schema("bucket long, n long"))
         return common.to_dense(common.summed_counts(partial, ["bucket"]), "bucket", "n", COUNTERS)
 
     def offered(self, prefixes: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import re
 
 import pytest
 
-from stallwise.llm import neardup
+from pyspark.sql import functions as F
+
+from stallwise.llm import common, neardup
 
 
 def brute(rows, width, percent=80):
@@ -130,3 +132,23 @@ def test_awkward_rows(spark, awkward, clashing, nothing):
     again = neardup.near_duplicates(spark, clashing, width=2)
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, found.collect()), key=repr)
     assert neardup.near_duplicates(spark, nothing).count() == 0
+
+
+def test_counters_do_not_grow_with_the_parts(spark, documents, monkeypatch):
+    """As many partial counts as tasks run at once, however many parts the sets lie in."""
+    made = []
+    mapped = common.arrow_mapped
+
+    def watched(df, run, schema):
+        out = mapped(df, run, schema)
+        if schema.fieldNames() == ["bucket", "n"]:
+            made.append((out.count(), df.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(common, "arrow_mapped", watched)
+    search = neardup._Search(spark, documents([(0, "a", "en", "s", 0)]), None, "doc_id", "text", 2, 80)
+    sets = spark.range(400).select(F.col("id"), F.array(F.lit(5), F.lit(9)).cast("array<bigint>").alias("shingles")).repartition(64)
+    counts = search.counters(sets)
+    cores = spark.sparkContext.defaultParallelism
+    assert made[0][0] <= 2 * cores and made[0][1] <= cores
+    assert (counts[5], counts[9], counts.sum()) == (400, 400, 800)
