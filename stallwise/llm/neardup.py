@@ -10,14 +10,15 @@ are found by alternating large-star and small-star.
 3. In each bucket every node is compared with the smallest one, the bucket's star, never all with all. Pairs are verified by
    the share of equal minima (with a slack of over five standard deviations), then on full sets.
 4. A link between two nodes of one component says nothing new, so only buckets that still hold several components go on.
-   In those of up to ``SMALL`` nodes the nodes of different components are compared. The nodes of larger ones go by exact prefix
+   Where nodes of different components make up to ``SMALL / 2`` pairs a node, as in any bucket of up to ``SMALL`` nodes, all of these
+   are compared: the nodes outside of the bucket's main component with the others. The nodes of the other buckets go by exact prefix
    filtering: all shingles get one order, rarer ones (by bounded, hashed counts over these nodes) first. Two sets of similarity
    ``percent`` have that share of either in common, so the first of their common shingles is among the first ``n - ceil(percent * n) + 1``
    of both. Each node offers these once, whatever buckets it came from, and nodes with a shingle in common share a bucket.
    What two nodes have in common from their first common shingle on is no more than either has left from there, so a shingle that
    stands too far back to leave enough of a bucket's shortest set is not offered: passages that many texts share come last in
-   the order, and fall out here. Buckets that stay large are compared with another star each round, which soon leaves few
-   components; after ``LEVELS`` rounds what is left is compared, whatever its size.
+   the order, and fall out here. Buckets with more pairs are compared with another star each round, which soon leaves few
+   components; after ``LEVELS`` rounds, or one that links nothing new, what is left is compared, whatever its size.
 
 Shingles are 64-bit hashes; sets are compared by these. Defined results: null texts and texts without words have an empty set
 and are linked with nothing; rows without an id are kept and belong to no component; rows that share an id
@@ -38,6 +39,8 @@ SMALL = 32
 LEVELS = 4
 #: Counters by which shingles are ordered.
 COUNTERS = 1 << 18
+#: Blocks in which they are summed.
+BLOCKS = 64
 #: Similarity by minima may fall short of the real one by so much.
 SLACK = 0.2
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -202,57 +205,88 @@ class _Search:
 
     def run(self) -> DataFrame:
         """(id, component) of the linked nodes."""
-        keyed = self.nodes.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"), F.lit(-1).alias("at"))
+        keyed = self.nodes.select(
+            "id", F.col("id").alias("component"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"), F.lit(-1).alias("at")
+        )
         pending = self.spark.createDataFrame([], "a long, b long")
         linked = None
-
-        def joined(found: DataFrame) -> DataFrame:
-            """Components of the new links and of the ones before, which their components stand for."""
-            before = found.limit(0) if linked is None else linked.where("id <> component").select(
-                F.col("component").alias("a"), F.col("id").alias("b")
-            )
-            return common.written(self.spark, components(self.spark, before.unionByName(found)), "components")
-
         for level in range(LEVELS + 1):
             other = F.xxhash64("id", F.lit(level)) if level > 1 else F.col("id")
             sizes = keyed.groupBy("key").agg(
-                F.min_by("id", other).alias("star"), F.min_by("size", other).alias("star_size"), F.count("*").alias("n")
+                F.min_by("id", other).alias("star"), F.min_by("size", other).alias("star_size"),
+                F.min_by("component", other).alias("star_component"), F.count("*").alias("n"),
             ).where("n > 1")
             members = common.written(self.spark, keyed.join(sizes, "key"), "buckets")
             alike = self.alike("size", "star_size")
-            stars = members.where("id <> star").where(alike).select(F.col("star").alias("a"), F.col("id").alias("b"))
-            linked = joined(self.verified(stars.unionByName(pending).distinct()))
+            stars = members.where("component <> star_component").where(alike).select(F.col("star").alias("a"), F.col("id").alias("b"))
+            before, linked = linked, self.joined(linked, self.verified(stars.unionByName(pending).distinct()))
             left = self.unsettled(members.where("n > 2"), linked)
             if left.isEmpty():
                 return linked
-            last = level == LEVELS
-            pending = self.crossing(left if last else left.where(F.col("n") <= SMALL))
-            large = left.where(F.col("n") > SMALL)
+            # where a star has linked nothing new, another one seldom does
+            last = level == LEVELS or (level > 1 and linked is before)
+            few = F.col("crossing") * 2 <= F.col("n") * SMALL
+            pending = self.crossing(left if last else left.where(few))
+            large = left.where(~few)
             if last or large.isEmpty():
                 break
             pending = common.written(self.spark, pending.distinct(), "pending")
-            following = large.select("id", "size", "key", "at") if level else self.offered(self.prefixes(large.select("id")))
-            keyed = common.written(self.spark, following, "offered-shingles")
-        return joined(self.verified(pending.distinct()))
+            following = large if level else self.placed(self.offered(self.prefixes(large.select("id"))), linked)
+            keyed = common.written(self.spark, following.select("id", "component", "size", "key", "at"), "offered-shingles")
+        return self.joined(linked, self.verified(pending.distinct()))
+
+    def joined(self, linked: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components with the new links; a link between nodes of earlier components is one between these."""
+        if linked is None:
+            return common.written(self.spark, components(self.spark, found), "components")
+        a = linked.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+        b = linked.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
+        new = common.written(
+            self.spark,
+            found.join(a, "a", "left").join(b, "b", "left")
+            .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(),
+            "new-links",
+        )
+        if new.isEmpty():
+            return linked
+        met = common.written(self.spark, components(self.spark, new), "components")
+        moved = met.select(F.col("id").alias("component"), F.col("component").alias("into"))
+        return common.written(
+            self.spark,
+            linked.join(moved, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+            .unionByName(met.join(linked, "id", "left_anti").select("id", "component")),
+            "components",
+        )
+
+    def placed(self, rows: DataFrame, linked: DataFrame) -> DataFrame:
+        """Rows with the component of their id."""
+        return rows.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def unsettled(self, members: DataFrame, linked: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, with their component."""
-        placed = members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return common.written(self.spark, placed.join(several.select("key"), "key"), "unsettled")
+        """Members of the buckets that hold more than one component, with their component, the bucket's ``main`` one and the number of pairs of different ones."""
+        rows = self.placed(members.drop("component"), linked)
+        held = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        several = held.groupBy("key").agg(
+            F.max_by("component", F.struct("c", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.expr("(pow(sum(double(c)), 2) - sum(pow(double(c), 2))) / 2").alias("crossing"),
+        ).where("low <> high").drop("low", "high")
+        return common.written(self.spark, rows.join(several, "key"), "unsettled")
 
     def crossing(self, members: DataFrame) -> DataFrame:
         """Pairs of different components in a bucket, those with its star apart, which have been compared.
 
+        One of a pair at least is outside of the main component, so members of that never meet each other.
         A pair is needed in the bucket of its first common shingle only, where enough must be left of both (``at`` is -1 for bands).
         """
         rows = members.where("id <> star").withColumn("left", F.col("size") - F.greatest("at", F.lit(0)))
+        outside = rows.where("component <> main").select("key", F.col("id").alias("a"), "component", "size", "left", "main")
         other = rows.select(
             "key", F.col("id").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"), F.col("left").alias("left_b")
         )
-        return rows.select("key", F.col("id").alias("a"), "component", "size", "left").join(other, "key").where(
-            F.expr("a < b and component <> other") & self.alike("size", "size_b") & self.enough(F.least("left", "left_b"), F.col("size") + F.col("size_b"))
-        ).select("a", "b")
+        return outside.join(other, "key").where(
+            F.expr("component <> other and (other = main or a < b)")
+            & self.alike("size", "size_b") & self.enough(F.least("left", "left_b"), F.col("size") + F.col("size_b"))
+        ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def enough(self, shared: Column, sizes: Column) -> Column:
         """Whether two sets of so many shingles together are similar if they share so many."""
@@ -282,19 +316,33 @@ class _Search:
 
     def counters(self, sets: DataFrame) -> np.ndarray:
         """In how many sets shingles of each remainder occur, an array of ``COUNTERS`` numbers."""
+        blocks = min(BLOCKS, COUNTERS)
+
+        def summed(bucket: list[int], n: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(n, pa.list_(pa.int64()))], names=["bucket", "n"])
 
         def count(batches):
-            counts = np.zeros(COUNTERS, dtype=np.int64)
+            counts = np.zeros((blocks, COUNTERS // blocks), dtype=np.int64)
             for batch in batches:
                 held = batch.column(batch.schema.get_field_index("shingles")).flatten().to_numpy(zero_copy_only=False)
-                np.add.at(counts, held & (COUNTERS - 1), 1)
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+                np.add.at(counts.reshape(-1), held & (COUNTERS - 1), 1)
+            at = np.flatnonzero(counts.any(axis=1))
+            yield summed(at.tolist(), list(counts[at]))
+
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for bucket, n in zip(common.column(batch, "bucket"), common.column(batch, "n")):
+                    sums[bucket] = sums.get(bucket, 0) + np.array(n, dtype=np.int64)
+            yield summed(list(sums), list(sums.values()))
 
-        # as many tasks as run at once, each with a row for a counter at most, however many parts the sets came in
+        # as many tasks as run at once, each with a row for a block of counters at most, however many sets and parts there are
+        kind = common.schema("bucket long, n array<long>")
         few = sets.select("shingles").coalesce(self.spark.sparkContext.defaultParallelism)
-        partial = common.arrow_mapped(few, count, common.schema("bucket long, n long"))
-        return common.to_dense(common.summed_counts(partial, ["bucket"]), "bucket", "n", COUNTERS)
+        out = np.zeros((blocks, COUNTERS // blocks))
+        for r in common.arrow_mapped(common.arrow_mapped(few, count, kind).repartition("bucket"), add, kind).collect():
+            out[r["bucket"]] = r["n"]
+        return out.reshape(-1)
 
     def offered(self, prefixes: DataFrame) -> DataFrame:
         """Rows (id, size, key, at): the shingles of the prefixes with their places, but for those that stand too far back."""

@@ -152,3 +152,36 @@ def test_counters_do_not_grow_with_the_parts(spark, documents, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert made[0][0] <= 2 * cores and made[0][1] <= cores
     assert (counts[5], counts[9], counts.sum()) == (400, 400, 800)
+
+
+def test_counters_of_many_shingles_come_in_few_rows(spark, documents, monkeypatch):
+    made, mapped = [], common.arrow_mapped
+
+    def watched(df, run, schema):
+        out = mapped(df, run, schema)
+        if schema.fieldNames() == ["bucket", "n"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "arrow_mapped", watched)
+    search = neardup._Search(spark, documents([(0, "a", "en", "s", 0)]), None, "doc_id", "text", 2, 80)
+    sets = spark.range(300).select("id", F.sequence(F.col("id") * 50, F.col("id") * 50 + 99).alias("shingles"))
+    counts = search.counters(sets)
+    assert max(made) <= neardup.BLOCKS * spark.sparkContext.defaultParallelism
+    assert (counts[0], counts[50], counts[14_950], counts[15_050], counts.sum()) == (1, 2, 2, 0, 30_000)
+
+
+def test_few_outsiders_of_a_large_bucket_are_compared_at_once(spark, documents, monkeypatch):
+    def never(*_):
+        raise AssertionError("needs another round")
+
+    monkeypatch.setattr(neardup._Search, "prefixes", never)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*base[:99], f"x{k}"]) for k in range(60)]
+    texts.append(" ".join(base[:88] + [f"y{k}" for k in range(12)]))  # 88 of 112 words in common
+    texts.append(" ".join(base[:88] + [f"y{k}" for k in range(10)] + ["z0", "z1"]))
+    rows = list(enumerate(texts))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark, docs, width=1).collect()}
+    assert got[59][1] == 0 and got[60] == (100, 60) and got[61] == (100, 60)
+    assert got == brute(rows, 1)
