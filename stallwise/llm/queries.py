@@ -49,8 +49,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = common.held_out(F.col("doc_id"), 5)
-    model, counts = brown.fit(spark, docs.where(~out))
-    return brown.score(spark, docs.withColumn("held_out", out), model, counts)
+    return brown.cluster(spark, docs.withColumn("held_out", out), ~out)[2]
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -160,6 +161,71 @@ def test_brown_of_awkward_rows(spark, awkward, clashing, nothing):
     assert brown.score(spark, nothing, model, counts).count() == 0
 
 
+def placed_by_hand(rows, seed):
+    """Class of each training word that the seed does not carry, from its own bigrams one by one."""
+    end, number = len(seed.transitions) - 1, {w: k for k, w in enumerate(seed.words)}
+    gains = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            words = [b"", *(t or "").encode().lower().split(), b""]
+            path = [end if not w else int(seed.class_of[number.get(w, len(number) + brown.ending(w))]) for w in words]
+            for before, w, after in zip(path, words[1:-1], path[2:]):
+                if w not in number:
+                    gain = seed.transitions[before, :end] + seed.transitions[:end, after] - np.log10(seed.emitted[:end])
+                    gains[w] = gains.get(w, 0) + gain
+    return {w: int(np.round(g, 6).argmax()) for w, g in gains.items()}
+
+
+def test_every_word_is_placed_by_its_own_bigrams(spark, documents, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 4)
+    r = random.Random(7)
+    rows = []
+    for i in range(90):
+        words = r.choices([f"Wort{k}" for k in range(60)], weights=range(60, 0, -1), k=r.randint(0, 40)) + [f"neu{i}"]
+        rows.append((i, " ".join(r.sample(words, len(words)))))
+    rows.append((90, None))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows]).repartition(5)
+    train = ~common.held_out(F.col("doc_id"), 5)
+    seed, _ = brown.fit(spark, docs.where(train), known=4, classes=6)
+    model, words, scores = brown.cluster(spark, docs, train, classes=6)
+    classes = {bytes(x["word"]): x["class"] for x in words.collect()}
+    assert model.words == seed.words and classes == placed_by_hand(rows, seed)
+    of = [*model.class_of[:4], *classes.values(), *model.class_of[4:]]
+    whole = SimpleNamespace(words=[*model.words, *classes], class_of=of, transitions=model.transitions)
+    got = {x["doc_id"]: x for x in scores.collect()}
+    later = {x["doc_id"]: x for x in brown.score(spark, docs, model, words).collect()}
+    assert len(got) == len(later) == 91
+    for i, want in brown_by_hand(rows, whole).items():
+        for x in (got[i], later[i]):
+            assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == want[:3]
+            assert x["base_score"] == pytest.approx(want[3]) and x["score"] == pytest.approx(want[4])
+
+
+def test_class_of_a_rare_word_changes_with_its_neighbours(spark, documents, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 4)
+    texts = ["a b c d a b c d a b"] * 20
+
+    def class_of(one, other):
+        docs = documents([*texts, f"a {one} c d", f"a b c {other} a"])
+        words = brown.cluster(spark, docs, F.lit(True), classes=4)[1]
+        found = {bytes(x["word"]).decode(): x["class"] for x in words.collect()}
+        return found["first-ing"], found["other-ing"]
+
+    first, other = class_of("first-ing", "other-ing")
+    assert first != other and class_of("other-ing", "first-ing") == (other, first)
+
+
+def test_cluster_of_awkward_rows(spark, awkward, clashing, nothing):
+    model, words, found = brown.cluster(spark, clashing, F.col("doc_id") < 9)
+    assert found.count() == 16 and found.columns.count("score") == 1 and "Score" not in found.columns
+    assert found.where("score is null or base_score is null or score > 0").count() == 0
+    assert {"_form", "_row", "__row", "number", "other"} < set(found.columns) and found.where("_row <> 'own _row'").count() == 0
+    assert brown.score(spark, nothing, model, words).count() == 0
+    none, empty, rows = brown.cluster(spark, awkward, F.lit(False))
+    assert none.n_tokens == 0 and empty.count() == 0 and rows.count() == 16 and rows.where("n_known <> 0").count() == 0
+    assert brown.cluster(spark, nothing, F.lit(True))[2].count() == 0
+
+
 IDS = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5}
 
 
